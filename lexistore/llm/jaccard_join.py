@@ -10,7 +10,8 @@ shorter of the two prefixes is used.
 Classes that share a prefix token meet in a group.  A group is a signature tree over its
 members in order of size: nodes hold OR-combined token bitmaps, size ranges and the slack
 that the bitmaps can't see; a dual traversal drops pairs of nodes whose largest possible
-overlap is too small, and pairs of nodes already in one component.  Groups of more than
+overlap is too small, and pairs of nodes already in one component.  Bitmaps grow
+with the sets, so large sets are told apart as well as small ones.  Groups of more than
 ``BLOCK`` members are dealt into blocks that meet in pairs, so no task holds a whole hot group.
 Tokens with the same members make one group.
 
@@ -38,8 +39,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, WordHashes, keyed_texts, mix, salted, window_hashes
 from .components import components
 
-BITS = 1024
-WORDS = BITS // 64
+LEAST_BITS, MOST_BITS = 2048, 1 << 17
 BLOCK = 2048
 LEAF, FANOUT = 32, 8
 ROW = ["row_a", "row_b"]
@@ -61,116 +61,141 @@ def prefix_length(n: int, percent: int) -> int:
     return min(sure, math.ceil(65 / math.log2(1 / (1 - percent / 100))))
 
 
-def signature(s: np.ndarray) -> tuple[bytes, int, int]:
-    """Bitmap, region and slack: the bitmap holds the hashes below 2**(64 - region), slack counts what it can't tell apart."""
-    region = 0
-    while len(s) >> region > BITS // 2:
-        region += 1
-    seen = s[s < np.uint64(1 << (64 - region))] if region else s
-    bits = np.zeros(BITS, np.uint8)
-    bits[(mix(seen) & np.uint64(BITS - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes(), region, len(s) - int(bits.sum())
+def signature(s: np.ndarray) -> tuple[bytes, int]:
+    """Token bitmap with at least four bits a token (a power of two), and the tokens it can't tell apart."""
+    size = LEAST_BITS
+    while size < 4 * len(s) and size < MOST_BITS:
+        size *= 2
+    bits = np.zeros(size, np.uint8)
+    bits[(mix(s) & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes(), len(s) - int(bits.sum())
 
 
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    schema = "row_a long, row_b long, doc_id long, n long, key_a long, key_b long, bits binary, region int, slack int, tokens array<long>"
+    schema = "row_a long, row_b long, doc_id long, n long, key_a long, key_b long, bits binary, slack int, tokens array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            n, a, b, bits, regions, slacks, tokens, ends = [], [], [], [], [], [], [], [0]
+            n, a, b, bits, slacks, tokens, ends = [], [], [], [], [], [], [0]
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, width, hashes)
-                sig, region, slack = signature(s)
+                sig, slack = signature(s)
                 first = s[: prefix_length(len(s), percent)] if len(s) else s
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     a.append(mix(s).sum(dtype=np.uint64))
                     b.append(salted(s, 77).sum(dtype=np.uint64))
                 bits.append(sig)
-                regions.append(region)
                 slacks.append(slack)
                 tokens.append(first)
                 ends.append(ends[-1] + len(first))
             flat = np.concatenate(tokens).view(np.int64) if tokens else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
-            columns = [batch.column("row_a"), batch.column("row_b"), batch.column("doc_id"), pa.array(n, pa.int64()), *longs, pa.array(bits, pa.binary()), pa.array(regions, pa.int32()), pa.array(slacks, pa.int32()), lists]
+            columns = [batch.column("row_a"), batch.column("row_b"), batch.column("doc_id"), pa.array(n, pa.int64()), *longs, pa.array(bits, pa.binary()), pa.array(slacks, pa.int32()), lists]
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
 
     return docs.mapInArrow(run, schema)
 
 
-class Group:
-    """Members of one group in order of size, as a tree."""
+class Node:
+    """Part of a tree: members a..b of a size class, or nodes below."""
 
-    def __init__(self, n: np.ndarray, bits: np.ndarray, region: np.ndarray, slack: np.ndarray, component: np.ndarray, side: np.ndarray):
-        self.order = np.argsort(n, kind="stable")
-        self.n, self.bits, self.region, self.slack, self.component, self.side = (x[self.order] for x in (n, bits, region, slack, component, side))
-        self.cross = side.min() != side.max()  # two blocks meet: pairs within a block are another group's
-        self.levels: list[list[tuple]] = [[self._node(i, min(i + LEAF, len(n))) for i in range(0, len(n), LEAF)]]
-        while len(self.levels[-1]) > 1:
-            below = self.levels[-1]
-            self.levels.append([self._over(below, i, min(i + FANOUT, len(below))) for i in range(0, len(below), FANOUT)])
+    __slots__ = ("a", "b", "least", "most", "bits", "slack", "below")
+
+    def __init__(self, a: int, b: int, least: int, most: int, bits: np.ndarray, slack: int, below: list[Node]):
+        self.a, self.b, self.least, self.most, self.bits, self.slack, self.below = a, b, least, most, bits, slack, below
+
+
+class SizeClass:
+    """Members whose bitmaps have the same length, in order of size, under one root."""
 
-    def _node(self, a: int, b: int) -> tuple:
-        return a, b, int(self.n[a]), int(self.n[b - 1]), np.bitwise_or.reduce(self.bits[a:b]), int(self.slack[a:b].max())
+    def __init__(self, at: np.ndarray, n: np.ndarray, bits: np.ndarray, slack: np.ndarray):
+        self.at, self.n, self.bits, self.slack = at, n, bits, slack
+        self.folded = fold(bits)
+        nodes = []
+        for a in range(0, len(at), LEAF):
+            b = min(a + LEAF, len(at))
+            nodes.append(Node(a, b, int(n[a]), int(n[b - 1]), np.bitwise_or.reduce(bits[a:b]), int(slack[a:b].max()), []))
+        while len(nodes) > 1:
+            parts = [nodes[i : i + FANOUT] for i in range(0, len(nodes), FANOUT)]
+            nodes = [Node(p[0].a, p[-1].b, p[0].least, p[-1].most, np.bitwise_or.reduce([x.bits for x in p]), max(x.slack for x in p), p) for p in parts]
+        self.root = nodes[0]
 
-    @staticmethod
-    def _over(below: list[tuple], i: int, j: int) -> tuple:
-        part = below[i:j]
-        return i, j, part[0][2], part[-1][3], np.bitwise_or.reduce([p[4] for p in part]), max(p[5] for p in part)
 
-    def _members(self, level: int, k: int) -> tuple[int, int]:
-        a, b = k, k + 1
-        for lv in range(level, 0, -1):
-            a, b = self.levels[lv][a][0], self.levels[lv][b - 1][1]
-        return self.levels[0][a][0], self.levels[0][b - 1][1]
+def fold(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps of half the length: a token keeps the lower digits of its place."""
+    half = bits.shape[-1] // 2
+    return bits[..., :half] | bits[..., half:]
 
-    def _settled(self, x: tuple[int, int], y: tuple[int, int]) -> bool:
-        first = self.component[x[0]]
-        return bool((self.component[x[0] : x[1]] == first).all() and (self.component[y[0] : y[1]] == first).all())
+
+class Group:
+    """Members of one group as signature trees, one for each bitmap length.
+
+    Sets that may link differ in size by less than a factor of two, so their lengths are
+    equal or next to each other; the longer bitmap is then folded.
+    """
+
+    def __init__(self, n: np.ndarray, bits: list[bytes], slack: np.ndarray, component: np.ndarray, side: np.ndarray):
+        self.component, self.side = component, side
+        self.cross = side.min() != side.max()  # two blocks meet: pairs within a block are another group's
+        lengths = np.array(list(map(len, bits)))
+        self.classes: dict[int, SizeClass] = {}
+        for length in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == length)
+            at = at[np.argsort(n[at], kind="stable")]
+            rows = np.frombuffer(b"".join([bits[i] for i in at.tolist()]), np.uint64).reshape(len(at), -1)
+            self.classes[length] = SizeClass(at, n[at], rows, slack[at])
 
     def links(self, percent: int, forest: bool) -> list[tuple[int, int]]:
         """Pairs of members that may link and are in different components; if ``forest``, a forest of them."""
         out: list[tuple[int, int]] = []
-        top = len(self.levels) - 1
-        stack = [(top, 0, 0)]
+        for length, small in self.classes.items():
+            self._traverse(small, small, percent, forest, out)
+            if 2 * length in self.classes:
+                self._traverse(small, self.classes[2 * length], percent, forest, out)
+        return out
+
+    def _traverse(self, s: SizeClass, t: SizeClass, percent: int, forest: bool, out: list[tuple[int, int]]) -> None:
+        """Dual traversal; ``t`` holds the larger sets."""
+        stack = [(s.root, t.root)]
         while stack:
-            level, i, j = stack.pop()
-            x, y = self.levels[level][i], self.levels[level][j]  # i <= j, so y holds the larger sets
-            if i != j:
-                if x[3] * 100 < percent * y[2]:
+            x, y = stack.pop()
+            if x is not y:
+                low, high = (x, y) if x.least <= y.least else (y, x)
+                if low.most * 100 < percent * high.least:
                     continue
-                least = -(-percent * (x[2] + y[2]) // (100 + percent))
-                if int(np.bitwise_count(x[4] & y[4]).sum()) + max(x[5], y[5]) < least:
+                least = -(-percent * (x.least + y.least) // (100 + percent))
+                other, slack = (y.bits, min(x.slack, y.slack)) if s is t else (fold(y.bits), x.slack)
+                if int(np.bitwise_count(x.bits & other).sum()) + slack < least:
                     continue
-            if self._settled(self._members(level, i), self._members(level, j)):
+            first = self.component[s.at[x.a]]
+            if (self.component[s.at[x.a : x.b]] == first).all() and (self.component[t.at[y.a : y.b]] == first).all():
                 continue
-            if level == 0:
-                self._leaves(x, y, percent, forest, out)
-            elif i == j:
-                for p in range(x[0], x[1]):
-                    stack += [(level - 1, p, q) for q in range(p, x[1])]
+            if not x.below and not y.below:
+                self._leaves(s, t, x, y, percent, forest, out)
+            elif x is y:
+                stack += [(p, q) for i, p in enumerate(x.below) for q in x.below[i:]]
             else:
-                stack += [(level - 1, p, q) for p in range(x[0], x[1]) for q in range(y[0], y[1])]
-        return [(int(self.order[i]), int(self.order[j])) for i, j in out]
-
-    def _leaves(self, x: tuple, y: tuple, percent: int, forest: bool, out: list[tuple[int, int]]) -> None:
-        a, b = slice(x[0], x[1]), slice(y[0], y[1])
-        nx, ny = self.n[a][:, None], self.n[b][None]
-        common = np.bitwise_count(self.bits[a][:, None, :] & self.bits[b][None]).sum(axis=2, dtype=np.int64)
-        rx, ry, sx, sy = self.region[a][:, None], self.region[b][None], self.slack[a][:, None], self.slack[b][None]
-        slack = np.where(rx == ry, np.minimum(sx, sy), np.where(rx > ry, sx, sy))  # the smaller region's view holds
+                stack += [(p, q) for p in x.below or [x] for q in y.below or [y]]
+
+    def _leaves(self, s: SizeClass, t: SizeClass, x: Node, y: Node, percent: int, forest: bool, out: list[tuple[int, int]]) -> None:
+        a, b = slice(x.a, x.b), slice(y.a, y.b)
+        at, to = s.at[a], t.at[b]
+        nx, ny = s.n[a][:, None], t.n[b][None]
+        other = t.bits if s is t else t.folded
+        common = np.bitwise_count(s.bits[a][:, None, :] & other[b][None]).sum(axis=2, dtype=np.int64)
+        slack = np.minimum(s.slack[a][:, None], t.slack[b][None]) if s is t else s.slack[a][:, None]
         ok = (common + slack) * (100 + percent) >= percent * (nx + ny)
         ok &= np.minimum(nx, ny) * 100 >= percent * np.maximum(nx, ny)
-        ok &= self.component[a][:, None] != self.component[b][None]
-        if x[0] == y[0]:
-            ok &= np.arange(x[0], x[1])[:, None] < np.arange(y[0], y[1])[None]
+        ok &= self.component[at][:, None] != self.component[to][None]
+        if x is y:
+            ok &= np.arange(len(at))[:, None] < np.arange(len(to))[None]
         if self.cross:
-            ok &= self.side[a][:, None] != self.side[b][None]
+            ok &= self.side[at][:, None] != self.side[to][None]
         for i, j in zip(*np.nonzero(ok), strict=True):
-            i, j = int(i) + x[0], int(j) + y[0]
+            i, j = int(at[i]), int(to[j])
             if forest:
                 if self.component[i] == self.component[j]:
                     continue
@@ -179,7 +204,7 @@ class Group:
 
 
 def _possible(members: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """(x, y) pairs of nodes, x < y, from rows token, i, j, own, node, n, bits, region, slack, component."""
+    """(x, y) pairs of nodes, x < y, from rows token, i, j, own, node, n, bits, slack, component."""
     rows = members.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,10 +230,9 @@ def _possible(members: DataFrame, percent: int, forest: bool) -> DataFrame:
         t = pa.Table.from_batches(held)
         if len(t) < 2:
             return []
-        column = {c: t.column(c).to_numpy() for c in ("a", "b", "n", "region", "slack", "component_a", "component_b", "own")}
-        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS)
+        column = {c: t.column(c).to_numpy() for c in ("a", "b", "n", "slack", "component_a", "component_b", "own")}
         _, component = np.unique(np.stack([column["component_a"], column["component_b"]], axis=1), axis=0, return_inverse=True)
-        group = Group(column["n"], bits, column["region"], column["slack"], component.ravel(), column["own"])
+        group = Group(column["n"], t.column("bits").to_pylist(), column["slack"], component.ravel(), column["own"])
         a, b = column["a"].tolist(), column["b"].tolist()
         return [(a[i], b[i], a[j], b[j]) if (a[i], b[i]) < (a[j], b[j]) else (a[j], b[j], a[i], b[i]) for i, j in group.links(percent, forest)]
 
@@ -260,7 +284,7 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     filled = sets.where("n > 0").withColumn("node", node)
     classes = filled.groupBy("node").agg(F.min(F.struct(*ROW)).alias("at"), F.min("doc_id").alias("label"))
     classes = scratch.write(classes, "classes")
-    held = filled.select(*ROW, "node", "n", "bits", "region", "slack", "tokens")
+    held = filled.select(*ROW, "node", "n", "bits", "slack", "tokens")
     reps = classes.select("at.*", "node").join(held, [*ROW, "node"]).dropDuplicates(["node"])
     reps = scratch.write(reps, "reps")
 
@@ -278,8 +302,8 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rows = members.select("node").distinct().join(reps.select(*ROW, "node"), "node").select(*ROW, "node")
     texts = scratch.write(keyed.join(rows, ROW).select("node", "text").dropDuplicates(["node"]), "texts")
 
-    described = members.join(reps.select("node", "n", "bits", "region", "slack"), "node")
-    columns = ["token", "i", "j", "own", "node.a", "node.b", "n", "bits", "region", "slack"]
+    described = members.join(reps.select("node", "n", "bits", "slack"), "node")
+    columns = ["token", "i", "j", "own", "node.a", "node.b", "n", "bits", "slack"]
     first = _possible(described.select(*columns, F.col("node.a").alias("component_a"), F.col("node.b").alias("component_b")), percent, True)
     first = scratch.write(first, "pairs-1")
     links = scratch.write(_verified(first, texts, width, percent), "links-1")
