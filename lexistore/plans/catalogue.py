@@ -1,11 +1,545 @@
-"""The query catalogue."""
+"""The query catalogue: every operator over the driver's tables, with its DuckDB oracle.
+
+Collections: ``orders`` by o_orderkey, ``customer`` by c_custkey or c_name, ``pages`` by url,
+``events`` by event_id; ``events`` is also a mutation log with key user_id and order event_id.
+"""
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexistore.functions.bounds import Excluded, Included, Unbounded, prefix_range
+from lexistore.functions.codec import long_key, text_key
+from lexistore.operators import mutations, pops
+from lexistore.operators.checksum import checksum
+from lexistore.operators.collection import Collection
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def orders(spark: SparkSession, sf_dir: str) -> Collection:
+    return Collection(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+
+
+def customers(spark: SparkSession, sf_dir: str) -> Collection:
+    return Collection(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), "c_custkey")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replays the events log into a snapshot and scans a key range of it in order."""
+    return Collection(_tombstoned(spark, sf_dir), "user_id").range(Included(10), Excluded(120), reverse=False)
+
+
+def _tombstoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    return mutations.replay(log, "user_id", "event_id", ["value"], F.col("event_type") == "error")
+
+
+_SNAPSHOT = """SELECT user_id, value FROM (SELECT user_id, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS t FROM events GROUP BY user_id) AS s WHERE t <> 'error'"""
+
+
+@query(f"SELECT * FROM ({_SNAPSHOT}) AS s WHERE user_id >= 10 AND user_id < 120")
+def q00_flagship(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+# reads
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 42")
+def q01_get(spark, sf_dir):
+    return orders(spark, sf_dir).get(42)
+
+
+@query("""SELECT p.event_id, p.k, o.o_totalprice, o.o_orderkey IS NOT NULL AS found
+    FROM (SELECT event_id, event_id * 3 AS k FROM events) AS p LEFT JOIN orders AS o ON o.o_orderkey = p.k""")
+def q02_get_many(spark, sf_dir):
+    probes = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 3).alias("k"))
+    return orders(spark, sf_dir).get_many(probes, "k")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def q03_contains_key(spark, sf_dir):
+    held = Collection(table(spark, sf_dir, "orders").select("o_custkey"), "o_custkey")
+    return held.contained(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def q04_not_contained(spark, sf_dir):
+    held = Collection(table(spark, sf_dir, "orders").select("o_custkey"), "o_custkey")
+    return held.not_contained(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 500 ORDER BY o_orderkey DESC LIMIT 1")
+def q05_get_lt(spark, sf_dir):
+    return orders(spark, sf_dir).get_lt(500)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 1")
+def q06_get_gt(spark, sf_dir):
+    return orders(spark, sf_dir).get_gt(500)
+
+
+_SPARSE = "(SELECT max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey)"
+
+
+def _last_orders(spark: SparkSession, sf_dir: str) -> Collection:
+    """Each customer's last order: a sparse set of keys."""
+    rows = mutations.latest(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", ["o_orderkey", "o_totalprice"])
+    return Collection(rows.select("o_orderkey", "o_totalprice"), "o_orderkey")
+
+
+@query(f"SELECT p.event_id, p.k, o.o_orderkey, o.o_totalprice FROM (SELECT event_id, event_id * 2 AS k FROM events) AS p ASOF LEFT JOIN {_SPARSE} AS o ON p.k > o.o_orderkey")
+def q07_get_lt_many(spark, sf_dir):
+    return _last_orders(spark, sf_dir).get_lt_many(table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 2).alias("k")), "k")
+
+
+@query(f"SELECT p.event_id, p.k, o.o_orderkey, o.o_totalprice FROM (SELECT event_id, event_id * 2 AS k FROM events) AS p ASOF LEFT JOIN {_SPARSE} AS o ON p.k < o.o_orderkey")
+def q08_get_gt_many(spark, sf_dir):
+    return _last_orders(spark, sf_dir).get_gt_many(table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 2).alias("k")), "k")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1")
+def q09_first(spark, sf_dir):
+    return orders(spark, sf_dir).first()
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 1")
+def q10_last(spark, sf_dir):
+    return orders(spark, sf_dir).last()
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 200")
+def q11_range(spark, sf_dir):
+    return orders(spark, sf_dir).range(Included(100), Excluded(200))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 100 AND 200")
+def q12_range_inclusive(spark, sf_dir):
+    return orders(spark, sf_dir).range(Included(100), Included(200))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 100 AND o_orderkey < 200")
+def q13_range_exclusive(spark, sf_dir):
+    return orders(spark, sf_dir).range(Excluded(100), Excluded(200))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey <= 50")
+def q14a_range_to(spark, sf_dir):
+    return orders(spark, sf_dir).range(Unbounded, Included(50))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 1400")
+def q14b_range_from(spark, sf_dir):
+    return orders(spark, sf_dir).range(Included(1400), Unbounded)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 200 AND o_orderkey < 100")
+def q14c_range_inverted(spark, sf_dir):
+    return orders(spark, sf_dir).range(Included(200), Excluded(100))
+
+
+@query("""SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS position
+    FROM (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 300 ORDER BY o_orderkey DESC LIMIT 40) AS s""")
+def q15_reverse_take(spark, sf_dir):
+    return orders(spark, sf_dir).take(40, Included(300), reverse=True, position="position")
+
+
+@query("SELECT c_name, c_acctbal FROM customer WHERE starts_with(c_name, 'Customer#0000001')")
+def q16_scan_prefix(spark, sf_dir):
+    return Collection(table(spark, sf_dir, "customer").select("c_name", "c_acctbal"), "c_name").scan_prefix("Customer#0000001")
+
+
+@query("SELECT url, page_id FROM pages WHERE starts_with(url, 'http://th')")
+def q17_scan_prefix_url(spark, sf_dir):
+    return Collection(table(spark, sf_dir, "pages").select("url", "page_id"), "url").scan_prefix("http://th")
+
+
+# Binary keys (hex) around FF tails, and the prefixes scanned.
+_EDGE_KEYS = ["", "00", "01", "01FE", "01FF", "01FF00", "01FFFF", "02", "FE", "FF", "FF00", "FFFF", "FFFF01"]
+_EDGE_PREFIXES = ["", "01", "01FF", "FF", "FFFF", "03"]
+
+
+@query("SELECT p AS prefix, k FROM (VALUES " + ",".join(f"('{p}')" for p in _EDGE_PREFIXES) + ") AS x(p), (VALUES " + ",".join(f"('{k}')" for k in _EDGE_KEYS) + ") AS y(k) WHERE starts_with(k, p)")
+def q18_scan_prefix_bytes(spark, sf_dir):
+    keys = Collection(spark.createDataFrame([(bytes.fromhex(k),) for k in _EDGE_KEYS], "key binary"))
+    out = None
+    for p in _EDGE_PREFIXES:
+        part = keys.range(*prefix_range(bytes.fromhex(p))).select(F.lit(p).alias("prefix"), F.hex("key").alias("k"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 200")
+def q19_keys(spark, sf_dir):
+    c = orders(spark, sf_dir)
+    return Collection(c.range(Included(100), Excluded(200)), c.key).keys()
+
+
+@query("SELECT o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders")
+def q20_values(spark, sf_dir):
+    return orders(spark, sf_dir).enumerate("position").drop("o_orderkey")
+
+
+@query("SELECT 'orders' AS name, count(*) AS len FROM orders UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'events', count(*) FROM events")
+def q21_len(spark, sf_dir):
+    keys = {"orders": "o_orderkey", "customer": "c_custkey", "events": "event_id"}
+    parts = [Collection(table(spark, sf_dir, n), k).len().select(F.lit(n).alias("name"), "len") for n, k in keys.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""SELECT 'hit' AS name, NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 200) AS is_empty
+    UNION ALL SELECT 'miss', NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey < 0)""")
+def q22_is_empty(spark, sf_dir):
+    c = orders(spark, sf_dir)
+    ranges = {"hit": c.range(Included(100), Excluded(200)), "miss": c.range(Unbounded, Excluded(0))}
+    return spark.createDataFrame([(n, Collection(df, c.key).is_empty()) for n, df in ranges.items()], "name string, is_empty boolean")
+
+
+# writes
+
+
+@query("SELECT user_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def q23_insert(spark, sf_dir):
+    return mutations.latest(table(spark, sf_dir, "events"), "user_id", "event_id", ["value"])
+
+
+@query("SELECT user_id, event_id, lag(CASE WHEN event_type <> 'error' THEN value END) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM events")
+def q24_insert_previous(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    return mutations.previous(log, "user_id", "event_id", F.when(F.col("event_type") != "error", F.col("value"))).select("user_id", "event_id", "previous")
+
+
+@query(_SNAPSHOT)
+def q25_remove(spark, sf_dir):
+    return _tombstoned(spark, sf_dir)
+
+
+def _cas_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    floored = lambda c: F.floor(c).cast("long")
+    return table(spark, sf_dir, "events").select(
+        "user_id", "event_id",
+        F.when(~F.col("event_type").isin("signup", "click"), floored(F.col("value")) % 3).alias("expected"),
+        F.when(F.col("event_type") != "error", floored(F.col("value") / 3) % 3).alias("new"),
+    )
+
+
+_CAS = """WITH RECURSIVE ops AS (
+        SELECT user_id, event_id, CASE WHEN event_type NOT IN ('signup', 'click') THEN CAST(floor(value) AS BIGINT) % 3 END AS e,
+            CASE WHEN event_type <> 'error' THEN CAST(floor(value / 3) AS BIGINT) % 3 END AS n,
+            row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events
+    ), r AS (
+        SELECT user_id, event_id, i, e IS NULL AS ok, CAST(NULL AS BIGINT) AS previous, n AS proposed, CASE WHEN e IS NULL THEN n END AS cur FROM ops WHERE i = 1
+        UNION ALL
+        SELECT o.user_id, o.event_id, o.i, r.cur IS NOT DISTINCT FROM o.e, r.cur, o.n, CASE WHEN r.cur IS NOT DISTINCT FROM o.e THEN o.n ELSE r.cur END
+        FROM r JOIN ops AS o ON o.user_id = r.user_id AND o.i = r.i + 1
+    )"""
+
+
+@query(_CAS + " SELECT user_id, cur AS value FROM (SELECT *, max(i) OVER (PARTITION BY user_id) AS final FROM r) AS t WHERE i = final AND cur IS NOT NULL")
+def q26_cas_state(spark, sf_dir):
+    return mutations.cas_state(mutations.compare_and_swap(_cas_log(spark, sf_dir), "user_id", "event_id", "expected", "new"), "user_id")
+
+
+@query(_CAS + " SELECT user_id, event_id, ok, previous, proposed, cur AS current FROM r")
+def q27_cas_outcomes(spark, sf_dir):
+    return mutations.compare_and_swap(_cas_log(spark, sf_dir), "user_id", "event_id", "expected", "new").withColumnRenamed("seq", "event_id")
+
+
+def _counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutations.running_count(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id")
+
+
+@query("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS new FROM events")
+def q28_update_and_fetch(spark, sf_dir):
+    return _counter(spark, sf_dir).select("user_id", "event_id", "new")
+
+
+@query("SELECT user_id, event_id, nullif(count(*) OVER (PARTITION BY user_id ORDER BY event_id) - 1, 0) AS old FROM events")
+def q29_fetch_and_update(spark, sf_dir):
+    return _counter(spark, sf_dir).select("user_id", "event_id", "old")
+
+
+@query("SELECT user_id, event_id, CAST(sum(step) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS total FROM (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) % 10 AS step FROM events) AS s")
+def q29b_read_modify_write(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("user_id", "event_id", (F.floor("value").cast("long") % 10).alias("step"))
+    add = lambda s, op: F.coalesce(s, F.lit(0).cast("long")) + op["step"]
+    return mutations.fold(log, "user_id", "event_id", add, "bigint", lambda s, op: F.struct(op["event_id"].alias("event_id"), add(s, op).alias("total")))
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished orders are rewritten and copied to a new key, pending ones are deleted, open ones stay."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    finished = rows.where("o_orderstatus = 'F'")
+    changed = finished.select("o_orderkey", (F.col("o_orderkey") * 1.0).alias("o_totalprice"), F.lit(False).alias("gone"))
+    deleted = rows.where("o_orderstatus = 'P'").select("o_orderkey", F.lit(None).cast("double").alias("o_totalprice"), F.lit(True).alias("gone"))
+    added = finished.select((F.lit(-1) - F.col("o_orderkey")).alias("o_orderkey"), "o_totalprice", F.lit(False).alias("gone"))
+    return changed.unionByName(deleted).unionByName(added)
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus NOT IN ('F', 'P')
+    UNION ALL SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) FROM orders WHERE o_orderstatus = 'F'
+    UNION ALL SELECT -1 - o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'""")
+def q30_apply_batch(spark, sf_dir):
+    return mutations.overlay(orders(spark, sf_dir).df, _batch(spark, sf_dir), "o_orderkey", "gone")
+
+
+@query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def q31_batch_last_wins(spark, sf_dir):
+    batch = table(spark, sf_dir, "events")
+    return mutations.dedupe_batch(batch, "user_id", "event_id", ["event_id", "event_type", "value"])
+
+
+@query("""SELECT p.o_orderkey, CASE WHEN p.o_orderstatus = 'F' THEN CAST(p.o_orderkey AS DOUBLE) END AS o_totalprice,
+    CASE p.o_orderstatus WHEN 'F' THEN 'put' WHEN 'P' THEN 'delete' ELSE 'absent' END AS status FROM orders AS p""")
+def q32_batch_get(spark, sf_dir):
+    return mutations.batch_get(orders(spark, sf_dir).keys(), _batch(spark, sf_dir), "o_orderkey", "gone")
+
+
+def _popped(popped: DataFrame, rest: Collection) -> DataFrame:
+    left = rest.len().select(F.lit("left").alias("what"), F.lit(None).cast("bigint").alias("o_orderkey"), F.col("len").alias("n"))
+    return popped.select(F.lit("popped").alias("what"), "o_orderkey", F.lit(1).cast("bigint").alias("n")).unionByName(left)
+
+
+@query("""SELECT 'popped' AS what, o_orderkey, CAST(1 AS BIGINT) AS n FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10) AS s
+    UNION ALL SELECT 'left', NULL, count(*) - 10 FROM orders""")
+def q33_pop_first(spark, sf_dir):
+    return _popped(*pops.pop_first(orders(spark, sf_dir), 10))
+
+
+@query("""SELECT 'popped' AS what, o_orderkey, CAST(1 AS BIGINT) AS n FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 10) AS s
+    UNION ALL SELECT 'left', NULL, count(*) - 10 FROM orders""")
+def q34_pop_last(spark, sf_dir):
+    return _popped(*pops.pop_last(orders(spark, sf_dir), 10))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey > 100 AND o_orderkey <= 200 ORDER BY o_orderkey LIMIT 5)")
+def q35a_pop_first_in_range(spark, sf_dir):
+    return pops.pop_first(orders(spark, sf_dir), 5, Excluded(100), Included(200))[1].df
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 200 ORDER BY o_orderkey DESC LIMIT 5)")
+def q35b_pop_last_in_range(spark, sf_dir):
+    return pops.pop_last(orders(spark, sf_dir), 5, Included(100), Excluded(200))[1].df
+
+
+@query("SELECT CAST(0 AS BIGINT) AS len")
+def q36_clear(spark, sf_dir):
+    return pops.clear(orders(spark, sf_dir)).len()
+
+
+# database
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = None
+    for name, source, key, value in (("orders", "orders", "o_orderkey", "o_orderstatus"), ("customer", "customer", "c_custkey", "c_name"), ("events", "events", "event_id", "event_type")):
+        t = table(spark, sf_dir, source)
+        part = t.select(F.lit("tree").alias("type"), F.lit(name).alias("name"), F.hex(long_key(F.col(key))).alias("key"), F.hex(text_key(F.col(value))).alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def _sql_key(column: str) -> str:
+    """Hex of the order-preserving key of a non-negative integer below 2**31."""
+    return f"'80000000' || lpad(upper(hex({column})), 8, '0')"
+
+
+@query(" UNION ALL ".join(f"SELECT 'tree' AS type, '{n}' AS name, {_sql_key(k)} AS key, upper(hex(encode({v}))) AS value FROM {n}" for n, k, v in (("orders", "o_orderkey", "o_orderstatus"), ("customer", "c_custkey", "c_name"), ("events", "event_id", "event_type"))))
+def q37_export(spark, sf_dir):
+    return _exported(spark, sf_dir)
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_orderkey FROM orders)")
+def q38_import_conflict(spark, sf_dir):
+    return orders(spark, sf_dir).contained(customers(spark, sf_dir).keys(), "c_custkey")
+
+
+def _catalog(spark: SparkSession, drop: bool) -> DataFrame:
+    from lexistore.sources.store import Database
+
+    with tempfile.TemporaryDirectory() as at, Database(spark, f"file://{at}/db") as db:
+        for name in (b"tree 1", b"tree 2", b"tree 3", b"tree 1"):
+            db.tree(name)
+        dropped = [db.drop_tree(b"tree 2"), db.drop_tree(b"tree 2")] if drop else []
+        rows = [(n.decode(), db.contains_tree(n)) for n in (b"tree 1", b"tree 2", b"tree 3", b"tree 4")]
+        rows += [(f"drop {i}", done) for i, done in enumerate(dropped)]
+    return spark.createDataFrame(rows, "name string, present boolean")
+
+
+@query("SELECT * FROM (VALUES ('tree 1', true), ('tree 2', true), ('tree 3', true), ('tree 4', false)) AS t(name, present)")
+def q39_open_tree(spark, sf_dir):
+    return _catalog(spark, drop=False)
+
+
+@query("SELECT * FROM (VALUES ('tree 1', true), ('tree 2', false), ('tree 3', true), ('tree 4', false), ('drop 0', true), ('drop 1', false)) AS t(name, present)")
+def q40_drop_tree(spark, sf_dir):
+    return _catalog(spark, drop=True)
+
+
+@query(f"SELECT c_custkey // 1024 AS leaf, md5(string_agg({_sql_key('c_custkey')} || upper(hex(encode(c_name))), '' ORDER BY c_custkey)) AS digest FROM customer GROUP BY 1")
+def q41a_ordered_digest(spark, sf_dir):
+    """An order-sensitive digest of each leaf of 1024 keys."""
+    entry = F.struct("c_custkey", F.concat(F.hex(long_key(F.col("c_custkey"))), F.hex(text_key(F.col("c_name")))).alias("x"))
+    leaves = customers(spark, sf_dir).df.groupBy(F.floor(F.col("c_custkey") / 1024).cast("long").alias("leaf")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    return leaves.select("leaf", F.md5(F.array_join(F.transform("entries", lambda e: e["x"]), "")).alias("digest"))
+
+
+@query()
+def q41b_checksum(spark, sf_dir):
+    names = {"orders": ("o_orderkey", "o_orderstatus"), "customer": ("c_custkey", "c_name"), "events": ("event_id", "event_type")}
+    rows = []
+    for name, (key, value) in names.items():
+        t = table(spark, sf_dir, name).select(F.col(key).alias("at"), long_key(F.col(key)).alias("key"), text_key(F.col(value)).alias("value"))
+        rows.append((name, checksum(t, "at")))
+    return spark.createDataFrame(rows, "name string, crc long")
+
+
+_EPOCH = "event_id // 500"
+
+
+def _epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    return rows.withColumn("epoch", F.floor(F.col("event_id") / 500).cast("long"))
+
+
+@query(f"SELECT user_id, value FROM (SELECT user_id, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS t FROM events WHERE {_EPOCH} <= 3 GROUP BY user_id) AS s WHERE t <> 'error'")
+def q42_snapshot_at_epoch(spark, sf_dir):
+    return mutations.replay(_epochs(spark, sf_dir).where("epoch <= 3"), "user_id", "event_id", ["value"], F.col("event_type") == "error")
+
+
+@query(f"""WITH e AS (SELECT {_EPOCH} AS epoch, count(*) AS ops, count(DISTINCT user_id) AS keys FROM events GROUP BY 1)
+    SELECT 'sum' AS what, CAST(sum(ops) AS BIGINT) AS ops, CAST(sum(keys) AS BIGINT) AS keys FROM e UNION ALL SELECT 'max', max(ops), max(keys) FROM e""")
+def q43_flush_stats(spark, sf_dir):
+    per = _epochs(spark, sf_dir).groupBy("epoch", "user_id").agg(F.count("*").alias("n")).groupBy("epoch").agg(F.sum("n").alias("ops"), F.count("*").alias("keys"))
+    both = per.agg(*[f(c).alias(f"{n}_{c}") for n, f in (("sum", F.sum), ("max", F.max)) for c in ("ops", "keys")])
+    rows = F.array(*[F.struct(F.lit(n).alias("what"), F.col(f"{n}_ops").alias("ops"), F.col(f"{n}_keys").alias("keys")) for n in ("sum", "max")])
+    return both.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base of the first epochs, tombstones kept, with the log of the later ones over it."""
+    columns = ["event_id", "event_type", "value"]
+    rows = _epochs(spark, sf_dir)
+    base = mutations.latest(rows.where("epoch < 4"), "user_id", "event_id", columns)
+    log = mutations.latest(rows.where("epoch >= 4"), "user_id", "event_id", columns)
+    merged = base.join(log.select("user_id"), "user_id", "left_anti").unionByName(log)
+    return merged.where("event_type <> 'error'").select("user_id", "value")
+
+
+@query(_SNAPSHOT)
+def q44_log_compaction(spark, sf_dir):
+    return _compacted(spark, sf_dir)
+
+
+@query("SELECT o_orderkey // 1024 AS leaf, min(o_orderkey) AS lo, lead(min(o_orderkey)) OVER (ORDER BY o_orderkey // 1024) AS hi, count(*) AS n FROM orders GROUP BY 1")
+def q45_leaves(spark, sf_dir):
+    return _leaves(spark, sf_dir)
+
+
+def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaf = F.floor(F.col("o_orderkey") / 1024).cast("long").alias("leaf")  # keys are dense, so a leaf has 1024 of them
+    leaves = orders(spark, sf_dir).df.groupBy(leaf).agg(F.min("o_orderkey").alias("lo"), F.count("*").alias("n"))
+    after = leaves.select((F.col("leaf") - 1).alias("leaf"), F.col("lo").alias("hi"))
+    return leaves.join(after, "leaf", "left").select("leaf", "lo", "hi", "n")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS gaps, CAST(1 AS BIGINT) AS open_ended")
+def q46_validate(spark, sf_dir):
+    leaves = _leaves(spark, sf_dir)
+    return leaves.agg(F.coalesce(F.sum(F.when(F.col("hi") != F.col("lo") + F.col("n"), 1).otherwise(0)), F.lit(0)).cast("long").alias("gaps"), F.count_if(F.col("hi").isNull()).alias("open_ended"))
+
+
+@query(f"""WITH l AS (SELECT user_id, max(event_id) AS last FROM events GROUP BY user_id)
+    SELECT epoch, live, total FROM (SELECT {_EPOCH} AS epoch, count(l.last) AS live, count(*) AS total FROM events LEFT JOIN l ON l.user_id = events.user_id AND l.last = event_id GROUP BY 1) AS s WHERE live < 0.9 * total""")
+def q47_defrag_candidates(spark, sf_dir):
+    rows = _epochs(spark, sf_dir)
+    last = rows.groupBy("user_id").agg(F.max("event_id").alias("last"))
+    marked = rows.join(last.select(F.col("last").alias("event_id"), F.lit(1).alias("live")), "event_id", "left")
+    return marked.groupBy("epoch").agg(F.count("live").alias("live"), F.count("*").alias("total")).where("live < 0.9 * total")
+
+
+@query()
+def q48_size_on_disk(spark, sf_dir):
+    from lexistore.sources.files import Files
+
+    files = Files(spark, sf_dir)
+    names = [n for n in files.names("") if n.endswith(".parquet")]
+    return spark.createDataFrame([(n, files.bytes(n)) for n in names], "name string, bytes long")
+
+
+def _shared(spark: SparkSession) -> str:
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return root.rstrip("/") if root else f"file://{tempfile.mkdtemp(prefix='lexistore-')}"
+
+
+@query("SELECT upper(hex(encode(CAST(user_id AS VARCHAR)))) AS key, upper(hex(encode(t))) AS value FROM (SELECT user_id, arg_max(event_type, event_id) AS t FROM events GROUP BY user_id) AS s WHERE t <> 'error'")
+def q49_stream_ingest(spark, sf_dir):
+    import uuid
+
+    from lexistore.sources.store import Database
+    from lexistore.streaming.ingest import ingest
+
+    at = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    stream = _stream(spark, sf_dir, "events")
+    rows = stream.select(F.col("event_id").alias("seq"), text_key(F.col("user_id").cast("string")).alias("key"), (F.col("event_type") == "error").alias("gone"), text_key(F.col("event_type")).alias("value"))
+    db = Database(spark, f"{at}/db")
+    with db:
+        ingest(rows, db, "events", f"{at}/checkpoint").awaitTermination()
+        return db.tree().collection().df.select(F.hex("key").alias("key"), F.hex("value").alias("value"))
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream.  Streams read folders: a table of one file is picked from its folder by name."""
+    from lexistore.sources.files import Files
+
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    if Files(spark, sf_dir).names(f"{name}.parquet") == [f"{name}.parquet"]:
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+def q50_stream_counter(spark, sf_dir):
+    import uuid
+
+    from lexistore.streaming.ingest import counters
+
+    stream = _stream(spark, sf_dir, "events")
+    name = f"counter_{uuid.uuid4().hex}"
+    at = f"{_shared(spark)}/{name}"
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("step", F.lit(batch_id)).write.mode("overwrite").parquet(f"{at}/out/{batch_id:08d}")
+
+    counters(stream, "user_id").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    updates = spark.read.parquet(f"{at}/out/*")
+    return mutations.latest(updates, "user_id", "step", ["n"])
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLE)
