@@ -17,7 +17,7 @@ NULL_ID = -(2**63)
 #: Odd multiplier of the polynomial hashes over word or line hashes (mod 2**64).
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
-WHITESPACE = r"[\x20\x09-\x0D]+"
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def shared_root(spark: SparkSession) -> str:
 _local_root: str | None = None
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few megabytes: long texts must not make a batch as large as a task's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class Scratch:
     """Written intermediate tables of one operator call.
 
@@ -53,6 +58,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bounded_batches(spark)
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._quietly_drop)
 
@@ -84,6 +90,15 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(row_id_a(), row_id_b(), text.alias("text"))
 
 
+def by_shuffle(side: DataFrame) -> DataFrame:
+    """Marks a side of a join with texts to meet them by a shuffle at every size.
+
+    Such sides grow with the corpus.  A broadcast that only small inputs allow would make
+    small runs behave unlike large ones.
+    """
+    return side.hint("merge")
+
+
 def row_id_a() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("row_a")
 

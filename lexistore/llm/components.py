@@ -1,4 +1,4 @@
-"""Connected components of a link table, as Spark joins over written label tables."""
+"""Connected components of a link table, as Spark joins over written tables that shrink."""
 
 from __future__ import annotations
 
@@ -11,23 +11,27 @@ from .common import Scratch
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(x, label) for every node of ``links`` (x, y): the least node of its component.
 
-    Each round takes the least label among the neighbours and then the label of that
-    label, so chains shorten by half.  Labels are written every round; a hot node is a
-    skewed join of two plain shuffles, which Spark splits.
+    Each round every node points to its least neighbour, pointers are followed four steps,
+    and the links are contracted to what the pointers lead to; links inside a contracted
+    node go.  Nodes are hashes, so their order is random, pointers are short and a round
+    leaves a fraction of the links.  Every table is written before it is joined: a hot
+    node is then a skewed join of two plain shuffles, which Spark splits.
     """
-    both = scratch.write(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), f"{name}-edges")
-    labels = scratch.write(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")), f"{name}-0")
-    step = 0
+    turned = links.select(F.col("y").alias("x"), F.col("x").alias("y"))
+    edges = scratch.write(links.select("x", "y").unionByName(turned).where("x <> y").distinct(), f"{name}-edges-0")
+    labels, step = None, 0
     while True:
+        hook = scratch.write(edges.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("to")), f"{name}-near-{step}")
+        for jump in ("once", "twice"):
+            after = hook.select(F.col("x").alias("to"), F.col("to").alias("far"))
+            hook = scratch.write(hook.join(after, "to").select("x", F.col("far").alias("to")), f"{name}-{jump}-{step}")
+        if labels is None:
+            labels = hook.select("x", F.col("to").alias("label"))
+        else:
+            further = hook.select(F.col("x").alias("label"), "to")
+            labels = scratch.write(labels.join(further, "label", "left").select("x", F.coalesce("to", "label").alias("label")), f"{name}-labels-{step}")
+        ends = edges.join(hook.select("x", F.col("to").alias("fx")), "x").join(hook.select(F.col("x").alias("y"), F.col("to").alias("fy")), "y")
+        edges = scratch.write(ends.where("fx <> fy").select(F.col("fx").alias("x"), F.col("fy").alias("y")).distinct(), f"{name}-edges-{step + 1}")
         step += 1
-        heard = both.join(labels.select(F.col("x").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("heard"))
-        lower = labels.join(heard, "x").select("x", "label", F.least("label", "heard").alias("near"))
-        jump = labels.select(F.col("x").alias("near"), F.col("label").alias("far"))
-        after = lower.join(jump, "near").select("x", F.least("near", "far").alias("label"), (F.col("label") != F.least("near", "far")).alias("moved"))
-        written = scratch.write(after, f"{name}-{step}")
-        moved = written.where("moved").limit(1).count()
-        scratch.drop(f"{name}-{step - 1}")
-        labels = written.select("x", "label")
-        if not moved:
-            scratch.drop(f"{name}-edges")
+        if edges.isEmpty():
             return labels

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, window_hashes
+from .common import WordHashes, bounded_batches, window_hashes
 
 SEED = 5
 COVERAGE = 0.8
@@ -184,6 +184,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
     """(row, hits): each row of ``docs`` as a struct, and the items that contaminate it."""
     columns = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     out = docs.select(columns, F.array().cast(HITS).alias("hits"))
+    bounded_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     for block in _blocks(benchmark, block_bytes):
         shipped = context.broadcast(Items(block))

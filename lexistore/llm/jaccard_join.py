@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, keyed_texts, mix, salted, window_hashes
+from .common import Scratch, WordHashes, by_shuffle, keyed_texts, mix, salted, window_hashes
 from .components import components
 
 LEAST_BITS, MOST_BITS = 2048, 1 << 17
@@ -247,7 +247,7 @@ def _possible(members: DataFrame, percent: int, forest: bool) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose sets, made anew from the texts, link."""
-    left = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("text_x")), "x")
+    left = by_shuffle(pairs).join(texts.select(F.col("node").alias("x"), F.col("text").alias("text_x")), "x")
     both = left.join(texts.select(F.col("node").alias("y"), F.col("text").alias("text_y")), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +300,7 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     members = members.select("node", "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     members = scratch.write(members, "members")
     rows = members.select("node").distinct().join(reps.select(*ROW, "node"), "node").select(*ROW, "node")
-    texts = scratch.write(keyed.join(rows, ROW).select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = scratch.write(keyed.join(by_shuffle(rows), ROW).select("node", "text").dropDuplicates(["node"]), "texts")
 
     described = members.join(reps.select("node", "n", "bits", "slack"), "node")
     columns = ["token", "i", "j", "own", "node.a", "node.b", "n", "bits", "slack"]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Scratch, keyed_texts, mix, row_id_a, row_id_b
+from .common import BASE, Scratch, by_shuffle, keyed_texts, mix, row_id_a, row_id_b
 
 WINDOW = 2  # lines whose hashes decide on a boundary
 DIVISOR = 3  # a boundary after one line in so many
@@ -101,7 +101,7 @@ def repeated_lines(docs: DataFrame, key=xxhash.xxh3_128_digest) -> DataFrame:
     # written first: both sides of the join are plain shuffles, so Spark can split a hot chunk
     copies = scratch.write(listed.join(groups, KEY), "copies")
     wanted = copies.groupBy(*ROW).agg(F.collect_set("first").alias("wanted"))
-    bodies = scratch.write(_chunk_rows(keyed.join(wanted, ROW), key), "bodies")
+    bodies = scratch.write(_chunk_rows(keyed.join(by_shuffle(wanted), ROW), key), "bodies")
     firsts = groups.select(*KEY, "place.*").join(bodies.select(*ROW, "first", *KEY, "body"), [*ROW, "first", *KEY]).select(*KEY, F.struct("row_a", "row_b", "first").alias("place"), F.col("body").alias("kept_body"))
     firsts = scratch.write(firsts.dropDuplicates(KEY), "firsts")
     same = bodies.join(firsts, KEY).where((F.col("body") == F.col("kept_body")) & (place != F.col("place")))
@@ -125,6 +125,6 @@ def dedup_lines(docs: DataFrame, key=xxhash.xxh3_128_digest) -> DataFrame:
     removed = repeated_lines(docs, key)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_id_a(), row_id_b())
     lines = F.when(F.col("removed").isNotNull(), F.split("row.text", "\n", -1)).alias("lines")
-    out = rows.join(removed, ROW, "left").select("row", "removed", lines)
+    out = rows.join(by_shuffle(removed), ROW, "left").select("row", "removed", lines)
     text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(without(F.col("lines"), F.col("removed")))
     return out.select("row", text.alias("text"), "lines", "removed")

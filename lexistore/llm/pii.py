@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone")
 
 # Every pattern is linear: a run that fails is not tried again from its middle.
@@ -208,5 +210,6 @@ def scan_documents(docs: DataFrame) -> DataFrame:
             columns = [batch.column("doc_id"), *by_kind, pa.array(bases, pa.string()), pa.array(alls, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "spans"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     return rows.mapInArrow(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")

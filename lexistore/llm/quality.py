@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 MAX_TRAINING_ROWS = 20_000
 HOLD_OUT_FOLDS = 5
 BINS = 64
@@ -159,6 +161,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             rows = [statistics(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
 
 
@@ -178,6 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS)
 
 def score_documents(docs: DataFrame, forest: Forest) -> DataFrame:
     """``docs`` with all its columns packed as ``row``, and ``score``."""
+    bounded_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(forest)  # some kilobytes, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

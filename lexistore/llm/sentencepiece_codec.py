@@ -27,6 +27,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 MARK = "▁"
 UNIT = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
 NEVER = 1 << 60
@@ -128,7 +130,7 @@ class Vocabulary:
                     pair = before * size + token
                     good = pairs.get(pair)
                     if good is None:
-                        if len(pairs) >= 1 << 20:
+                        if len(pairs) >= 1 << 19:
                             pairs.clear()
                         good = pairs[pair] = self.compatible(pieces[before], pieces[token])
                     if not good:
@@ -183,7 +185,7 @@ def vocabulary(model_file: str) -> Vocabulary:
 class Codec:
     """Encodes and decodes whole texts; remembers up to ``limit`` units."""
 
-    def __init__(self, model_file: str, limit: int = 3 << 17):
+    def __init__(self, model_file: str, limit: int = 1 << 18):
         self.vocabulary = vocabulary(model_file)
         self.limit = limit
         self._units: dict[str, tuple[list[int], str, str]] = {}
@@ -278,5 +280,6 @@ def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False) -
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     return rows.mapInArrow(run, schema)

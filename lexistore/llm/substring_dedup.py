@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Scratch, WordHashes, keyed_texts, mix, row_id_a, row_id_b, salted, window_hashes
+from .common import BASE, Scratch, WordHashes, by_shuffle, keyed_texts, mix, row_id_a, row_id_b, salted, window_hashes
 
 WINDOW = 35
 ANCHOR = 8
@@ -143,7 +143,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     contents = scratch.write(contents, "contents")
     same = met.where("branches").join(contents.where("n > 1").select(*PATH), PATH).select(*ROW, "first", "last")
     sources = contents.select("source.*").groupBy(*ROW).agg(F.collect_list(F.struct("first", "last")).alias("paths"))
-    edges = scratch.write(_edges(keyed.join(sources, ROW), window), "edges")
+    edges = scratch.write(_edges(keyed.join(by_shuffle(sources), ROW), window), "edges")
     twice = scratch.write(edges.groupBy("edge_a", "edge_b").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
     single = edges.join(twice, ["edge_a", "edge_b"]).select(*ROW, "first", F.col("first").alias("last"))
     spans = straight.unionByName(same).unionByName(single)
@@ -158,7 +158,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     spans = repeated_spans(docs, window, anchor)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id_a(), row_id_b(), text.alias("text"))
-    rows = rows.join(spans, ROW, "left").select("doc_id", "text", "spans")
+    rows = rows.join(by_shuffle(spans), ROW, "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
