@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexistore.llm import decontaminate, jaccard_join, line_dedup, quality, sentencepiece_codec
-from lexistore.llm.common import Scratch, row_id_a, row_id_b, table
+from lexistore.llm.common import Scratch, by_shuffle, row_id_a, row_id_b, table
 from lexistore.llm.queries import KEEP_FROM, PIECE_MODEL
 
 WIDTH, PERCENT = 5, 80
@@ -41,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = jaccard_join.jaccard_components(docs, WIDTH, PERCENT)
     gone = found.where("n_shingles > 0 and not (doc_id <=> component_id)").select("row_a", "row_b")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_id_a(), row_id_b())
-    return rows.join(gone, ["row_a", "row_b"], "left_anti").select("row.*")
+    return rows.join(by_shuffle(gone), ["row_a", "row_b"], "left_anti").select("row.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
