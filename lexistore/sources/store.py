@@ -14,10 +14,12 @@ into a new base.  Readers keep the version they opened: snapshot isolation.
 
 from __future__ import annotations
 
+import itertools
 import json
 import time
 import uuid
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -112,16 +114,19 @@ class Database:
 
     # manifests
 
-    def _newest(self) -> tuple[int, dict | None]:
-        names = [n for n in self.files.names("_manifest") if n.endswith(".json")]
-        for name in reversed(names):
+    def _valid(self) -> Iterator[tuple[str, dict]]:
+        """Names and states of the whole manifests, newest first; read as they are asked for."""
+        for name in reversed([n for n in self.files.names("_manifest") if n.endswith(".json")]):
             try:
                 held = json.loads(self.files.read(f"_manifest/{name}"))
             except ValueError:
                 continue  # torn: never became a commit
-            if _hash(held["state"]) == held["crc"]:
-                return int(names[-1][:8]), held["state"]
-        return int(names[-1][:8]) if names else 0, None
+            if "state" in held and _hash(held["state"]) == held.get("crc"):
+                yield name, held["state"]
+
+    def _newest(self) -> tuple[int, dict | None]:
+        names = [n for n in self.files.names("_manifest") if n.endswith(".json")]
+        return int(names[-1][:8]) if names else 0, next((state for _, state in self._valid()), None)
 
     def _publish(self, state: dict) -> None:
         version = self.version + 1
@@ -238,18 +243,16 @@ class Database:
 
     def vacuum(self) -> int:
         """Deletes data that none of the newest ``keep_versions`` manifests refer to; the bytes freed."""
-        names = [n for n in self.files.names("_manifest") if n.endswith(".json")]
-        kept = set()
-        for name in names[-self.config.keep_versions :]:
-            for held in json.loads(self.files.read(f"_manifest/{name}"))["state"]["collections"].values():
-                kept |= {held["base"], *(d["path"] for d in held["deltas"])}
+        newest = list(itertools.islice(self._valid(), self.config.keep_versions))
+        kept = {p for _, state in newest for held in state["collections"].values() for p in (held["base"], *(d["path"] for d in held["deltas"]))}
         before = self.files.bytes()
         for i in self.files.names("data"):
             for part in self.files.names(f"data/{i}"):
                 if f"data/{i}/{part}" not in kept:
                     self.files.delete(f"data/{i}/{part}")
-        for name in names[: -self.config.keep_versions]:
-            self.files.delete(f"_manifest/{name}")
+        for name in self.files.names("_manifest"):
+            if newest and name < newest[-1][0]:
+                self.files.delete(f"_manifest/{name}")
         return before - self.files.bytes()
 
     def size_on_disk(self) -> int:
