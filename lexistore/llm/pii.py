@@ -7,7 +7,8 @@ from: look-alike letters and digits become ASCII, spelled digits become digits,
 reading go back to source code points; those that touch no base span are added.
 
 Word-shaped disguises occur in ordinary prose, so they count only with strong evidence: an
-address spelled with a bare "at" needs a spelled or bracketed dot as well, and numbers are
+address spelled with a bare "at" needs a spelled or bracketed dot as well and, like one
+with a bare "dot", a known ending, and numbers are
 added only if at least one character was in fact disguised and the kind's own test holds.
 
 Defined cases: a null text counts as empty and has no spans; rows are independent, so
@@ -106,6 +107,10 @@ _ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _HINT = re.compile(rf"(?i)[\[({{<]\x20?(?:at|dot|@|\.)\x20?[\])}}>]|\x20dot\x20|\x20@\x20|(?<![^\W_]){_NUMERAL}[\x20\-.,]{{1,2}}(?:{_NUMERAL}|[0-9])")
 
 
+# Endings that make a worded address ("at", "dot") more than prose.
+ENDINGS = frozenset("com org net edu gov int info biz io co me tv us uk ie au ca in eu de at ch fr be es mx ar it nl pt br pl se no dk fi cz jp cn ru".split())
+
+
 class Mapped:
     """A reading of a text: its characters, and the source span behind each."""
 
@@ -174,7 +179,9 @@ def hidden_spans(text: str, base: list[Span]) -> list[Span]:
             a, b = disguised.source(m.start(), m.end())
             raw = plain[a:b]
             bare = re.search(r"(?i)\x20at\x20", raw) is not None
-            if raw != m[0] and (not bare or _DOT.search(raw)) and re.search(r"\.[A-Za-z]{2,}$", m[0]):
+            last = m[0].rpartition(".")[2].lower()
+            worded = bare or re.search(r"(?i)\x20dot\x20", raw) is not None
+            if raw != m[0] and (not bare or _DOT.search(raw)) and (last in ENDINGS if worded else len(last) >= 2 and last.isalpha()):
                 add(0, a, b)
         numbers = Mapped(plain)
         numbers.replace(_SPELLED_RUN, _digits_of)

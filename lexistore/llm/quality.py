@@ -100,6 +100,14 @@ class Forest:
         return 1.0 / (1.0 + np.exp(-np.clip(raw, -40, 40)))
 
 
+def _edges(values: np.ndarray) -> np.ndarray:
+    """At most BINS - 1 cuts at about equal shares, half-way between neighbouring values."""
+    found = np.unique(values)
+    at = np.unique(np.searchsorted(found, np.quantile(values, np.linspace(0, 1, BINS + 1)[1:-1], method="lower")))
+    at = at[at < len(found) - 1] if len(found) > BINS else np.arange(len(found) - 1)
+    return (found[at] + found[at + 1]) / 2
+
+
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, ridge: float = 1.0, least: int = 10) -> Forest:
     """Gradient boosting of the logistic loss over binned features."""
     inner, leaves = 2**depth - 1, 2**depth
@@ -111,7 +119,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
         return Forest(40.0 if p else -40.0, depth, *nothing)
     base = float(np.log(p / (1 - p)))
     features = x.shape[1]
-    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(features)]
+    edges = [_edges(x[:, f]) for f in range(features)]
     binned = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
     flat = binned + np.arange(features) * BINS
     all_feature, all_threshold, all_value = [], [], []
