@@ -177,27 +177,34 @@ class Vocabulary:
         return out
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def vocabulary(model_file: str) -> Vocabulary:
     return Vocabulary(model_file)
 
 
 class Codec:
-    """Encodes and decodes whole texts; remembers up to ``limit`` units."""
+    """Encodes and decodes whole texts; remembers units in two generations of ``limit`` each.
+
+    When the young generation is full it becomes the old one; a unit met again moves up, so
+    frequent units stay whatever passes through.
+    """
 
     def __init__(self, model_file: str, limit: int = 1 << 18):
         self.vocabulary = vocabulary(model_file)
         self.limit = limit
-        self._units: dict[str, tuple[list[int], str, str]] = {}
-
-    def _unit(self, text: str) -> tuple[list[int], str, str]:
-        """Ids, the ids as text, the decoded text."""
-        ids = self.vocabulary.unit(text)
-        entry = ids, ",".join(map(str, ids)), self._surface(ids)
+        self._young: dict[str, tuple[int, str, str]] = {}
+        self._old: dict[str, tuple[int, str, str]] = {}
+
+    def _unit(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, the ids as text, the decoded text: no containers, so Python's collector passes over them."""
+        entry = self._old.get(text)
+        if entry is None:
+            ids = self.vocabulary.unit(text)
+            entry = len(ids), ",".join(map(str, ids)), self._surface(ids)
         if len(text) <= 64:
-            if len(self._units) >= self.limit:
-                self._units.clear()
-            self._units[text] = entry
+            if len(self._young) >= self.limit:
+                self._old, self._young = self._young, {}
+            self._young[text] = entry
         return entry
 
     @staticmethod
@@ -206,12 +213,12 @@ class Codec:
             return []
         return UNIT.findall(MARK + text.replace(" ", MARK))
 
-    def entries(self, text: str | None) -> list[tuple[list[int], str, str]]:
-        known, make = self._units.get, self._unit
-        return [known(u) or make(u) for u in self.units(text or "")]
+    def entries(self, text: str | None) -> list[tuple[int, str, str]]:
+        make = self._unit
+        return [self._young.get(u) or make(u) for u in self.units(text or "")]
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids, _, _ in self.entries(text) for i in ids]
+        return [int(i) for _, ids, _ in self.entries(text) for i in ids.split(",")]
 
     def _surface(self, ids: list[int]) -> str:
         """Text of ids, space marks as spaces; a run of byte tokens is read as UTF-8."""
@@ -254,6 +261,12 @@ class Codec:
         return text[1:] if starts_with_mark else text
 
 
+@functools.lru_cache(maxsize=1)
+def shared_codec(model_file: str) -> Codec:
+    """One codec for all tasks that a worker process runs."""
+    return Codec(model_file)
+
+
 def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int).
 
@@ -262,17 +275,17 @@ def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False) -
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_file)
+        codec = shared_codec(model_file)
         for batch in batches:
             counts, id_sums, text_sums, all_ids = [], [], [], []
             for text in batch.column("text").to_pylist():
                 entries = codec.entries(text)
-                counts.append(sum(len(e[0]) for e in entries))
-                id_sums.append(hashlib.sha256(",".join(e[1] for e in entries).encode()).hexdigest())
-                decoded = "".join(e[2] for e in entries)[1:]  # without the space put in front
+                counts.append(sum([e[0] for e in entries]))
+                id_sums.append(hashlib.sha256(",".join([e[1] for e in entries]).encode()).hexdigest())
+                decoded = "".join([e[2] for e in entries])[1:]  # without the space put in front
                 text_sums.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
                 if with_ids:
-                    all_ids.append([i for e in entries for i in e[0]])
+                    all_ids.append([int(i) for e in entries for i in e[1].split(",")])
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
