@@ -13,9 +13,9 @@ block whose longest vector can't reach it never gets the query.  Queries go to t
 (they are the smaller side), each block returns its best k for each query, and the k best
 of these are the answer.
 
-Defined cases: vectors that are null or hold null or non-finite components, or components
-beyond +-2**26 after scaling (their products could leave a long), take no part; vectors of
-different dimension are no candidates of each other; ties go to the smaller id, then
+Defined cases: vectors that are null or hold null or non-finite components, or that are as
+long as 2**31 after scaling (their products could leave a long), take no part, whatever
+their dimension; vectors of different dimension are no candidates of each other; ties go to the smaller id, then
 repeated ids keep their own ranks; empty vectors and empty tables give no rows.
 """
 
@@ -37,7 +37,8 @@ LEAST_BLOCK, BLOCKS = 1024, 64  # smaller tables make smaller blocks, for about
 QUERY_ROWS = 256  # queries multiplied at once
 FOCUS = 4  # coordinates that pruning looks at
 COORDINATE_FROM = 0.9  # local threshold from which coordinate pruning is used
-LIMIT = float(2**26)
+LONGEST = float(2**31)
+SLACK = 1e-12  # relative; more than the rounding of lengths and cosines
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def quantised(vectors: DataFrame) -> DataFrame:
                 if not value or None in value:
                     continue
                 x = np.floor(np.array(value, np.float64) * 256.0)
-                if np.isfinite(x).all() and np.abs(x).max() <= LIMIT and len(x) <= 1024:
+                if np.isfinite(x).all() and np.abs(x).max() < LONGEST and x @ x < LONGEST**2:
                     at.append(i)
                     dims.append(len(x))
                     norms.append(float(np.sqrt(x @ x)))
@@ -83,7 +84,7 @@ def retrieve(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, v: np.ndarray,
     best = [np.empty((0, 2), np.int64) for _ in q]
     for first in range(0, len(v), BUCKET):
         bucket, ids, lengths = v[first : first + BUCKET], v_ids[first : first + BUCKET], v_len[first : first + BUCKET]
-        reach = q_len * lengths[0]
+        reach = q_len * lengths[0] * (1 + SLACK)
         live = np.flatnonzero((reach >= least - 1e-6) | (least <= 0))
         if not len(live):
             break
@@ -95,7 +96,7 @@ def retrieve(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, v: np.ndarray,
             part = wide[a : a + QUERY_ROWS]
             # vectors too short for every query of the part are a tail of the bucket
             need = np.min(np.where(q_len[part] > 0, least[part] / np.maximum(q_len[part], 1e-300), -np.inf))
-            end = int(np.searchsorted(-lengths, -(need - 1e-6), side="right"))
+            end = int(np.searchsorted(-lengths, -(need * (1 - SLACK) - 1e-6), side="right"))
             _keep(part, products(q[part], bucket[:end]), ids[:end], q_ids, best, least, k)
         if len(narrow):
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -153,7 +154,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     asking = F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("asking")
     dealt = rows.join(F.broadcast(bands.select("dim", "band", "parts")), ["dim", "band"])
     dealt = dealt.select("dim", "band", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), asking, "vec_id", "v")
-    reach = (F.col("q.norm") * F.col("b.longest") >= F.col("q.floor") - 1e-6) | (F.col("q.floor") <= 0)
+    reach = (F.col("q.norm") * F.col("b.longest") * (1 + SLACK) >= F.col("q.floor") - 1e-6) | (F.col("q.floor") <= 0)
     sent = queries.alias("q").join(F.broadcast(bands).alias("b"), (F.col("q.dim") == F.col("b.dim")) & reach)
     own = F.pmod(F.xxhash64("q.vec_id"), F.lit(query_parts)).cast("int").alias("asking")
     fresh = lambda name: F.col(name).alias(name[2:])  # noqa: E731  both sides of the cogroup come from the same table
