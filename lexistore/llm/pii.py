@@ -49,18 +49,23 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of each address: domains forwards, then the local part backwards, so the work is linear."""
+    done = 0
+    for m in _DOMAIN.finditer(text):
+        start = m.start()
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < m.start():
+            yield start, m.end()
+            done = m.end()
+
+
 def base_spans(text: str) -> list[Span]:
     """All base spans by start, then kind.  A long domain part can't overlap the next local part."""
     out: list[Span] = []
     if "@" in text:
-        done = 0
-        for m in _DOMAIN.finditer(text):
-            start = m.start()
-            while start > done and text[start - 1] in _LOCAL:
-                start -= 1
-            if start < m.start():
-                out.append((start, 0, m.end()))
-                done = m.end()
+        out += [(a, 0, b) for a, b in addresses(text)]
     for m in _IP.finditer(text):
         if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append((m.start(), 1, m.end()))
@@ -103,7 +108,6 @@ _WORD_IN_RUN = re.compile(rf"(?i)(?<![^\W_])(?:{_NUMERAL}|dot|point)(?![^\W_])|(
 _PLUS = re.compile(r"(?i)(?<![^\W_])plus\x20(?=[0-9])")
 _AT = re.compile(r"(?i)\x20?(?:\(\x20?at\x20?\)|\[\x20?at\x20?\]|\{\x20?at\x20?\}|<\x20?at\x20?>|\(@\)|\[@\])\x20?|\x20at\x20|\x20@\x20")
 _DOT = re.compile(r"(?i)\x20?(?:\(\x20?dot\x20?\)|\[\x20?dot\x20?\]|\{\x20?dot\x20?\}|<\x20?dot\x20?>|\(\.\)|\[\.\])\x20?|\x20dot\x20")
-_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _HINT = re.compile(rf"(?i)[\[({{<]\x20?(?:at|dot|@|\.)\x20?[\])}}>]|\x20dot\x20|\x20@\x20|(?<![^\W_]){_NUMERAL}[\x20\-.,]{{1,2}}(?:{_NUMERAL}|[0-9])")
 
 
@@ -175,13 +179,14 @@ def hidden_spans(text: str, base: list[Span]) -> list[Span]:
         disguised = Mapped(plain)
         disguised.replace(_DOT, lambda m: ".")
         disguised.replace(_AT, lambda m: "@")
-        for m in _ADDRESS.finditer(disguised.text):
-            a, b = disguised.source(m.start(), m.end())
+        for first, end in addresses(disguised.text):
+            read = disguised.text[first:end]
+            a, b = disguised.source(first, end)
             raw = plain[a:b]
             bare = re.search(r"(?i)\x20at\x20", raw) is not None
-            last = m[0].rpartition(".")[2].lower()
+            last = read.rpartition(".")[2].lower()
             worded = bare or re.search(r"(?i)\x20dot\x20", raw) is not None
-            if raw != m[0] and (not bare or _DOT.search(raw)) and (last in ENDINGS if worded else len(last) >= 2 and last.isalpha()):
+            if raw != read and (not bare or _DOT.search(raw)) and (last in ENDINGS if worded else len(last) >= 2 and last.isalpha()):
                 add(0, a, b)
         numbers = Mapped(plain)
         numbers.replace(_SPELLED_RUN, _digits_of)
