@@ -54,45 +54,71 @@ class TokenHashes(WordHashes):
 
 
 class Items:
-    """One block of the benchmark: the items' tokens and the places of their seeds."""
+    """One block of the benchmark: the items' tokens, and the places of their seeds as flat arrays."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         hashes = TokenHashes()
         self.ids = [i for i, _ in rows]
         self.tokens = [hashes.tokens(t) for _, t in rows]
-        places = defaultdict(list)  # (seed width, hash) -> [(item, place)]
+        by_width: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
         for at, tokens in enumerate(self.tokens):
             width = min(SEED, len(tokens))
             if width:
-                for place, h in enumerate(window_hashes(tokens, width).tolist()):
-                    places[width, h].append((at, place))
-        self.places = dict(places)
-        self.seeds = {w: np.array(sorted(h for x, h in self.places if x == w), np.uint64) for w in {x for x, _ in self.places}}
-        self.masks = {}
-        for w, seeds in self.seeds.items():  # most words of most documents end here
-            mask = np.zeros(1 << 22, bool)
-            mask[seeds >> np.uint64(42)] = True
-            self.masks[w] = mask
+                h = window_hashes(tokens, width)
+                by_width[width].append((h, np.full(len(h), at, np.int32), np.arange(len(h), dtype=np.int32)))
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # width -> hash (sorted), item, place
+        for width, parts in by_width.items():
+            h, item, place = map(np.concatenate, zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.seeds[width] = h[order], item[order], place[order]
+        self.masks: dict[int, np.ndarray] = {}
+
+    def mask(self, width: int) -> np.ndarray:
+        """Which upper bits the seeds have; most words of most documents end here.  Made where it is used."""
+        if width not in self.masks:
+            self.masks[width] = np.zeros(1 << 22, bool)
+            self.masks[width][self.seeds[width][0] >> np.uint64(42)] = True
+        return self.masks[width]
+
+    def _near(self, tokens: np.ndarray, coverage: float) -> dict[int, list[tuple[int, int, int]]]:
+        """(place in the item, place in the document, width) of the seeds of items that they could cover enough of.
+
+        Whether they could is decided on the seeds alone; only then do places meet places.
+        """
+        met: dict[int, list[tuple[int, int, int]]] = {}
+        for width, (seeds, items, places) in self.seeds.items():
+            h = window_hashes(tokens, width)
+            near = np.flatnonzero(self.mask(width)[h >> np.uint64(42)]) if len(h) else np.empty(0, np.int64)
+            if not len(near):
+                continue
+            found = np.unique(h[near])
+            low, high = np.searchsorted(seeds, found, "left"), np.searchsorted(seeds, found, "right")
+            n = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            if not len(at):
+                continue
+            order = np.argsort(items[at], kind="stable")
+            at = at[order]
+            cuts = np.flatnonzero(np.diff(items[at])) + 1
+            for own in np.split(at, cuts):
+                item = int(items[own[0]])
+                reached = np.zeros(len(self.tokens[item]), bool)
+                for shift in range(width):
+                    reached[places[own] + shift] = True
+                if reached.sum() < coverage * len(reached):
+                    continue
+                places_of = defaultdict(list)
+                for place, seed in zip(places[own].tolist(), seeds[own].tolist(), strict=True):
+                    places_of[seed].append(place)
+                here = near[np.isin(h[near], seeds[own])]
+                met[item] = [(place, j, width) for j, seed in zip(here.tolist(), h[here].tolist(), strict=True) for place in places_of[seed]]
+        return met
 
     def hits(self, tokens: np.ndarray, coverage: float) -> list[tuple[int, float, str]]:
         """(item_id, covered part, tiles as item_start:doc_start:length) for one document."""
-        met: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for width, seeds in self.seeds.items():
-            h = window_hashes(tokens, width)
-            near = np.flatnonzero(self.masks[width][h >> np.uint64(42)]) if len(h) else h
-            if len(near):
-                at = np.minimum(np.searchsorted(seeds, h[near]), len(seeds) - 1)
-                for j in near[seeds[at] == h[near]].tolist():
-                    for item, place in self.places[width, int(h[j])]:
-                        met[item].append((place, j, width))
         best: dict[int, tuple[float, str]] = {}
-        for item, seeds_met in met.items():
+        for item, seeds_met in self._near(tokens, coverage).items():
             test = self.tokens[item]
-            reached = np.zeros(len(test), bool)
-            for place, _, width in seeds_met:
-                reached[place : place + width] = True
-            if reached.sum() < coverage * len(test):
-                continue
             tiles = tile(test, tokens, seeds_met)
             part = sum(n for _, _, n in tiles) / len(test)
             if part >= coverage and part > best.get(self.ids[item], (0.0, ""))[0]:
