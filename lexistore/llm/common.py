@@ -29,7 +29,7 @@ def shared_root(spark: SparkSession) -> str:
 
     Only a local session without the setting gets a temporary folder.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
