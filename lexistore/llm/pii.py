@@ -18,6 +18,7 @@ repeated rows get equal results; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -145,6 +146,29 @@ class Mapped:
         return self.starts[start], self.ends[end - 1]
 
 
+class Taken:
+    """Stretches of a text that spans cover: apart from each other, in order, found by bisection."""
+
+    def __init__(self, base: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, _, b in base:  # by start; kinds may overlap each other
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def take(self, a: int, b: int) -> bool:
+        """Covers a..b if nothing there is covered yet."""
+        at = bisect_right(self.starts, a)
+        if (at and self.ends[at - 1] > a) or (at < len(self.starts) and self.starts[at] < b):
+            return False
+        self.starts.insert(at, a)
+        self.ends.insert(at, b)
+        return True
+
+
 def _digits_of(m: re.Match) -> str | None:
     run = m[0]
     if not re.search(rf"(?i){_NUMERAL}", run):
@@ -163,13 +187,12 @@ def hidden_spans(text: str, base: list[Span]) -> list[Span]:
     plain = text.translate(_DRAWN) if drawn else text  # one character for one: offsets stay
     if not drawn and not _HINT.search(plain):
         return []
-    taken = [(a, b) for a, _, b in base]
+    taken = Taken(base)
     out: list[Span] = []
 
     def add(kind: int, a: int, b: int) -> None:
-        if all(b <= x or a >= y for x, y in taken):
+        if taken.take(a, b):
             out.append((a, kind, b))
-            taken.append((a, b))
 
     if drawn:
         for a, kind, b in base_spans(plain):
