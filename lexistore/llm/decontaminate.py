@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -142,29 +143,35 @@ def tile(test: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int, int]]) -
     joined[1:] = np.diff(places) == 1
     free_test, free_doc = np.ones(len(test), bool), np.ones(len(text), bool)
     tiles = []
-    length = len(test)
-    while length >= width:
-        found = _marked(test, text, joined, free_test, free_doc, length)
-        for i, j in found:
-            tiles.append((i, int(places[j]), length))
-        length = length - 1
+    common = partial(_common, test, text, joined, free_test, free_doc)
+    most = len(test)
+    while most >= width:
+        # a common run holds common runs of every smaller length, so bisection finds the longest
+        low, high = width - 1, most
+        while low < high:
+            half = (low + high + 1) // 2
+            low, high = (half, high) if len(common(half)[0]) else (low, half - 1)
+        if low < width:
+            break
+        tiles += [(i, int(places[j]), low) for i, j in _marked(test, text, free_test, free_doc, low, *common(low))]
+        most = low - 1
     return sorted(tiles)
 
 
-def _marked(test: np.ndarray, text: np.ndarray, joined: np.ndarray, free_test: np.ndarray, free_doc: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Marks the common runs of just this length, leftmost in the test first."""
-    starts = _whole(free_test, None, length)
-    if not len(starts):
-        return []
-    others = _whole(free_doc, joined, length)
-    if not len(others):
-        return []
+def _common(test: np.ndarray, text: np.ndarray, joined: np.ndarray, free_test: np.ndarray, free_doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Free runs of this length that both have by hash: starts in the test and their hashes, in the text and theirs."""
+    starts, others = _whole(free_test, None, length), _whole(free_doc, joined, length)
+    if not len(starts) or not len(others):
+        return starts[:0], np.empty(0, np.uint64), others[:0], np.empty(0, np.uint64)
     of_test, of_doc = window_hashes(test, length)[starts], window_hashes(text, length)[others]
-    common = np.isin(of_doc, of_test)
-    if not common.any():
-        return []
+    here, there = np.isin(of_test, of_doc), np.isin(of_doc, of_test)
+    return starts[here], of_test[here], others[there], of_doc[there]
+
+
+def _marked(test: np.ndarray, text: np.ndarray, free_test: np.ndarray, free_doc: np.ndarray, length: int, starts: np.ndarray, of_test: np.ndarray, others: np.ndarray, of_doc: np.ndarray) -> list[tuple[int, int]]:
+    """Marks the common runs of just this length, leftmost in the test first."""
     by_hash = defaultdict(list)
-    for j, h in zip(others[common].tolist(), of_doc[common].tolist(), strict=True):
+    for j, h in zip(others.tolist(), of_doc.tolist(), strict=True):
         by_hash[h].append(j)
     out = []
     for i, h in zip(starts.tolist(), of_test.tolist(), strict=True):

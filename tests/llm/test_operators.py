@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -231,6 +232,21 @@ def test_pii_is_linear_behind_disguises():
         pii.scan_text(run + " x [at] " + run)
 
 
+def test_pii_with_many_spans_of_both_sorts():
+    began = time.process_time()
+    base, more = pii.scan_text("ann@site.org or bob [at] host [dot] com, " * 20_000)
+    assert (len(base), len(more)) == (20_000, 20_000) and time.process_time() - began < 20
+    rnd = random.Random(4)
+    for _ in range(200):
+        covered = sorted((a, 0, a + rnd.randint(1, 9)) for a in rnd.sample(range(100), 6))
+        cover, taken = pii.Taken(covered), [(a, b) for a, _, b in covered]
+        for a in rnd.sample(range(110), 30):
+            b = a + rnd.randint(1, 5)
+            free = all(b <= x or a >= y for x, y in taken)
+            assert cover.take(a, b) == free
+            taken += [(a, b)] * free
+
+
 def test_pii_leaves_prose_alone(spark, texts, monkeypatch):
     for text in ("meet at noon. Then go", "one of the two", "look at this dot and go", "at home at example.com", "one two three", "он сказал", "ten at four dot"):
         assert pii.scan_text(text)[1] == [], text
@@ -316,6 +332,28 @@ def test_decontamination(spark, monkeypatch):
     assert {r.doc_id for r in rows if r.contaminated} == set(wanted) and len(rows) == len(docs)
 
 
+def test_tiling_of_a_long_item_in_many_pieces():
+    rnd = random.Random(12)
+    words = np.array([rnd.getrandbits(64) for _ in range(12_000)], np.uint64)
+    cuts = [0, *sorted(rnd.sample(range(0, 12_000, 40), 30)), 12_000]
+    parts = [words[a:b] for a, b in zip(cuts, cuts[1:])]
+    rnd.shuffle(parts)
+    items = decontaminate.Items([(5, "a b c d e")])
+    items.tokens, h = [words], decontaminate.window_hashes(words, 5)
+    order = np.argsort(h, kind="stable")
+    items.seeds = {5: (h[order], np.zeros(len(h), np.int32), order.astype(np.int32))}
+    began = time.process_time()
+    ((item, part, tiles),) = items.hits(np.concatenate(parts), 0.8)
+    assert (item, part) == (5, 1.0) and time.process_time() - began < 30
+    assert sorted(int(t.split(":")[2]) for t in tiles.split(",")) == sorted(len(p) for p in parts if len(p))
+    for n in range(300):
+        test = np.array([rnd.randint(0, 3) for _ in range(rnd.randint(5, 25))], np.uint64)
+        doc = np.array([rnd.randint(0, 3) for _ in range(rnd.randint(5, 40))], np.uint64)
+        seeds = [(i, j, 5) for i in range(len(test) - 4) for j in range(len(doc) - 4) if (test[i : i + 5] == doc[j : j + 5]).all()]
+        if seeds:
+            assert sum(size for _, _, size in decontaminate.tile(test, doc, seeds)) == brute_tiles(test.tolist(), doc.tolist(), 5), n
+
+
 def test_seeds_shared_by_many_items_and_places():
     shared = "a b c d e"
     items = decontaminate.Items([(i, f"{shared} " + " ".join(f"i{i}w{j}" for j in range(10))) for i in range(300)])
