@@ -1,14 +1,17 @@
-"""Line dedup by content-defined line chunks.
+"""Line dedup by overlapping chunks of neighbouring lines.
 
-A rolling hash over the hashes of neighbouring lines decides where a chunk ends, so an
-inserted or deleted line moves no boundary but those next to it.  Chunks of several lines
-that occur more than once in the corpus are removed but for the first occurrence (least
-doc_id, then text key, then place), after their bytes were compared with those of the
-first one; a chunk that only shares the 128-bit key stays.
+A chunk of ``LEAST`` lines starts at every line, so which chunks a passage has depends on its
+own lines alone, not on what stands before it or where an earlier chunk ended.  A chunk
+that occurs more than once in the corpus is removed but for the first occurrence (least
+doc_id, then text key, then place), after its bytes were compared with those of the
+first one; a chunk that only shares the 128-bit key stays.  Chunks that overlap go as
+one run, so of a passage every line goes that has a repeated neighbour.
 
 Defined cases: a null or empty text has no chunk that could repeat and stays as it is; rows
 equal in doc_id and text are the same document, each keeps what the other keeps; a
-text may become empty; an empty table gives no rows; single-line chunks always stay.
+text may become empty; an empty table gives no rows; a repeated line between lines that don't
+repeat with it always stays; an empty line is a line.  The first occurrence of every line stays, but the
+lines of a chunk's first occurrence may go with other chunks that repeat there.
 """
 
 from __future__ import annotations
@@ -21,42 +24,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Scratch, by_shuffle, keyed_texts, mix, row_id_a, row_id_b
+from .common import Scratch, by_shuffle, keyed_texts, row_id_a, row_id_b
 
-WINDOW = 2  # lines whose hashes decide on a boundary
-DIVISOR = 3  # a boundary after one line in so many
-LEAST = 2  # lines in a chunk, but for the last of a text
+LEAST = 2  # lines in a chunk
+PIECE = 1 << 16  # chunks in a record batch at most
 KEY = ["key_a", "key_b"]
 ROW = ["row_a", "row_b"]
 
 
-def boundaries(lines: list[bytes]) -> list[int]:
-    """Ends (exclusive) of the chunks of a list of lines."""
-    n = len(lines)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, n)
-    rolled = h.copy()
-    with np.errstate(over="ignore"):
-        for back in range(1, WINDOW):
-            rolled[back:] += h[:-back] * BASE ** np.uint64(back)
-    cuts = np.flatnonzero(mix(rolled) % np.uint64(DIVISOR) == 0) + 1
-    out, last = [], 0
-    for cut in cuts.tolist():
-        if cut - last >= LEAST and cut < n:
-            out.append(cut)
-            last = cut
-    return [*out, n]
-
-
-def chunks(text: str, key=xxhash.xxh3_128_digest) -> list[tuple[int, int, bytes, bytes]]:
-    """(first line, end line, key, bytes) of the multi-line chunks."""
+def chunks(text: str, key=xxhash.xxh3_128_digest) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(first line, end line, key, bytes) of every chunk, in order."""
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    out, first = [], 0
-    for end in boundaries(lines):
-        if end - first >= LEAST:
-            body = b"\n".join(lines[first:end])
-            out.append((first, end, key(body), body))
-        first = end
-    return out
+    for first in range(len(lines) - LEAST + 1):
+        body = b"\n".join(lines[first : first + LEAST])
+        yield first, first + LEAST, key(body), body
 
 
 def _chunk_rows(keyed: DataFrame, key) -> DataFrame:
@@ -66,32 +47,31 @@ def _chunk_rows(keyed: DataFrame, key) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, firsts, ends, keys, bodies = [], [], [], [], []
+            rows: list[tuple] = []
             only = batch.column("wanted").to_pylist() if wanted else None
             for i, text in enumerate(batch.column("text").to_pylist()):
                 mine = set(only[i]) if wanted else None
                 for first, end, digest, body in chunks(text, key):
                     if mine is None or first in mine:
-                        at.append(i)
-                        firsts.append(first)
-                        ends.append(end)
-                        keys.append(digest)
-                        if wanted:
-                            bodies.append(body)
-            halves = np.array([np.frombuffer(k, np.int64) for k in keys], np.int64).reshape(-1, 2)
-            take = pa.array(at, pa.int64())
-            columns = [batch.column("row_a").take(take), batch.column("row_b").take(take), pa.array(firsts, pa.int32()), pa.array(ends, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
-            names = ["row_a", "row_b", "first", "end", "key_a", "key_b"]
-            if wanted:
-                columns.append(pa.array(bodies, pa.binary()))
-                names.append("body")
-            yield pa.RecordBatch.from_arrays(columns, names)
+                        rows.append((i, first, end, digest, body) if wanted else (i, first, end, digest))
+                        if len(rows) == PIECE:
+                            yield packed(batch, rows)
+                            rows = []
+            yield packed(batch, rows)
+
+    def packed(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        at, firsts, ends, keys, *bodies = zip(*rows, strict=True) if rows else [()] * (4 + wanted)
+        halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+        take = pa.array(at, pa.int64())
+        columns = [batch.column("row_a").take(take), batch.column("row_b").take(take), pa.array(firsts, pa.int32()), pa.array(ends, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
+        columns += [pa.array(x, pa.binary()) for x in bodies]
+        return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
 
     return keyed.mapInArrow(run, schema)
 
 
 def repeated_lines(docs: DataFrame, key=xxhash.xxh3_128_digest) -> DataFrame:
-    """row_a, row_b, removed: sorted array of (first, end) line ranges that repeat earlier chunks."""
+    """row_a, row_b, removed: sorted array of the (first, end) line ranges, apart from each other, that repeat earlier chunks cover."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     keyed = keyed_texts(docs)
     listed = scratch.write(_chunk_rows(keyed, key), "chunks")
@@ -106,12 +86,19 @@ def repeated_lines(docs: DataFrame, key=xxhash.xxh3_128_digest) -> DataFrame:
     firsts = scratch.write(firsts.dropDuplicates(KEY), "firsts")
     same = bodies.join(firsts, KEY).where((F.col("body") == F.col("kept_body")) & (place != F.col("place")))
     removed = same.groupBy(*ROW).agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("removed"))
-    removed = scratch.write(removed, "removed")
+    removed = scratch.write(removed, "removed").select(*ROW, merged(F.col("removed")).alias("removed"))
     for name in ("chunks", "groups", "copies", "bodies", "firsts"):
         scratch.drop(name)
     return removed
 
 
+def merged(ranges: Column) -> Column:
+    """Sorted ranges of equal length, those that touch as one."""
+    starts = F.filter(ranges, lambda r, i: (i == 0) | (r["first"] > F.get(ranges, i - 1)["end"]))
+    stops = F.filter(ranges, lambda r, i: (i == F.size(ranges) - 1) | (r["end"] < F.get(ranges, i + 1)["first"]))
+    return F.zip_with(starts, stops, lambda a, b: F.struct(a["first"].alias("first"), b["end"].alias("end")))
+
+
 def without(lines: Column, removed: Column) -> Column:
     """The text of an array of lines without the given line ranges (sorted, apart from each other)."""
     starts = F.concat(F.array(F.lit(0)), F.transform(removed, lambda r: r["end"]))

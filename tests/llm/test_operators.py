@@ -106,6 +106,23 @@ def test_line_dedup_compares_bytes(spark):
     assert all(r.removed is None for r in line_dedup.dedup_lines(docs, weak).collect())
 
 
+@pytest.mark.parametrize("length", range(2, 11))
+def test_line_dedup_finds_planted_runs(spark, length):
+    rnd = random.Random(length)
+    texts, wanted, before = [], [], []
+    for n in range(40):
+        run = [f"run {n} {prose(rnd, 5)}" for _ in range(length)]
+        for copy in range(2):
+            lines = lambda: [f"{n} {copy} {len(texts)} {i} {prose(rnd, 4)}" for i in range(rnd.randint(0, 6))]  # noqa: B023, E731
+            head, tail = lines(), [f"tail {x}" for x in lines()]
+            texts.append("\n".join(head + run + tail))
+            wanted.append("\n".join(head + tail) if copy else texts[-1])
+            before.append((len(head), len(head) + length) if copy else None)
+    out = {r.row.doc_id: (r.text, r.removed) for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert [out[i][0] for i in range(len(texts))] == wanted
+    assert [out[i][1] and [tuple(x) for x in out[i][1]] for i in range(len(texts))] == [x and [x] for x in before]
+
+
 # 2
 
 
