@@ -5,7 +5,8 @@ returns as Parquet and reads it again for the next one.  All stages but the last
 columns of ``documents``.
 
 1. quality classifier: documents scored under 0.3 go;
-2. line dedup: later occurrences of repeated line chunks go from the texts;
+2. line dedup: later occurrences of repeated line chunks go from the texts; a text of which
+   nothing is left stays as a row with an empty text;
 3. n-gram Jaccard join: of each group of near duplicates (five-word shingles, similarity of
    0.8 or more) the document with the smallest id stays;
 4. benchmark decontamination: documents that cover a test item go;

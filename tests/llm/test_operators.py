@@ -123,6 +123,14 @@ def test_line_dedup_finds_planted_runs(spark, length):
     assert [out[i][1] and [tuple(x) for x in out[i][1]] for i in range(len(texts))] == [x and [x] for x in before]
 
 
+def test_line_dedup_leaves_nothing_of_exact_copies(spark):
+    rnd = random.Random(6)
+    texts = ["\n".join(f"{i} {n} {prose(rnd, 4)}" for n in range(2 + i % 9)) for i in range(60)]
+    out = {r.row.doc_id: (r.text, r.removed) for r in line_dedup.dedup_lines(frame(spark, texts + texts)).collect()}
+    assert [out[i] for i in range(60)] == [(t, None) for t in texts]
+    assert [(out[60 + i][0], [tuple(x) for x in out[60 + i][1]]) for i in range(60)] == [("", [(0, 2 + i % 9)]) for i in range(60)]
+
+
 # 2
 
 
