@@ -109,7 +109,11 @@ _WORD_IN_RUN = re.compile(rf"(?i)(?<![^\W_])(?:{_NUMERAL}|dot|point)(?![^\W_])|(
 _PLUS = re.compile(r"(?i)(?<![^\W_])plus\x20(?=[0-9])")
 _AT = re.compile(r"(?i)\x20?(?:\(\x20?at\x20?\)|\[\x20?at\x20?\]|\{\x20?at\x20?\}|<\x20?at\x20?>|\(@\)|\[@\])\x20?|\x20at\x20|\x20@\x20")
 _DOT = re.compile(r"(?i)\x20?(?:\(\x20?dot\x20?\)|\[\x20?dot\x20?\]|\{\x20?dot\x20?\}|<\x20?dot\x20?>|\(\.\)|\[\.\])\x20?|\x20dot\x20")
-_HINT = re.compile(rf"(?i)[\[({{<]\x20?(?:at|dot|@|\.)\x20?[\])}}>]|\x20dot\x20|\x20@\x20|(?<![^\W_]){_NUMERAL}[\x20\-.,]{{1,2}}(?:{_NUMERAL}|[0-9])")
+# what every pattern above needs to change a text; "at" counts only beside a dot that is here
+_HINT = re.compile(
+    r"(?i)[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]|\x20dot\x20|\x20@\x20|(?<![^\W_])plus\x20[0-9]"
+    rf"|(?<![^\W_]){_NUMERAL}[\x20\-.,]{{1,2}}(?:{_NUMERAL}|[0-9]|dot|point)|(?:[0-9]|dot|point)[\x20\-.,]{{1,2}}{_NUMERAL}(?![^\W_])"
+)
 
 
 # Endings that make a worded address ("at", "dot") more than prose.

@@ -252,6 +252,20 @@ def test_pii_behind_disguises(text):
     assert any(pii.KINDS[k] == kind and text[a:b] == span for a, k, b in more), [(pii.KINDS[k], text[a:b]) for a, k, b in more]
 
 
+@pytest.mark.parametrize("kind, text", [("phone", "plus 49 170 1234567"), ("card", "4111 1111 1111 111 one"), ("ip", "192 point 168 point 1 point one"), ("ip", "192 point one.1.1")])
+def test_pii_spans_do_not_depend_on_text_elsewhere(kind, text):
+    span = [(0, pii.KINDS.index(kind), len(text))]
+    assert pii.scan_text(text)[1] == span and pii.scan_text(text + "\n; this dot and that")[1] == span
+
+
+def test_pii_hint_covers_what_is_rewritten():
+    rnd = random.Random(12)
+    tokens = ["plus", "49", "170", "1234567", "4111", "111", "one", "fünf", "dot", "point", "at", "168", "a@b", "x", "com", "(dot)", "[at]"]
+    for _ in range(20_000):
+        text = "".join(rnd.choice(tokens) + rnd.choice([" ", " ", "-", ".", ", ", "+"]) for _ in range(rnd.randint(2, 12)))
+        assert pii.scan_text(text) == pii.scan_text(text + "\n; this dot and"), text
+
+
 def test_pii_is_linear_behind_disguises():
     for run in ("a" * 500_000, "1" * 500_000, "one " * 100_000, "a.b-" * 100_000, "a [at] " * 30_000):
         pii.scan_text(run + " x [at] " + run)
