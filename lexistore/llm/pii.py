@@ -9,7 +9,8 @@ reading go back to source code points; those that touch no base span are added.
 Word-shaped disguises occur in ordinary prose, so they count only with strong evidence: an
 address spelled with a bare "at" needs a spelled or bracketed dot as well and, like one
 with a bare "dot", a known ending, and numbers are
-added only if at least one character was in fact disguised and the kind's own test holds.
+added only if at least one character was in fact disguised and the kind's own test holds;
+IP addresses and phone numbers are also read with the dots that stand for "[dot]", " dot " and the like.
 
 Defined cases: a null text counts as empty and has no spans; rows are independent, so
 repeated rows get equal results; extra columns are ignored.
@@ -215,12 +216,21 @@ def hidden_spans(text: str, base: list[Span]) -> list[Span]:
             worded = bare or re.search(r"(?i)\x20dot\x20", raw) is not None
             if raw != read and (not bare or _DOT.search(raw)) and (last in ENDINGS if worded else len(last) >= 2 and last.isalpha()):
                 add(0, a, b)
+        for start, kind, end in base_spans(disguised.text):
+            if kind in (1, 3) and any(disguised.changed[start:end]):  # the kinds that are written with dots
+                add(kind, *disguised.source(start, end))
         numbers = Mapped(plain)
         numbers.replace(_SPELLED_RUN, _digits_of)
         numbers.replace(_PLUS, lambda m: "+")
         for start, kind, end in base_spans(numbers.text):
             if kind and any(numbers.changed[start:end]):
                 add(kind, *numbers.source(start, end))
+        both = Mapped(plain)  # spelled numerals between disguised dots
+        both.replace(_DOT, lambda m: ".")
+        both.replace(_SPELLED_RUN, _digits_of)
+        for start, kind, end in base_spans(both.text):
+            if kind == 1 and any(both.changed[start:end]):
+                add(kind, *both.source(start, end))
     return sorted(out)
 
 

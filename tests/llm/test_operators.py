@@ -252,6 +252,20 @@ def test_pii_behind_disguises(text):
     assert any(pii.KINDS[k] == kind and text[a:b] == span for a, k, b in more), [(pii.KINDS[k], text[a:b]) for a, k, b in more]
 
 
+@pytest.mark.parametrize("kind, span", [
+    *[("ip", x) for x in ("10[.]0[.]0[.]1", "192 dot 168 dot 1 dot 1", "10 (dot) 0 (dot) 0 (dot) 1", "10.0[.]0.1", "10 {dot} 0 <dot> 0 [dot] 255", "one[.]two[.]three[.]4")],
+    ("phone", "+49[.]170[.]1234567"),
+])
+def test_pii_numbers_with_disguised_dots(kind, span):
+    base, more = pii.scan_text(f"from {span} to")
+    assert (base, more) == ([], [(5, pii.KINDS.index(kind), 5 + len(span))])
+
+
+@pytest.mark.parametrize("text", ["10[.]0[.]0", "300 dot 1 dot 1 dot 1", "1 dot 2 and 3 dot 4", "pages 10 [.] 12 [.] 14", "dot 1 dot 2 dot"])
+def test_pii_needs_whole_addresses_behind_disguised_dots(text):
+    assert pii.scan_text(text) == ([], [])
+
+
 @pytest.mark.parametrize("kind, text", [("phone", "plus 49 170 1234567"), ("card", "4111 1111 1111 111 one"), ("ip", "192 point 168 point 1 point one"), ("ip", "192 point one.1.1")])
 def test_pii_spans_do_not_depend_on_text_elsewhere(kind, text):
     span = [(0, pii.KINDS.index(kind), len(text))]
