@@ -8,7 +8,8 @@ columns of ``documents``.
 2. line dedup: later occurrences of repeated line chunks go from the texts; a text of which
    nothing is left stays as a row with an empty text;
 3. n-gram Jaccard join: of each group of near duplicates (five-word shingles, similarity of
-   0.8 or more) the document with the smallest id stays;
+   0.8 or more) one row stays, that with the smallest id (null last), then the smallest text key;
+   of rows equal in id and text one stays, and all rows without words;
 4. benchmark decontamination: documents that cover a test item go;
 5. SentencePiece encoding and decoding: a row of token digests for each document.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexistore.llm import decontaminate, jaccard_join, line_dedup, quality, sentencepiece_codec
 from lexistore.llm.common import Scratch, by_shuffle, row_id_a, row_id_b, table
@@ -39,10 +41,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.jaccard_components(docs, WIDTH, PERCENT)
-    gone = found.where("n_shingles > 0 and not (doc_id <=> component_id)").select("row_a", "row_b")
+    """One row of each component stays: the least id (null last), then text key, then hash of the row; all rows without words stay."""
+    scratch = Scratch(spark, "near-duplicates")
+    found = jaccard_join.jaccard_components(docs, WIDTH, PERCENT).where("n_shingles > 0").select("row_a", "row_b", "doc_id", "root")
+    found = scratch.write(found, "found")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "row_a", "row_b")).alias("at")).select("at.row_a", "at.row_b")
+    keys = found.select("row_a", "row_b").distinct().join(first.withColumn("first", F.lit(True)), ["row_a", "row_b"], "left")
+    marks = scratch.write(keys.select("row_a", "row_b", F.coalesce("first", F.lit(False)).alias("first")), "marks")
+    scratch.drop("found")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_id_a(), row_id_b())
-    return rows.join(by_shuffle(gone), ["row_a", "row_b"], "left_anti").select("row.*")
+    kept = rows.join(by_shuffle(marks), ["row_a", "row_b"], "left").where("first is null or first")
+    copy = F.row_number().over(Window.partitionBy("row_a", "row_b").orderBy(F.xxhash64("row")))  # rows equal in id and text
+    return kept.withColumn("copy", copy).where("first is null or copy = 1").select("row.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -274,7 +274,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 
 def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """row_a, row_b, doc_id, n_shingles, component_id: a row for each row of ``docs``."""
+    """row_a, row_b, doc_id, n_shingles, component_id, root: a row for each row of ``docs``.
+
+    ``root`` tells components apart that share their least id, or have none; it is null without shingles.
+    """
     scratch = Scratch(docs.sparkSession, "jaccard-join")
     keyed = keyed_texts(docs)
     with_id = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -318,13 +321,13 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     named = classes.select("node", "label").join(labels.select(F.col("x").alias("node"), F.col("label").alias("root")), "node", "left")
     named = scratch.write(named.select("node", "label", F.coalesce("root", "node").alias("root")), "named")
     roots = scratch.write(named.groupBy("root").agg(F.min("label").alias("component_id")), "roots")
-    named = scratch.write(named.join(roots, "root").select("node", "component_id"), "components")
+    named = scratch.write(named.join(roots, "root").select("node", "component_id", "root"), "components")
     for name in ("classes", "reps", "groups", "members", "texts", "pairs-1", "links-1", "pairs-2", "links-2", "named", "roots"):
         scratch.drop(name)
     rows = sets.select(*ROW, "doc_id", F.col("n").alias("n_shingles"), node.alias("node"))
     out = rows.join(named, "node", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(*ROW, "doc_id", "n_shingles", own.alias("component_id"))
+    return out.select(*ROW, "doc_id", "n_shingles", own.alias("component_id"), "root")
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:

@@ -64,3 +64,19 @@ def test_each_stage(spark, corpus, tmp_path):
     assert set(near) - set(decontaminated) == {212}
     assert set(tokens) == set(decontaminated)
     assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, at).collect()} == {i: r.ids_sha256 for i, r in tokens.items()}
+
+
+def test_one_row_of_a_component_stays(spark):
+    rnd = random.Random(5)
+    near, ids_null, same, lone, other = [prose(rnd, 80, 5000) for _ in range(5)]
+    rows = [(7, near), (7, near + " more"), (9, near), (None, near)]  # near duplicates that share the least id
+    rows += [(None, ids_null)] * 2 + [(None, ids_null + " more")]  # no id at all
+    rows += [(3, same)] * 3 + [(4, same)]  # rows equal in id and text
+    rows += [(7, lone), (7, other), (None, other + " x"), (5, None), (5, None), (5, "")]  # one id, different components; no words
+    docs = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    groups = [[r for r in out if r[1] and r[1].startswith(t)] for t in (near, ids_null, same, lone, other)]
+    assert [[i for i, _ in g] for g in groups] == [[7], [None], [3], [7], [7]]
+    assert sorted(out, key=repr) == sorted([*sum(groups, []), (5, None), (5, None), (5, "")], key=repr)
+    again = corpus_pipeline.drop_near_duplicates(spark, docs.orderBy("text"), "")
+    assert sorted(((r.doc_id, r.text) for r in again.collect()), key=repr) == sorted(out, key=repr)
