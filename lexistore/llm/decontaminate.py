@@ -13,7 +13,8 @@ benchmark means more passes over the documents and the same result.
 
 Words are compared in lower case, without signs at their ends.  Defined cases: null or empty
 texts, and items without words, never match; repeated rows get equal results; several
-items with the same id count as one with the higher coverage; extra columns are kept and
+items with the same id count as one with the higher coverage, those without an id as one
+with a null id, which comes last; extra columns are kept and
 never looked at.
 """
 
@@ -57,7 +58,7 @@ class TokenHashes(WordHashes):
 class Items:
     """One block of the benchmark: the items' tokens, and the places of their seeds as flat arrays."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int | None, str]]):
         hashes = TokenHashes()
         self.ids = [i for i, _ in rows]
         self.tokens = [hashes.tokens(t) for _, t in rows]
@@ -115,16 +116,16 @@ class Items:
                 met[item] = [(place, j, width) for j, seed in zip(here.tolist(), h[here].tolist(), strict=True) for place in places_of[seed]]
         return met
 
-    def hits(self, tokens: np.ndarray, coverage: float) -> list[tuple[int, float, str]]:
+    def hits(self, tokens: np.ndarray, coverage: float) -> list[tuple[int | None, float, str]]:
         """(item_id, covered part, tiles as item_start:doc_start:length) for one document."""
-        best: dict[int, tuple[float, str]] = {}
+        best: dict[int | None, tuple[float, str]] = {}
         for item, seeds_met in self._near(tokens, coverage).items():
             test = self.tokens[item]
             tiles = tile(test, tokens, seeds_met)
             part = sum(n for _, _, n in tiles) / len(test)
             if part >= coverage and part > best.get(self.ids[item], (0.0, ""))[0]:
                 best[self.ids[item]] = part, ",".join(f"{i}:{j}:{n}" for i, j, n in tiles)
-        return [(i, *best[i]) for i in sorted(best)]
+        return [(i, *best[i]) for i in sorted(best, key=_null_last)]
 
 
 def tile(test: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -199,10 +200,10 @@ def _whole(free: np.ndarray, joined: np.ndarray | None, length: int) -> np.ndarr
     return np.flatnonzero(ok)
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
     """The benchmark, a bounded block at a time on the driver."""
     block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("text is not null")
     for row in rows.toLocalIterator():
         block.append((row.item_id, row.text))
         size += len(row.text)
@@ -240,4 +241,8 @@ def _merged(earlier: list[dict], more: list[dict]) -> list[dict]:
     for hit in [*earlier, *more]:
         if hit["coverage"] > best.get(hit["item_id"], {"coverage": 0.0})["coverage"]:
             best[hit["item_id"]] = hit
-    return [best[i] for i in sorted(best)]
+    return [best[i] for i in sorted(best, key=_null_last)]
+
+
+def _null_last(item_id: int | None) -> tuple[bool, int]:
+    return item_id is None, item_id or 0

@@ -46,13 +46,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    best = F.element_at(F.array_sort("hits", lambda a, b: F.when(a["coverage"] != b["coverage"], F.signum(b["coverage"] - a["coverage"])).otherwise(F.signum(a["item_id"] - b["item_id"])).cast("int")), 1)
+    by_id = lambda a, b: F.when(a.isNull(), 1).when(b.isNull(), -1).otherwise(F.signum(a - b))  # noqa: E731  ids differ
+    best = F.element_at(F.array_sort("hits", lambda a, b: F.when(a["coverage"] != b["coverage"], F.signum(b["coverage"] - a["coverage"])).otherwise(by_id(a["item_id"], b["item_id"])).cast("int")), 1)
     found = found.select(F.col("row.doc_id").alias("doc_id"), "hits", F.when(F.size("hits") > 0, best).alias("best"))
     return found.select(
         "doc_id",
         (F.size("hits") > 0).cast("int").alias("contaminated"),
         F.size("hits").cast("long").alias("n_items"),
-        F.array_join(F.transform("hits", lambda h: h["item_id"].cast("string")), ",").alias("items"),
+        F.array_join(F.transform("hits", lambda h: h["item_id"].cast("string")), ",", "null").alias("items"),
         F.col("best.item_id").alias("best_item"),
         F.col("best.coverage").alias("best_coverage"),
         F.col("best.tiles").alias("best_tiles"),

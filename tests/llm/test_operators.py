@@ -385,6 +385,19 @@ def test_decontamination(spark, monkeypatch):
     assert {r.doc_id for r in rows if r.contaminated} == set(wanted) and len(rows) == len(docs)
 
 
+@pytest.mark.parametrize("block_bytes", [8 << 20, 50])
+def test_decontamination_by_items_without_an_id(spark, monkeypatch, block_bytes):
+    rnd = random.Random(13)
+    one, two, three, clean = [prose(rnd, 30, 5000) for _ in range(4)]
+    docs = frame(spark, [one, f"{three} {two}", three, clean, f"x {one} {two}"])
+    bench = spark.createDataFrame([(None, one), (None, two), (4, three), (9, one), (None, None)], "item_id long, text string")
+    found = decontaminate.find_contamination(docs, bench, block_bytes=block_bytes)
+    assert {r.row.doc_id: [h.item_id for h in r.hits] for r in found.collect()} == {0: [9, None], 1: [4, None], 2: [4], 3: [], 4: [9, None]}
+    table(monkeypatch, documents=docs, benchmark=bench)
+    rows = sorted(Q.op6_decontaminate(spark, "").collect(), key=lambda r: r.doc_id)
+    assert [(r.contaminated, r.n_items, r["items"], r.best_item) for r in rows] == [(1, 2, "9,null", 9), (1, 2, "4,null", 4), (1, 1, "4", 4), (0, 0, "", None), (1, 2, "9,null", 9)]
+
+
 def test_tiling_of_a_long_item_in_many_pieces():
     rnd = random.Random(12)
     words = np.array([rnd.getrandbits(64) for _ in range(12_000)], np.uint64)
