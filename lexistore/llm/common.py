@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -44,8 +46,14 @@ _local_root: str | None = None
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of a few megabytes: long texts must not make a batch as large as a task's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Arrow batches of a few megabytes: long texts must not make a batch as large as a task's memory.
+
+    The setting counts when a lazy result runs, so it stays; a smaller value of the caller's own is kept.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(name)
+    if not have.isdigit() or not 0 < int(have) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 class Scratch:
@@ -53,7 +61,8 @@ class Scratch:
 
     A written table cuts the lineage, so a lost executor never causes more than the
     current step to run again.  ``drop`` frees a table that nothing lazy reads any more;
-    what a returned DataFrame still reads goes when the Python process ends.
+    what a returned DataFrame still reads goes at the end of the ``scratch_freed`` block
+    that the operator was called in, or when the Python process ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -61,6 +70,8 @@ class Scratch:
         bounded_batches(spark)
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._quietly_drop)
+        for block in _blocks:
+            block.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         at = f"{self.path}/{name}"
@@ -72,6 +83,10 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def close(self) -> None:
+        self.drop()
+        atexit.unregister(self._quietly_drop)
+
     def _quietly_drop(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:
@@ -80,6 +95,22 @@ class Scratch:
             pass
 
 
+_blocks: list[list[Scratch]] = []
+
+
+@contextmanager
+def scratch_freed() -> Iterator[None]:
+    """Frees the tables of all operators called inside; their results must be written or collected before the end."""
+    mine: list[Scratch] = []
+    _blocks.append(mine)
+    try:
+        yield
+    finally:
+        _blocks.remove(mine)
+        for scratch in mine:
+            scratch.close()
+
+
 def keyed_texts(docs: DataFrame) -> DataFrame:
     """(row_a, row_b, text): a two-part row key and the text, null read as empty.
 

@@ -7,6 +7,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -135,15 +136,23 @@ def test_line_dedup_leaves_nothing_of_exact_copies(spark):
 
 
 def brute_top(vectors, every, k):
-    v = {i: [int(np.floor(256.0 * float(x))) for x in e] for i, e in vectors if e and all(x is not None and np.isfinite(x) for x in e)}
+    v = [(i, [int(np.floor(256.0 * float(x))) for x in e]) for i, e in vectors if i is not None and e and all(x is not None and np.isfinite(x) for x in e)]
+    cut = lambda s: max(-(2**63), min(2**63 - 1, s))
     out = []
-    for q in v:
+    for n, (q, x) in enumerate(v):
         if q % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(v[q], v[i], strict=True)), i) for i in v if i != q and len(v[i]) == len(v[q]))[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+            best = sorted((-cut(sum(a * b for a, b in zip(x, y, strict=True))), i) for m, (i, y) in enumerate(v) if m != n and len(x) == len(y))[:k]
+            out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(best)]
     return sorted(out)
 
 
+def oracle_top(vectors, kind="DOUBLE"):
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE embeddings (vec_id BIGINT, embedding {kind}[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [list(x) for x in vectors])
+    return sorted(con.sql(f"SELECT query_id, rank, vec_id, score FROM ({Q.ORACLE['op2_topk']}) AS t").fetchall())
+
+
 @pytest.mark.parametrize("block", [8, 10_000])
 def test_topk(spark, monkeypatch, block):
     rnd = random.Random(block)
@@ -166,7 +175,29 @@ def test_topk_takes_any_dimension_and_large_components(spark):
     vectors += [(40, [float(2**23), 0.0, 0.0, 0.0])]  # as long as 2**31
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
     got = topk.top_k(df, every=2, k=3).select("query_id", "rank", "vec_id", "score")
-    assert sorted(map(tuple, got.collect())) == brute_top(vectors[:-1], 2, 3)
+    assert sorted(map(tuple, got.collect())) == brute_top(vectors, 2, 3)
+
+
+@pytest.mark.parametrize(("bucket", "digits"), [(4, 36), (2048, 36), (4, 14), (2048, 14)])
+def test_topk_of_repeated_ids_null_ids_and_long_vectors(spark, bucket, digits, monkeypatch):
+    monkeypatch.setattr(topk, "BUCKET", bucket)
+    rnd = random.Random(21)
+    vectors = [(50, [1.0]), (51, [2.0**24]), (52, [2.0]), (50, [3.0]), (50, [3.0]), (None, [9.0]), (None, None)]
+    vectors += [(100 + i, [rnd.choice([-1, 1]) * 10.0 ** rnd.randint(0, digits) * rnd.random() for _ in range(3)]) for i in range(60)]
+    vectors += [(50 * rnd.randint(4, 6), [rnd.gauss(0, 1), rnd.gauss(0, 1), 1.0]) for _ in range(12)]
+    got = topk.top_k(spark.createDataFrame([(i, e, "x") for i, e in vectors], "vec_id long, embedding array<double>, row string"))
+    got = sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute_top(vectors, 50, 5)
+    assert digits > 14 or got == oracle_top(vectors)  # DuckDB's integers end at 127 bits
+    assert (50, 1, 51, 2**40) in got
+
+
+def test_pruning_by_length_saves_products():
+    rng = np.random.default_rng(2)
+    v = np.floor(rng.normal(size=(20_000, 16)) * np.exp(rng.normal(size=(20_000, 1))) * 256)
+    made = []
+    topk.retrieve(v[:100], np.arange(100), np.full(100, np.iinfo(np.int64).min), v, np.arange(20_000), 5, made=made)
+    assert sum(made) < 0.3 * 100 * 20_000
 
 
 def test_coordinate_pruning_keeps_every_answer():
