@@ -1,12 +1,13 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 Training happens on the driver over a bounded sample: at most ``MAX_TRAINING_ROWS``
-labelled rows, those with the smallest hash of their id, so the choice doesn't depend on
+labelled ids, those with the smallest hash, so the choice doesn't depend on
 partitioning.  Only the statistics of those rows reach the driver.  The trees are complete
 binary trees flattened into arrays; scoring walks all trees of all rows with numpy.
 
 Defined cases: a null text counts as empty; rows without a label, or with a null id or
-label, train nothing; if the sample has one class only, every score is that class (an empty
+label, train nothing, nor do ids that are labelled both ways; of rows that share an id the
+one with the least statistics trains; if the sample has one class only, every score is that class (an empty
 sample gives 0.5).  Extra columns are ignored; repeated rows get equal scores.
 """
 
@@ -174,15 +175,17 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Forest:
-    sample = (
+    """A forest from one row for each of at most ``max_rows`` ids; ids that share texts or labels are reduced first."""
+    each = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
         .where("doc_id is not null and label is not null").where(~held_out(F.col("doc_id")))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
+        .groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other"))
     )
+    sample = each.where("label = other").select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     ids = F.broadcast(sample)  # at most max_rows rows of 12 bytes
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    stats = with_statistics(chosen).dropDuplicates(["doc_id", "x"])
-    rows = stats.join(ids, "doc_id").select("doc_id", "label", "x").limit(2 * max_rows).collect()
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).join(ids.select("doc_id"), "doc_id", "left_semi")
+    stats = with_statistics(chosen).groupBy("doc_id").agg(F.min("x").alias("x"))
+    rows = stats.join(ids, "doc_id").select("doc_id", "label", "x").collect()  # one row an id of the sample
     rows.sort()
     return fit(np.array([r.x for r in rows], float).reshape(len(rows), len(NAMES)), np.array([r.label for r in rows], float))
 
