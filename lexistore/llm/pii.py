@@ -122,33 +122,59 @@ ENDINGS = frozenset("com org net edu gov int info biz io co me tv us uk ie au ca
 
 
 class Mapped:
-    """A reading of a text: its characters, and the source span behind each."""
+    """A reading of a text that knows the source span behind each of its characters.
+
+    Every rewriting is a layer of edits: parallel lists of places in the text before and
+    after it.  A place is followed back layer by layer, by bisection, so memory grows with
+    the edits and not with the text.
+    """
 
     def __init__(self, text: str):
         self.text = text
-        self.starts = list(range(len(text)))
-        self.ends = list(range(1, len(text) + 1))
-        self.changed = [False] * len(text)
+        self.layers: list[tuple[list[int], list[int], list[int], list[int]]] = []
 
     def replace(self, pattern: re.Pattern, put) -> None:
         """Puts ``put(match)`` for every match; its characters all come from the whole match."""
-        text, starts, ends, changed, at = [], [], [], [], 0
+        pieces, at, place = [], 0, 0
+        starts, ends, before, after = [], [], [], []  # new start and end, old start and end
         for m in pattern.finditer(self.text):
             a, b, new = m.start(), m.end(), put(m)
             if new is None:
                 continue
-            text.append(self.text[at:a] + new)
-            starts += self.starts[at:a] + [self.starts[a]] * len(new)
-            ends += self.ends[at:a] + [self.ends[b - 1]] * len(new)
-            changed += self.changed[at:a] + [True] * len(new)
+            pieces += [self.text[at:a], new]
+            place += a - at
+            starts.append(place)
+            place += len(new)
+            ends.append(place)
+            before.append(a)
+            after.append(b)
             at = b
-        self.text = "".join(text) + self.text[at:]
-        self.starts = starts + self.starts[at:]
-        self.ends = ends + self.ends[at:]
-        self.changed = changed + self.changed[at:]
+        if starts:
+            self.text = "".join(pieces) + self.text[at:]
+            self.layers.append((starts, ends, before, after))
+
+    def _back(self, layer: tuple[list[int], ...], start: int, end: int) -> tuple[int, int, bool]:
+        """The span before a layer, and whether an edit of the layer is in it."""
+        starts, ends, before, after = layer
+        i = bisect_right(starts, start) - 1  # the last edit that starts at or before the span
+        j = bisect_right(starts, end - 1) - 1  # the same for its last character
+        inside_i, inside_j = i >= 0 and start < ends[i], j >= 0 and end - 1 < ends[j]
+        a = before[i] if inside_i else start + (after[i] - ends[i] if i >= 0 else 0)
+        b = after[j] if inside_j else end + (after[j] - ends[j] if j >= 0 else 0)
+        return a, b, inside_i or j > i
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        return self.starts[start], self.ends[end - 1]
+        for layer in reversed(self.layers):
+            start, end, _ = self._back(layer, start, end)
+        return start, end
+
+    def changed(self, start: int, end: int) -> bool:
+        """Whether any character of the span was put by an edit."""
+        for layer in reversed(self.layers):
+            start, end, hit = self._back(layer, start, end)
+            if hit:
+                return True
+        return False
 
 
 class Taken:
@@ -217,19 +243,19 @@ def hidden_spans(text: str, base: list[Span]) -> list[Span]:
             if raw != read and (not bare or _DOT.search(raw)) and (last in ENDINGS if worded else len(last) >= 2 and last.isalpha()):
                 add(0, a, b)
         for start, kind, end in base_spans(disguised.text):
-            if kind in (1, 3) and any(disguised.changed[start:end]):  # the kinds that are written with dots
+            if kind in (1, 3) and disguised.changed(start, end):  # the kinds that are written with dots
                 add(kind, *disguised.source(start, end))
         numbers = Mapped(plain)
         numbers.replace(_SPELLED_RUN, _digits_of)
         numbers.replace(_PLUS, lambda m: "+")
         for start, kind, end in base_spans(numbers.text):
-            if kind and any(numbers.changed[start:end]):
+            if kind and numbers.changed(start, end):
                 add(kind, *numbers.source(start, end))
         both = Mapped(plain)  # spelled numerals between disguised dots
         both.replace(_DOT, lambda m: ".")
         both.replace(_SPELLED_RUN, _digits_of)
         for start, kind, end in base_spans(both.text):
-            if kind == 1 and any(both.changed[start:end]):
+            if kind == 1 and both.changed(start, end):
                 add(kind, *both.source(start, end))
     return sorted(out)
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -311,6 +312,59 @@ def test_pii_hint_covers_what_is_rewritten():
         assert pii.scan_text(text) == pii.scan_text(text + "\n; this dot and"), text
 
 
+class CharByChar:
+    """A reading of a text with the source span of every single character."""
+
+    def __init__(self, text):
+        self.text, self.spans = text, [(i, i + 1, False) for i in range(len(text))]
+
+    def replace(self, pattern, put):
+        text, spans, at = "", [], 0
+        for m in pattern.finditer(self.text):
+            new = put(m)
+            if new is not None:
+                text += self.text[at : m.start()] + new
+                whole = self.spans[m.start()][0], self.spans[m.end() - 1][1], True
+                spans += self.spans[at : m.start()] + [whole] * len(new)
+                at = m.end()
+        self.text, self.spans = text + self.text[at:], spans + self.spans[at:]
+
+    def source(self, start, end):
+        return self.spans[start][0], self.spans[end - 1][1]
+
+    def changed(self, start, end):
+        return any(c for _, _, c in self.spans[start:end])
+
+
+def test_pii_added_spans_equal_a_reading_char_by_char(monkeypatch):
+    rnd = random.Random(31)
+    bits = [" (at) ", " [dot] ", " dot ", " at ", "@", ".", "ann", "host", "com", "org", "one", "two", "nine", "49", "170", "1234567", "10", "255", "plus ", " ", " ", "-", "4111", "1111", "é", "о", "７", "(.)", "(@)"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(2, 40))) for _ in range(15_000)]
+    got = [pii.scan_text(t) for t in texts]
+    monkeypatch.setattr(pii, "Mapped", CharByChar)
+    assert got == [pii.scan_text(t) for t in texts] and sum(bool(more) for _, more in got) > 500
+    for _ in range(2000):  # layer upon layer
+        text, layers = "".join(rnd.choice("abcd ") for _ in range(rnd.randint(1, 30))), [(re.compile(rnd.choice(["ab", "[cd]+", " ", "a.", "b|xy", "x+"])), rnd.choice(["x", "xyz", "b", "long one"])) for _ in range(3)]
+        monkeypatch.undo()
+        one, two = pii.Mapped(text), CharByChar(text)
+        for pattern, new in layers:
+            one.replace(pattern, lambda m: new)  # noqa: B023
+            two.replace(pattern, lambda m: new)  # noqa: B023
+        assert one.text == two.text
+        for a in range(len(one.text)):
+            b = rnd.randint(a + 1, len(one.text))
+            assert (one.source(a, b), one.changed(a, b)) == (two.source(a, b), two.changed(a, b))
+
+
+def test_pii_mapping_needs_memory_for_edits_only():
+    text = "word " * 200_000 + "ann (at) site (dot) org"
+    tracemalloc.start()
+    assert len(pii.scan_text(text)[1]) == 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6, peak
+
+
 def test_pii_is_linear_behind_disguises():
     for run in ("a" * 500_000, "1" * 500_000, "one " * 100_000, "a.b-" * 100_000, "a [at] " * 30_000):
         pii.scan_text(run + " x [at] " + run)
@@ -575,6 +629,21 @@ def test_quality_never_learns_held_out_labels(spark, texts, monkeypatch):
     assert scores[0] == scores[1] and set(scores[2].values()) == {0.5} and len(scores[0]) == len(texts)
 
 
+def test_quality_of_repeated_ids_and_labels(spark, texts):
+    rows = [t for t in texts if t][2:40]
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5][: len(rows)]
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "doc_id long, quality int")
+    plain = quality.train(frame(spark, rows, ids), labels, 30)
+    x = np.array([quality.statistics(t) for t in rows])
+    again = quality.train(frame(spark, rows[::-1] + rows, ids[::-1] + ids).repartition(7), labels.unionByName(labels).repartition(5), 30)
+    assert (plain.scores(x) == again.scores(x)).all() and len(set(plain.scores(x))) > 1
+    both = labels.unionByName(spark.createDataFrame([(ids[0], 1), (ids[1], 0)], "doc_id long, quality int"))
+    without = quality.train(frame(spark, rows, ids), labels.where(~F.col("doc_id").isin(ids[:2])))
+    assert (quality.train(frame(spark, rows, ids), both).scores(x) == without.scores(x)).all()
+    out = quality.score_documents(frame(spark, [rows[0], rows[0], None], [5, 5, None]), plain).collect()
+    assert out[0].score == out[1].score and len(out) == 3
+
+
 # 10
 
 
