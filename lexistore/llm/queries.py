@@ -61,7 +61,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.topology(SHARDS), SHARDS)
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.tree_of(SHARDS), sharding.tree_of(SHARDS + 1))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -13,6 +14,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 
 from lexistore.llm import decontaminate, jaccard_join, line_dedup, pii, quality, secrets, sentencepiece_codec, sharding, substring_dedup, topk
@@ -535,7 +537,47 @@ def test_sharding(spark, texts, monkeypatch):
             raw = by_text[r.doc_id].encode()
             assert (r.size, r.text_crc32, r.law) == (len(raw) + 8, zlib.crc32(raw), "key")
     assert len({r.shard for r in out if r.doc_id == 5}) == 1
-    assert sharding.shard_documents(docs.limit(0), sharding.topology(4), 4).count() == 0
+    assert sharding.shard_documents(docs.limit(0), sharding.tree_of(4), sharding.tree_of(5)).count() == 0
+    assert {r.grown_shard for r in sharding.shard_documents(docs.limit(9), sharding.tree_of(4)).collect()} == {None}
+
+
+def plain_shard(key, tree):
+    """The descent in plain Python."""
+
+    def draw(name, weight):
+        bits = xxhash.xxh64(f"{key}/{name}".encode(), seed=42).intdigest() >> 12
+        return -math.log((bits + 1.0) / 2.0**52) / weight
+
+    total = lambda node: sum(map(total, node.values())) if isinstance(node, dict) else node
+    region = min(tree, key=lambda r: draw(r, total(tree[r])))
+    rack = min(tree[region], key=lambda k: draw(k, total(tree[region][k])))
+    return min(tree[region][rack], key=lambda s: draw(f"shard{s}", tree[region][rack][s]))
+
+
+def test_each_shard_equals_a_plain_descent_and_more_shards_only_take(spark):
+    ids = [None, *range(-50, 5000), 2**63 - 1]
+    docs = frame(spark, ["x"] * len(ids), ids)
+    shard = {}
+    for count in (24, 25, 26, 27, 30):
+        out = sharding.shard_documents(docs, sharding.tree_of(count), sharding.tree_of(count + 1)).collect()
+        shard[count] = {r.doc_id: r.shard for r in out}
+        assert shard[count] == {i: plain_shard("null" if i is None else i, sharding.tree_of(count)) for i in ids}
+        assert all(r.grown_shard in (r.shard, count) for r in out) and {r.grown_shard for r in out} == set(range(count + 1))
+        shard[count + 1] = {r.doc_id: r.grown_shard for r in out}
+        assert max(Counter(shard[count].values()).values()) < 1.5 * len(ids) / count
+    for count in (24, 25, 26):
+        moved = [i for i in ids if shard[count][i] != shard[count + 1][i]]
+        assert moved and all(shard[count + 1][i] == count for i in moved)
+
+
+def test_slots_of_very_many_equal_rows(spark):
+    docs = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("text"), F.lit(1).alias("copies"))
+    out = sharding.shard_documents(docs, sharding.tree_of(5)).collect()
+    slots = defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert len(out) == 20_000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
 
 
 def test_weights_confine_movement(spark):
