@@ -10,18 +10,25 @@ reported only if the parts that complete them stand within ``scope`` code points
 Identifiers are ``access`` and ``user`` spans, secrets are ``assign``, ``hex`` and
 ``secret`` spans.  The linking is an interval join over bins as wide as the scope.  Of each
 role only the first start and the last end in a bin are kept, which is enough to decide
-"one within the scope" and keeps a document full of parts from making pairs.
+"one within the scope" and keeps a document full of parts from making pairs.  Weak spans
+that overlap a strong one are dropped.
 
-Defined cases: a null or empty text has no spans; rows equal in id and text get equal
-results; an empty table gives no rows; extra columns are ignored.
+Positions come from running sums over the lengths of matches and of what stands between
+them, in windows of one row's matches of one kind, so the work grows with the number of
+matches; only their lengths are shuffled, never texts.
+
+Defined cases: a null or empty text has no spans; every row is a document of its own, so
+rows equal in id and text get equal results; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Scratch, row_id_a, row_id_b
+from .common import Scratch
 
 # The base patterns of the scan, with the group whose length counts and the least length.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,30 +46,45 @@ WEAK = {
 }
 KINDS = [*STRONG, *WEAK]
 ROLE = {"access": "identifier", "user": "identifier", "assign": "secret", "hex": "secret", "secret": "secret"}
-SPAN = "array<struct<start:int,rank:int,end:int>>"
+SPANS = "array<struct<start:int,rank:int,end:int>>"
+MATCHES = "array<struct<rank:int,gap:int,size:int,keep:boolean>>"
 
 
 def found(text: Column, kind: str, spec: tuple[str, int, int]) -> Column:
-    """The kind's spans in order, leftmost and non-overlapping, in code points.
+    """The kind's matches, leftmost and non-overlapping: its rank, the code points before
+    each match since the last one, the match's own, and whether it is long enough.
 
-    ``split`` and ``regexp_extract_all`` walk the same matches, so the lengths of the
-    pieces between and of the matches add up to the positions.
+    ``split`` and ``regexp_extract_all`` walk the same matches.
     """
     pattern, group, least = spec
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    steps = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), whole.alias("whole"), inner.alias("inner"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.coalesce(F.length(x["whole"]), F.lit(0))
-        span = F.array(F.struct(start.cast("int").alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.cast("int").alias("end")))
-        keep = F.coalesce(F.length(x["inner"]), F.lit(0)) >= least
-        return F.struct(end.cast("int").alias("at"), F.when(keep, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    spans = F.aggregate(steps, first, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
+    lengths = lambda group: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.length(x))
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    steps = F.arrays_zip(gaps.alias("gap"), lengths(0).alias("size"), lengths(group).alias("inner"))
+    steps = F.slice(steps, 1, F.size(steps) - 1)  # after the last match comes the rest of the text
+    matches = F.transform(steps, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("rank"), x["gap"].alias("gap"), x["size"].alias("size"), (x["inner"] >= least).alias("keep")))
+    return F.when(text.rlike(pattern), matches).otherwise(F.array().cast(MATCHES))
+
+
+def placed(matches: DataFrame) -> DataFrame:
+    """(row, start, rank, end) in code points from (row, matches)."""
+    each = matches.select("row", F.posexplode("matches").alias("pos", "m")).select("row", "pos", "m.*")
+    walked = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    spans = each.withColumn("end", walked.cast("int")).where("keep")
+    return spans.select("row", (F.col("end") - F.col("size")).alias("start"), "rank", "end")
+
+
+def apart(spans: DataFrame) -> DataFrame:
+    """``spans`` without the weak ones that overlap a strong one of their row."""
+    strong = F.col("rank") < len(STRONG)
+    by_start = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    by_end = Window.partitionBy("row").orderBy(F.desc("end")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # a strong span that starts no later and ends after the start, or ends no earlier and starts before the end
+    reach = F.max(F.when(strong, F.col("end"))).over(by_start)
+    low = F.min(F.when(strong, F.col("start"))).over(by_end)
+    inner = F.max(F.when(strong, F.col("start"))).over(Window.partitionBy("row").orderBy("end").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    marked = spans.withColumn("reach", reach).withColumn("low", low).withColumn("inner", inner)
+    clear = F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("low") >= F.col("end"), F.lit(True)) & F.coalesce(F.col("inner") < F.col("start"), F.lit(True))
+    return marked.where(strong | clear).select("row", "start", "rank", "end")
 
 
 def joined(spans: Column) -> Column:
@@ -72,44 +94,40 @@ def joined(spans: Column) -> Column:
     return F.array_join(parts, ",")
 
 
-def linked(spans: DataFrame, scope: int) -> DataFrame:
-    """(row_a, row_b, start, rank, end) of the weak spans whose complements are in reach.
-
-    ``spans``: row_a, row_b, strong, weak (arrays of spans).
-    """
+def linked(parts: DataFrame, scope: int) -> DataFrame:
+    """The weak spans (row, start, rank, end) whose complements are in reach, of ``parts`` of the same columns."""
     rank = {k: KINDS.index(k) for k in KINDS}
     role = F.lit(None).cast("string")
     for kind, name in ROLE.items():
-        role = F.when(F.col("s.rank") == rank[kind], name).otherwise(role)
-    # a document without weak spans has nothing to report
-    parts = spans.where(F.size("weak") > 0).select("row_a", "row_b", F.explode(F.concat("strong", "weak")).alias("s"))
-    parts = parts.select("row_a", "row_b", "s.start", "s.rank", "s.end", role.alias("role"))
-    key = ["row_a", "row_b"]
-    weak = parts.where(F.col("rank") >= len(STRONG)).drop("role").distinct()
-    by_bin = parts.where("role is not null").select(*key, "role", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))).alias("bin"))
-    held = by_bin.groupBy(*key, "role", "bin").agg(F.min("start").alias("first_start"), F.max("end").alias("last_end"))
+        role = F.when(F.col("rank") == rank[kind], name).otherwise(role)
+    weak = parts.where(F.col("rank") >= len(STRONG))
+    by_bin = parts.withColumn("role", role).where("role is not null").select("row", "role", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))).alias("bin"))
+    held = by_bin.groupBy("row", "role", "bin").agg(F.min("start").alias("first_start"), F.max("end").alias("last_end"))
     asks = weak.select("*", F.explode(F.sequence(F.floor(F.col("start") / scope) - 1, F.floor(F.col("end") / scope) + 1)).alias("bin"))
     near = (F.col("last_end") >= F.col("start") - scope) & (F.col("first_start") <= F.col("end") + scope)
-    met = asks.join(held, [*key, "bin"]).where(near)
+    met = asks.join(held, ["row", "bin"]).where(near)
     flag = lambda name: F.max(F.col("role") == name).alias(name)
-    met = met.groupBy(*key, "start", "rank", "end").agg(flag("identifier"), flag("secret"))
+    met = met.groupBy("row", "start", "rank", "end").agg(flag("identifier"), flag("secret"))
     enough = (
         F.when(F.col("rank") == rank["secret"], F.col("identifier"))
         .when(F.col("rank") == rank["user"], F.col("secret"))
         .otherwise(F.col("identifier") & F.col("secret"))
     )
-    return met.where(enough).select(*key, "start", "rank", "end")
+    return met.where(enough).select("row", "start", "rank", "end")
 
 
 def scan_secrets(docs: DataFrame, scope: int = 400) -> DataFrame:
     """doc_id, strong and linked: arrays of (start, rank in KINDS, end), a row for each row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id_a(), row_id_b(), text.alias("text"))
-    arrays = {name: F.concat(*[found(F.col("text"), k, v) for k, v in specs.items()]).alias(name) for name, specs in (("strong", STRONG), ("weak", WEAK))}
     scratch = Scratch(docs.sparkSession, "secrets")
-    rows = base.select("doc_id", "row_a", "row_b", *arrays.values())
-    apart = lambda w: ~F.exists("strong", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    spans = scratch.write(rows.withColumn("weak", F.filter("weak", apart)), "spans")
-    key = ["row_a", "row_b"]
-    more = linked(spans, scope).groupBy(*key).agg(F.collect_set(F.struct("start", "rank", "end")).alias("linked"))
-    return spans.join(more, key, "left").select("doc_id", "strong", F.coalesce("linked", F.array().cast(SPAN)).alias("linked"))
+    matches = F.concat(*[found(F.col("text"), k, v) for k, v in {**STRONG, **WEAK}.items()]).alias("matches")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = scratch.write(rows.select("row", "doc_id", matches), "matches")  # the written number is the row's name from here on
+    spans = scratch.write(placed(rows.where(F.size("matches") > 0).select("row", "matches")), "spans")
+    # a document without weak spans has nothing to link
+    asking = spans.where(F.col("rank") >= len(STRONG)).select("row").distinct()
+    parts = scratch.write(apart(spans.join(asking, "row", "left_semi")), "parts")
+    listed = lambda df, name: df.groupBy("row").agg(F.collect_list(F.struct("start", "rank", "end")).alias(name))
+    strong, more = listed(spans.where(F.col("rank") < len(STRONG)), "strong"), listed(linked(parts, scope), "linked")
+    none = lambda name: F.coalesce(name, F.array().cast(SPANS)).alias(name)
+    return rows.select("row", "doc_id").join(strong, "row", "left").join(more, "row", "left").select("doc_id", none("strong"), none("linked"))
