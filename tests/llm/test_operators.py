@@ -517,6 +517,39 @@ def test_seeds_shared_by_many_items_and_places():
     assert items.hits(hashes.tokens(""), 0.8) == [] and decontaminate.Items([(1, "")]).hits(doc, 0.8) == []
 
 
+def test_a_hot_seed_makes_no_pairs_of_places(spark):
+    items = decontaminate.Items([(1, "x " * 1500)])
+    doc = decontaminate.TokenHashes().tokens("x " * 100_000)
+    began = time.process_time()
+    ((places),) = items._near(doc, 0.8).values()
+    assert len(places) == 100_000 - 4 and [h[:2] for h in items.hits(doc, 0.8)] == [(1, 1.0)]
+    assert time.process_time() - began < 10
+
+
+def test_boilerplate_seeds_are_not_asked_for(spark):
+    rnd = random.Random(3)
+    common, rare = prose(rnd, 12, 5000), prose(rnd, 28, 5000)
+    tokens = decontaminate.TokenHashes().tokens(f"{common} {rare}")
+    seeds = decontaminate.seeds_of(tokens, 5).view(np.int64).tolist()
+    asked = decontaminate.asked_seeds(tokens, {s: 10**6 if n < 8 else 1 for n, s in enumerate(seeds)}, 0.8)
+    assert asked and not set(asked) & set(seeds[:8])
+    assert decontaminate.asked_seeds(tokens, dict.fromkeys(seeds[:8], 5), 0.8) == []  # these alone can't reach it
+    docs = frame(spark, [f"{common} {prose(rnd, 30, 5000)}" for _ in range(300)] + [f"{rare} and {common}", common])
+    bench = spark.createDataFrame([(1, f"{common} {rare}"), (1, rare), (2, "other words that nobody has at all")], "item_id long, text string")
+    found = decontaminate.find_contamination(docs, bench)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    assert {r.row.doc_id: [(h.item_id, h.coverage) for h in r.hits] for r in found.collect() if r.hits} == {300: [(1, 1.0)]}
+
+
+def test_decontamination_of_repeated_rows_and_items(spark):
+    rnd = random.Random(8)
+    item, other = prose(rnd, 30, 5000), prose(rnd, 30, 5000)
+    docs = frame(spark, [item, item, f"{other} {item}", other, None], [1, 1, 1, None, None])
+    bench = spark.createDataFrame([(5, item), (5, item), (5, other), (6, " ".join(item.split()[:20]))], "item_id long, text string")
+    found = decontaminate.find_contamination(docs, bench, block_bytes=1)
+    assert sorted((r.row.doc_id or 0, [h.item_id for h in r.hits]) for r in found.collect()) == [(0, []), (0, [5]), (1, [5, 6]), (1, [5, 6]), (1, [5, 6])]
+
+
 # 7
 
 
