@@ -18,6 +18,7 @@ NULL_ID = -(2**63)
 
 #: Odd multiplier of the polynomial hashes over word or line hashes (mod 2**64).
 BASE = np.uint64(0x9E3779B97F4A7C15)
+OTHER_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 BATCH_BYTES = 4 << 20
 
@@ -83,6 +84,12 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def tidy(self, *names: str) -> None:
+        """Drops tables, and has Spark's cleaner free the shuffle files of plans that are gone."""
+        for name in names:
+            self.drop(name)
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         self.drop()
         atexit.unregister(self._quietly_drop)
@@ -155,14 +162,14 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(values: np.ndarray, width: int, base: np.uint64 = BASE) -> np.ndarray:
     """Polynomial hash of every ``width`` consecutive values, mixed; empty if there are fewer."""
     n = len(values) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
         have, piece, step = None, values, 1  # piece: hashes of the last power of two
-        size, power = 0, BASE
+        size, power = 0, base
         rest = width
         while True:
             if rest & 1:

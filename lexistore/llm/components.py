@@ -26,12 +26,15 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             after = hook.select(F.col("x").alias("to"), F.col("to").alias("far"))
             hook = scratch.write(hook.join(after, "to").select("x", F.col("far").alias("to")), f"{name}-{jump}-{step}")
         if labels is None:
-            labels = hook.select("x", F.col("to").alias("label"))
+            found = hook.select("x", F.col("to").alias("label"))
         else:
             further = hook.select(F.col("x").alias("label"), "to")
-            labels = scratch.write(labels.join(further, "label", "left").select("x", F.coalesce("to", "label").alias("label")), f"{name}-labels-{step}")
+            found = labels.join(further, "label", "left").select("x", F.coalesce("to", "label").alias("label"))
+        labels = scratch.write(found, f"{name}-labels-{step}")
         ends = edges.join(hook.select("x", F.col("to").alias("fx")), "x").join(hook.select(F.col("x").alias("y"), F.col("to").alias("fy")), "y")
         edges = scratch.write(ends.where("fx <> fy").select(F.col("fx").alias("x"), F.col("fy").alias("y")).distinct(), f"{name}-edges-{step + 1}")
+        for done in (f"{name}-edges-{step}", f"{name}-near-{step}", f"{name}-once-{step}", f"{name}-twice-{step}", *([f"{name}-labels-{step - 1}"] if step else [])):
+            scratch.drop(done)
         step += 1
         if edges.isEmpty():
             return labels

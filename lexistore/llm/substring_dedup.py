@@ -1,17 +1,23 @@
 """Substring dedup over a compacted de Bruijn graph of word k-mers.
 
-An edge of the graph is a window of ``WINDOW`` words.  Each window has an anchor, the least
-hash among its ``ANCHOR``-word pieces; consecutive windows of a text with the same anchor
-form a path of edges.  The anchor and the path's own content depend on the words alone, so
-equal passages have equal paths.  Anchors that occur once can't belong to a repeated
-window and are gone after the first join.  Of the rest, a path is nonbranching if all its
-occurrences have the same content: such paths stay compacted, one row for all their
-edges, all of them repeated.  Where an anchor has several contents the paths branch;
-only there the edges are counted one by one, once for each different content.
-
-Paths and edges are identified by two independent 64-bit hashes of their words at the
-source coordinates (row key and word numbers), which stand for a comparison of the words.
-Coordinates of repeated paths and edges then go back to the documents.
+An edge of the graph is a window of ``WINDOW`` words.  It is compacted in two steps.
+
+First inside the texts: each window has an anchor, the least hash among its
+``ANCHOR``-word pieces, and consecutive windows of a text with the same anchor form a path.
+The anchor and the path's own content depend on the words alone, so equal passages
+have equal paths.  Anchors that occur once can't belong to a repeated window and are gone
+after the first join.  Where all paths of an anchor have the same content, or a content occurs
+more than once, a path stays one unit; elsewhere the repeated windows are units, listed
+once for each different content.
+
+Then across paths, through Spark joins: a unit that is always followed by one other, which
+always follows it, is joined to it; chains of such nonbranching units are contracted by
+following pointers (``components``).  What is left are maximal runs: every occurrence of
+a run has the same units from its first to its last.
+
+Hashes (two of 64 bits with different bases) only propose.  Each run's words are read again at
+its source coordinates (row key and word numbers), and a run is removed if it
+occurs at least twice and SHA-256 of its words is the same at all its occurrences.
 
 A window counts as repeated if its words start anywhere else too, also in the same
 document and in overlap.  Defined cases: a null text has no words; texts of fewer words
@@ -22,20 +28,24 @@ their windows are repeated; an empty table gives no rows.  Extra columns are ign
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import BASE, Scratch, WordHashes, by_shuffle, keyed_texts, mix, row_id_a, row_id_b, salted, window_hashes
+from .common import BASE, OTHER_BASE, Scratch, WordHashes, by_shuffle, keyed_texts, mix, row_id_a, row_id_b, salted, window_hashes
+from .components import components
 
 WINDOW = 35
 ANCHOR = 8
 OTHER = 0x5BD1E995  # seed of the second hash
 ROW = ["row_a", "row_b"]
 PATH = ["path_a", "path_b"]
+UNIT = "struct<kind:int,a:long,b:long>"
+Hashes = Callable[[], WordHashes]
 
 
 def anchors(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,17 +70,18 @@ def anchors(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.nda
 
 
 class Powers:
-    """BASE**i and BASE**-i, grown as needed."""
+    """base**i and base**-i, grown as needed."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: np.uint64) -> None:
+        self.base = base
         self.up = self.down = np.ones(1, np.uint64)
-        self.inverse = np.uint64(pow(int(BASE), -1, 2**64))
+        self.inverse = np.uint64(pow(int(base), -1, 2**64))
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 2 * len(self.up))
             with np.errstate(over="ignore"):
-                self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, BASE, np.uint64))])
+                self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, self.base, np.uint64))])
                 self.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, self.inverse, np.uint64))])
         return self.up, self.down
 
@@ -83,18 +94,18 @@ def range_hashes(h: np.ndarray, first: np.ndarray, end: np.ndarray, powers: Powe
         return mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
 
 
-def _paths(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
+def _paths(keyed: DataFrame, window: int, anchor: int, make: Hashes) -> DataFrame:
     schema = "anchor long, path_a long, path_b long, row_a long, row_b long, first int, last int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = WordHashes(), Powers()
+        hashes, powers, others = make(), Powers(BASE), Powers(OTHER_BASE)
         for batch in batches:
             parts: list[list[np.ndarray]] = [[] for _ in range(6)]
             for i, text in enumerate(batch.column("text").to_pylist()):
                 h = hashes.of(text.encode("utf-8", "surrogatepass").split())
                 a, first, last = anchors(h, window, anchor)
                 if len(a):
-                    own = (np.full(len(a), i), a, range_hashes(h, first, last + window, powers), range_hashes(salted(h, OTHER), first, last + window, powers), first, last)
+                    own = (np.full(len(a), i), a, range_hashes(h, first, last + window, powers), range_hashes(salted(h, OTHER), first, last + window, others), first, last)
                     for part, x in zip(parts, own, strict=True):
                         part.append(x)
             at, a, x, y, first, last = (np.concatenate(p) if p else np.empty(0, np.int64) for p in parts)
@@ -105,17 +116,17 @@ def _paths(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
     return keyed.mapInArrow(run, schema)
 
 
-def _edges(listed: DataFrame, window: int) -> DataFrame:
+def _edges(listed: DataFrame, window: int, make: Hashes) -> DataFrame:
     """A row for each window of the listed paths (``paths``: first and last windows)."""
     schema = "edge_a long, edge_b long, row_a long, row_b long, first int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = make()
         for batch in batches:
             at, x, y, places = [], [], [], []
             for i, (text, paths) in enumerate(zip(batch.column("text").to_pylist(), batch.column("paths").to_pylist(), strict=True)):
                 h = hashes.of(text.encode("utf-8", "surrogatepass").split())
-                a, b = window_hashes(h, window), window_hashes(salted(h, OTHER), window)
+                a, b = window_hashes(h, window), window_hashes(salted(h, OTHER), window, OTHER_BASE)
                 place = np.unique(np.concatenate([np.arange(p["first"], p["last"] + 1) for p in paths]))
                 at.append(np.full(len(place), i))
                 x.append(a[place])
@@ -129,27 +140,82 @@ def _edges(listed: DataFrame, window: int) -> DataFrame:
     return listed.mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """row_a, row_b, spans: array of (first, last) ranges of repeated windows."""
-    scratch = Scratch(docs.sparkSession, "substring-dedup")
-    keyed = keyed_texts(docs)
-    paths = _paths(keyed, window, anchor)
-    seen = paths.groupBy("anchor").agg(F.count("*").alias("n"), F.min("path_a").alias("least"), F.max("path_a").alias("most"))
+def _digests(listed: DataFrame, window: int) -> DataFrame:
+    """(label, digest) of every run of the listed rows (``runs``: first and last windows, label): SHA-256 of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs"), strict=True):
+                words = text.encode("utf-8", "surrogatepass").split()
+                firsts, lasts = (runs.values.field(c).to_pylist() for c in ("first", "last"))
+                sums += [hashlib.sha256(b" ".join(words[a : b + window])).digest() for a, b in zip(firsts, lasts, strict=True)]
+            labels = [runs.values.field("label") for runs in batch.column("runs")]
+            labels = pa.concat_arrays(labels) if labels else pa.array([], batch.schema.field("runs").type.value_type.field("label").type)
+            yield pa.RecordBatch.from_arrays([labels, pa.array(sums, pa.binary())], ["label", "digest"])
+
+    return listed.mapInArrow(run, f"label {UNIT}, digest binary")
+
+
+def _occurrences(keyed: DataFrame, window: int, anchor: int, scratch: Scratch, hashes: Hashes) -> DataFrame:
+    """row_a, row_b, first, last, unit of all units that occur more than once."""
+    paths = _paths(keyed, window, anchor, hashes)
+    content = F.struct(*PATH)
+    seen = paths.groupBy("anchor").agg(F.count("*").alias("n"), F.min(content).alias("least"), F.max(content).alias("most"))
     # written first: both sides of the join are plain shuffles, so Spark can split a hot anchor
     nodes = scratch.write(seen.where("n > 1").select("anchor", (F.col("least") != F.col("most")).alias("branches")), "nodes")
     met = scratch.write(paths.join(nodes, "anchor").drop("anchor"), "met")
-    straight = met.where("not branches").select(*ROW, "first", "last")
     contents = met.where("branches").groupBy(*PATH).agg(F.count("*").alias("n"), F.min(F.struct(*ROW, "first", "last")).alias("source"))
     contents = scratch.write(contents, "contents")
-    same = met.where("branches").join(contents.where("n > 1").select(*PATH), PATH).select(*ROW, "first", "last")
+    scratch.tidy("nodes")
     sources = contents.select("source.*").groupBy(*ROW).agg(F.collect_list(F.struct("first", "last")).alias("paths"))
-    edges = scratch.write(_edges(keyed.join(by_shuffle(sources), ROW), window), "edges")
+    edges = scratch.write(_edges(keyed.join(by_shuffle(sources), ROW), window, hashes), "edges")
     twice = scratch.write(edges.groupBy("edge_a", "edge_b").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
-    single = edges.join(twice, ["edge_a", "edge_b"]).select(*ROW, "first", F.col("first").alias("last"))
-    spans = straight.unionByName(same).unionByName(single)
-    spans = scratch.write(spans.groupBy(*ROW).agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
-    for name in ("nodes", "met", "contents", "edges", "twice"):
-        scratch.drop(name)
+    unit = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b")).alias("unit")
+    same = met.where("branches").join(contents.where("n > 1").select(*PATH), PATH)
+    whole = met.where("not branches").drop("branches").unionByName(same.drop("branches")).select(*ROW, "first", "last", unit(0, *PATH))
+    single = edges.join(twice, ["edge_a", "edge_b"]).select(*ROW, "first", F.col("first").alias("last"), unit(1, "edge_a", "edge_b"))
+    found = scratch.write(whole.unionByName(single).distinct(), "occurrences")  # rows that share a key once
+    scratch.tidy("met", "contents", "edges", "twice")
+    return found
+
+
+def _runs(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """row_a, row_b, first, last, label: occurrences with nonbranching chains of units contracted."""
+    row = Window.partitionBy(*ROW, "unit.kind").orderBy("first")
+    after, before = F.lead(F.struct("first", "unit")).over(row), F.lag(F.struct("last", "unit")).over(row)
+    beside = found.select("unit", F.col("first"), F.col("last"), after.alias("after"), before.alias("before"))
+    beside = beside.select("unit", F.when(F.col("after.first") == F.col("last") + 1, F.col("after.unit")).alias("next"), F.when(F.col("before.last") + 1 == F.col("first"), F.col("before.unit")).alias("previous"))
+    sole = lambda c: F.when((F.min(c) == F.max(c)) & (F.count(c) == F.count("*")), F.min(c)).alias(c)
+    degrees = scratch.write(beside.groupBy("unit").agg(sole("next"), sole("previous")).where("next is not null or previous is not null"), "degrees")
+    back = degrees.where("previous is not null").select(F.col("unit").alias("y"), F.col("previous").alias("x"))
+    links = degrees.where("next is not null").select(F.col("unit").alias("x"), F.col("next").alias("y")).join(back, ["x", "y"])
+    links = scratch.write(links, "links")
+    labels = components(links, scratch, "chains")
+    chained = labels.select(F.col("x").alias("unit"), "label").join(links.select(F.col("y").alias("unit"), F.lit(False).alias("head")), "unit", "left")
+    chained = scratch.write(chained, "chained")
+    placed = found.join(by_shuffle(chained), "unit", "left")
+    placed = placed.select(*ROW, "first", "last", F.col("unit.kind").alias("kind"), F.coalesce("label", "unit").alias("label"), F.coalesce("head", F.lit(True)).alias("head"))
+    # every occurrence of a chain begins with its head and is whole
+    number = F.sum(F.col("head").cast("long")).over(Window.partitionBy(*ROW, "kind").orderBy("first").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = placed.withColumn("number", number).groupBy(*ROW, "kind", "number").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("label").alias("label"))
+    runs = scratch.write(runs.drop("kind", "number"), "runs")
+    scratch.tidy("occurrences", "degrees", "links", "chained")
+    return runs
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hashes: Hashes = WordHashes) -> DataFrame:
+    """row_a, row_b, spans: array of (first, last) ranges of repeated windows.  ``hashes`` makes the word hashes of a task."""
+    scratch = Scratch(docs.sparkSession, "substring-dedup")
+    keyed = keyed_texts(docs)
+    runs = _runs(_occurrences(keyed, window, anchor, scratch, hashes), scratch)
+    listed = runs.groupBy(*ROW).agg(F.collect_list(F.struct("first", "last", "label")).alias("runs"))
+    digests = _digests(keyed.join(by_shuffle(listed), ROW).select("text", "runs"), window)
+    proven = digests.groupBy("label").agg(F.count("*").alias("n"), F.min("digest").alias("least"), F.max("digest").alias("most"))
+    proven = scratch.write(proven.where("n > 1 and least = most").select("label"), "proven")
+    spans = runs.join(by_shuffle(proven), "label").groupBy(*ROW).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = scratch.write(spans, "spans")
+    scratch.tidy("runs", "proven")
     return spans
 
 

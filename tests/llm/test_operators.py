@@ -430,6 +430,37 @@ def test_substring_dedup(spark, texts, monkeypatch):
         assert [out[i].encode() for i in range(len(rows))] == brute_kept(rows, window)[1]
 
 
+def test_substring_dedup_of_rows_equal_in_id_and_text(spark):
+    rnd = random.Random(3)
+    same, lone, short = prose(rnd, 90), prose(rnd, 90), prose(rnd, 20)
+    docs = frame(spark, [same, same, lone, short, short, None, None], [1, 1, 2, 3, 3, None, None])
+    out = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.without_repeats(docs).collect())
+    assert out == [(0, 0, 0), (0, 0, 0), (1, 90, 90), (1, 90, 90), (2, 90, 0), (3, 20, 0), (3, 20, 0)]
+
+
+def test_substring_dedup_reads_the_words_again(spark):
+    class Weak(substring_dedup.WordHashes):  # every word has the same hash
+        def __missing__(self, word):
+            return 5
+
+    rnd = random.Random(4)
+    docs = frame(spark, [prose(rnd, 80, 5000) for _ in range(6)])
+    spans = substring_dedup.repeated_spans(docs, hashes=lambda: Weak())
+    assert spans.count() == 0
+
+
+def test_substring_dedup_contracts_chains(spark):
+    rnd = random.Random(5)
+    passage = prose(rnd, 400, 5000)
+    docs = substring_dedup.keyed_texts(frame(spark, [f"{prose(rnd, 30, 5000)} {passage} {prose(rnd, 30, 5000)}" for _ in range(5)] + [passage]))
+    scratch = Scratch(spark, "chains")
+    found = substring_dedup._occurrences(docs, 35, 8, scratch, substring_dedup.WordHashes)
+    units = found.count()
+    runs = substring_dedup._runs(found, scratch).collect()
+    assert units > 120 and len(runs) <= 6 * 3
+    assert all(max(r["last"] - r["first"] for r in runs if r.row_a == i) > 300 for i in range(6))
+
+
 # 6
 
 
