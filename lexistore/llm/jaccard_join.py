@@ -5,21 +5,25 @@ of them stands for it.  In the common random order of the hashes two sets of Jac
 similarity t or more share one of their first tokens: certainly one of the first
 n - ceil(t n) + 1, and one of the first ``m`` but for a chance of 2 (1 - t)**m, with ``m``
 chosen to make that less than 2**-64, the chance that two shingles share a hash.  The
-shorter of the two prefixes is used.
+shorter of the two prefixes is used; with ``exact`` it is always the first of them.
 
 Classes that share a prefix token meet in a group.  A group is a signature tree over its
 members in order of size: nodes hold OR-combined token bitmaps, size ranges and the slack
 that the bitmaps can't see; a dual traversal drops pairs of nodes whose largest possible
 overlap is too small, and pairs of nodes already in one component.  Bitmaps grow
-with the sets, so large sets are told apart as well as small ones.  Groups of more than
-``BLOCK`` members are dealt into blocks that meet in pairs, so no task holds a whole hot group.
-Tokens with the same members make one group.
+with the sets, so large sets are told apart as well as small ones.  Tokens with the same
+members (by number and a 128-bit sum of the members' own hashes) make one group.
 
 Two rounds: the first emits a spanning forest of each group's possible links, verifies them
 on the texts and joins the components they give; the second emits what possible links
 remain between different components and verifies all of them.  No link between different
 components is left out, and a large group of near copies never makes all its pairs.
 
+No task holds a whole hot group.  In the first round a group of more than ``BLOCK`` members
+is dealt into blocks of which each meets the next one, so a member is sent twice at most.
+Before the second round a group whose members are all in one component is gone.  What is
+left of a hot group is dealt by size first: only blocks whose sizes may link meet.
+
 Defined cases: a text without words, or null, has no shingles and no links and is its own
 component; fewer words than the shingle width make one shingle; null ids never label a
 component that holds another id; rows equal in id and text are in one component; an empty
@@ -33,14 +37,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, by_shuffle, keyed_texts, mix, salted, window_hashes
+from .common import Scratch, WordHashes, by_shuffle, keyed_texts, mix, row_id_a, row_id_b, salted, window_hashes
 from .components import components
 
 LEAST_BITS, MOST_BITS = 2048, 1 << 17
 BLOCK = 2048
+BANDED = 1 << 32  # blocks that a band of sizes may have
 LEAF, FANOUT = 32, 8
 ROW = ["row_a", "row_b"]
 NODE = "struct<a:long,b:long>"
@@ -56,9 +61,9 @@ def shingle_set(text: str, width: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(window_hashes(h, width))
 
 
-def prefix_length(n: int, percent: int) -> int:
+def prefix_length(n: int, percent: int, exact: bool = False) -> int:
     sure = n - -(-percent * n // 100) + 1
-    return min(sure, math.ceil(65 / math.log2(1 / (1 - percent / 100))))
+    return sure if exact else min(sure, math.ceil(65 / math.log2(1 / (1 - percent / 100))))
 
 
 def signature(s: np.ndarray) -> tuple[bytes, int]:
@@ -71,7 +76,7 @@ def signature(s: np.ndarray) -> tuple[bytes, int]:
     return np.packbits(bits, bitorder="little").tobytes(), len(s) - int(bits.sum())
 
 
-def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _sets(docs: DataFrame, width: int, percent: int, exact: bool) -> DataFrame:
     schema = "row_a long, row_b long, doc_id long, n long, key_a long, key_b long, bits binary, slack int, tokens array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +86,7 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, width, hashes)
                 sig, slack = signature(s)
-                first = s[: prefix_length(len(s), percent)] if len(s) else s
+                first = s[: prefix_length(len(s), percent, exact)] if len(s) else s
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     a.append(mix(s).sum(dtype=np.uint64))
@@ -273,16 +278,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.select("x", "y", "text_x", "text_y").mapInArrow(run, f"x {NODE}, y {NODE}")
 
 
-def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _chained(members: DataFrame) -> DataFrame:
+    """Members (token, node, c) with their blocks i and j: neighbours in a ring-free row of blocks."""
+    parts = F.ceil(F.col("c") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("node", "token"), parts).cast("int")
+    last = F.greatest(parts - 2, F.lit(0))  # the last block that has one after it; a single block is by itself
+    firsts = F.array_distinct(F.array(F.greatest(block - 1, F.lit(0)), F.least(block, last)))
+    dealt = members.select("token", "node", F.explode(firsts).alias("i"))
+    return dealt.select("token", "node", "i", (F.col("i") + 1).alias("j"), F.lit(0).alias("own"))
+
+
+def _paired(members: DataFrame, percent: int) -> DataFrame:
+    """Members (token, node, n, c and more) for every pair of blocks that may hold links, with their own block.
+
+    A group of at most BLOCK members is one block.  In others a block belongs to a band of
+    sizes, and sets of bands that aren't neighbours can't link.
+    """
+    band = F.when(F.col("c") > BLOCK, F.floor(F.log("n") / math.log(100 / percent) + 1e-9)).otherwise(0).cast("long")
+    members = members.withColumn("band", band)
+    counts = members.where(F.col("c") > BLOCK).groupBy("token", "band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+    for name, shift in (("above", 1), ("below", -1)):
+        members = members.join(counts.select("token", (F.col("band") - shift).alias("band"), F.col("parts").alias(name)), ["token", "band"], "left")
+    members = members.join(counts, ["token", "band"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.col("band") * BANDED + F.pmod(F.xxhash64("node", "token"), F.col("parts"))
+    members = members.withColumn("own", own)
+
+    def others(parts: Column, shift: int) -> Column:
+        first = (F.col("band") + shift) * BANDED
+        return F.when(parts > 0, F.sequence(first, first + parts - 1)).otherwise(F.array().cast("array<long>"))
+
+    met = F.concat(others(F.col("parts"), 0), others(F.col("above"), 1), others(F.col("below"), -1))
+    members = members.withColumn("met", F.explode(met))
+    return members.withColumn("i", F.least("own", "met")).withColumn("j", F.greatest("own", "met")).drop("band", "above", "below", "parts", "met")
+
+
+def jaccard_components(docs: DataFrame, width: int, percent: int, exact: bool = False) -> DataFrame:
     """row_a, row_b, doc_id, n_shingles, component_id, root: a row for each row of ``docs``.
 
     ``root`` tells components apart that share their least id, or have none; it is null without shingles.
+    ``exact`` takes the whole prefix, about (100 - percent) % of every set, at its cost in shuffle.
     """
     scratch = Scratch(docs.sparkSession, "jaccard-join")
     keyed = keyed_texts(docs)
     with_id = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     with_id = keyed_rows(with_id)
-    sets = scratch.write(_sets(with_id, width, percent), "sets")
+    sets = scratch.write(_sets(with_id, width, percent, exact), "sets")
     node = F.struct(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
     filled = sets.where("n > 0").withColumn("node", node)
     classes = filled.groupBy("node").agg(F.min(F.struct(*ROW)).alias("at"), F.min("doc_id").alias("label"))
@@ -292,29 +332,29 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     reps = scratch.write(reps, "reps")
 
     prefix = reps.select("node", F.explode("tokens").alias("token"))
-    low = F.col("node.a").bitwiseAND(F.lit(0xFFFFFFFF))
-    met = prefix.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("least"), F.max("node").alias("most"), F.sum(low).alias("sum"))
+    met = prefix.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor("node.a").alias("sum_a"), F.bit_xor("node.b").alias("sum_b"))
     # tokens of the same members would make the same pairs again
-    groups = scratch.write(met.where("c > 1").groupBy("c", "least", "most", "sum").agg(F.min("token").alias("token")).select("token", "c"), "groups")
-    members = prefix.join(groups, "token")
-    parts = F.ceil(F.col("c") / BLOCK).cast("int")
-    members = members.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node", "token"), F.col("parts")).cast("int"))
-    members = members.select("node", "token", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    members = members.select("node", "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    members = scratch.write(members, "members")
+    groups = scratch.write(met.where("c > 1").groupBy("c", "sum_a", "sum_b").agg(F.min("token").alias("token")).select("token", "c"), "groups")
+    members = scratch.write(prefix.join(groups, "token"), "members")
     rows = members.select("node").distinct().join(reps.select(*ROW, "node"), "node").select(*ROW, "node")
     texts = scratch.write(keyed.join(by_shuffle(rows), ROW).select("node", "text").dropDuplicates(["node"]), "texts")
+    scratch.tidy("groups")
 
-    described = members.join(reps.select("node", "n", "bits", "slack"), "node")
+    about = reps.select("node", "n", "bits", "slack")
     columns = ["token", "i", "j", "own", "node.a", "node.b", "n", "bits", "slack"]
-    first = _possible(described.select(*columns, F.col("node.a").alias("component_a"), F.col("node.b").alias("component_b")), percent, True)
+    first = _possible(_chained(members).join(about, "node").select(*columns, F.col("node.a").alias("component_a"), F.col("node.b").alias("component_b")), percent, True)
     first = scratch.write(first, "pairs-1")
     links = scratch.write(_verified(first, texts, width, percent), "links-1")
     labels = components(links, scratch, "labels-1")
 
-    placed = described.join(labels.withColumnRenamed("x", "node"), "node", "left").withColumn("component", F.coalesce("label", "node"))
-    second = _possible(placed.select(*columns, F.col("component.a").alias("component_a"), F.col("component.b").alias("component_b")), percent, False)
+    placed = members.join(labels.withColumnRenamed("x", "node"), "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
+    placed = scratch.write(placed, "placed")
+    open_groups = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
+    placed = placed.join(open_groups, "token", "left_semi").join(reps.select("node", "n"), "node")
+    placed = scratch.write(_paired(placed, percent).drop("n", "c"), "paired")
+    second = _possible(placed.join(about, "node").select(*columns, F.col("component.a").alias("component_a"), F.col("component.b").alias("component_b")), percent, False)
     second = scratch.write(second.join(first, ["x", "y"], "left_anti"), "pairs-2")
+    scratch.tidy("members", "placed", "paired", "reps")
     links = scratch.write(links.unionByName(_verified(second, texts, width, percent)), "links-2")
     labels = components(links, scratch, "labels-2")
 
@@ -322,8 +362,7 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     named = scratch.write(named.select("node", "label", F.coalesce("root", "node").alias("root")), "named")
     roots = scratch.write(named.groupBy("root").agg(F.min("label").alias("component_id")), "roots")
     named = scratch.write(named.join(roots, "root").select("node", "component_id", "root"), "components")
-    for name in ("classes", "reps", "groups", "members", "texts", "pairs-1", "links-1", "pairs-2", "links-2", "named", "roots"):
-        scratch.drop(name)
+    scratch.tidy("classes", "texts", "pairs-1", "links-1", "pairs-2", "links-2", "named", "roots")
     rows = sets.select(*ROW, "doc_id", F.col("n").alias("n_shingles"), node.alias("node"))
     out = rows.join(named, "node", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
@@ -332,6 +371,4 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def keyed_rows(docs: DataFrame) -> DataFrame:
     """``keyed_texts`` together with doc_id."""
-    from .common import row_id_a, row_id_b
-
     return docs.select(row_id_a(), row_id_b(), "doc_id", "text")

@@ -830,6 +830,52 @@ def test_jaccard_components(spark, width, percent, block, monkeypatch):
     assert sorted((tuple(r) for r in out.select("doc_id", "n_shingles", "component_id").collect()), key=repr) == brute_components(texts, ids, width, percent)
 
 
+def test_jaccard_by_whole_prefixes_gives_the_same(spark):
+    assert jaccard_join.prefix_length(1000, 85) < jaccard_join.prefix_length(1000, 85, exact=True) == 151
+    rnd = random.Random(2)
+    texts = []
+    for _ in range(8):
+        base = prose(rnd, 400, 3000).split()
+        for _ in range(5):
+            texts.append(" ".join(base))
+            for _ in range(rnd.randint(1, 12)):
+                base[rnd.randrange(len(base))] = f"e{rnd.randint(0, 999)}"
+    docs, ids = frame(spark, texts), list(range(len(texts)))
+    by_columns = lambda exact: sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, 4, 85, exact).collect()), key=repr)
+    assert by_columns(True) == by_columns(False) == brute_components(texts, ids, 4, 85)
+
+
+def test_hot_group_of_boilerplate_and_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rnd = random.Random(9)
+    boiler, template = prose(rnd, 40, 5000), prose(rnd, 60, 5000).split()
+    texts = [f"{prose(rnd, rnd.randint(5, 120), 5000)} {boiler}" for _ in range(120)]
+    for _ in range(120):
+        words = list(template)
+        words[rnd.randrange(60)] = f"e{rnd.randint(0, 99)}"
+        texts.append(" ".join(words))
+    out = jaccard_join.jaccard_components(frame(spark, texts), 4, 85)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=repr)
+    assert got == brute_components(texts, list(range(240)), 4, 85)
+
+
+def test_blocks_of_a_hot_group_meet_as_they_should(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    sizes = [10, 11, 12, 13, 20, 40, 41, 47, 100] * 4
+    df = spark.createDataFrame([(7, (n, 1), size, len(sizes)) for n, size in enumerate(sizes)] + [(8, (99, 1), 5, 1)], "token long, node struct<a:long,b:long>, n long, c long")
+    held = defaultdict(set)
+    for r in jaccard_join._paired(df, 85).collect():
+        held[r.token, r.i, r.j].add((r.node.a, r.own))
+    met = {(x, y) for rows in held.values() for x, a in rows for y, b in rows if x < y and (a != b or len({o for _, o in rows}) == 1)}
+    assert {(x, y) for x in range(36) for y in range(x + 1, 36) if 100 * min(sizes[x], sizes[y]) >= 85 * max(sizes[x], sizes[y])} <= met
+    assert len(met) < 36 * 35 / 2 * 0.6
+    chained = defaultdict(set)
+    for r in jaccard_join._chained(df.select("token", "node", "c")).collect():
+        chained[r.token, r.i].add(r.node.a)
+    assert set().union(*chained.values()) == {*range(36), 99} and sum(map(len, chained.values())) <= 2 * 36 + 1
+    assert all(chained[7, i] & chained[7, i + 1] for i in range(7))
+
+
 def test_signature_bound_never_loses_a_pair():
     rng = np.random.default_rng(8)
     for _ in range(30):
