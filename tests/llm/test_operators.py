@@ -83,7 +83,7 @@ def test_line_dedup(spark, texts, monkeypatch):
     seen, wanted = set(), {}
     for i, t in enumerate(texts):
         gone = set()
-        for first, end, _, body in line_dedup.chunks(t or ""):
+        for first, end, _, body in line_dedup.pieces(t or ""):
             if body in seen:
                 gone |= set(range(first, end))
             seen.add(body)
@@ -103,6 +103,27 @@ def test_line_chunks_resist_shifts():
     assert len(a & b) > 0.85 * len(a)
 
 
+def test_line_chunks_are_cut_by_their_own_lines():
+    rnd = random.Random(8)
+    lines = [prose(rnd, 5) for _ in range(2000)]
+    cuts = line_dedup.boundaries(line_dedup.line_hashes([x.encode() for x in lines]))
+    assert cuts[0] == 0 and cuts[-1] == 2000 and 300 < len(cuts) < 700
+    for _ in range(50):
+        a = rnd.randrange(1900)
+        own = line_dedup.boundaries(line_dedup.line_hashes([x.encode() for x in lines[a : a + 60]]))
+        assert [a + x for x in own[1:-1]] == [x for x in cuts if a + line_dedup.ROLL <= x < a + 60]
+
+
+def test_ranges_are_merged(spark):
+    rnd = random.Random(2)
+    rows = [(n % 7, 0, a, a + rnd.randint(1, 9)) for n in range(200) for a in [rnd.randint(0, 150)]]
+    out = line_dedup.merged(spark.createDataFrame(rows, "row_a long, row_b long, first int, end int").distinct())
+    for r in out.collect():
+        covered = {x for row, _, a, b in rows if row == r.row_a for x in range(a, b)}
+        assert [x for a, b in r.removed for x in range(a, b)] == sorted(covered)
+        assert all(b[0] > a[1] for a, b in zip(r.removed, r.removed[1:], strict=False))
+
+
 def test_line_dedup_compares_bytes(spark):
     rnd = random.Random(4)
     docs = frame(spark, ["\n".join(prose(rnd, 4) for _ in range(6)) for _ in range(5)])

@@ -50,7 +50,7 @@ def test_each_stage(spark, corpus, tmp_path):
     before, gone = set(), {}
     for i in sorted(kept):
         drop = set()
-        for first, end, _, body in line_dedup.chunks(kept[i].text or ""):
+        for first, end, _, body in line_dedup.pieces(kept[i].text or ""):
             if body in before:
                 drop |= set(range(first, end))
             before.add(body)
