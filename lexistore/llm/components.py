@@ -19,22 +19,26 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """
     turned = links.select(F.col("y").alias("x"), F.col("x").alias("y"))
     edges = scratch.write(links.select("x", "y").unionByName(turned).where("x <> y").distinct(), f"{name}-edges-0")
-    labels, step = None, 0
+    hooks: list[DataFrame] = []
     while True:
+        step = len(hooks)
         hook = scratch.write(edges.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("to")), f"{name}-near-{step}")
         for jump in ("once", "twice"):
             after = hook.select(F.col("x").alias("to"), F.col("to").alias("far"))
             hook = scratch.write(hook.join(after, "to").select("x", F.col("far").alias("to")), f"{name}-{jump}-{step}")
-        if labels is None:
-            found = hook.select("x", F.col("to").alias("label"))
-        else:
-            further = hook.select(F.col("x").alias("label"), "to")
-            found = labels.join(further, "label", "left").select("x", F.coalesce("to", "label").alias("label"))
-        labels = scratch.write(found, f"{name}-labels-{step}")
+        hooks.append(hook)
         ends = edges.join(hook.select("x", F.col("to").alias("fx")), "x").join(hook.select(F.col("x").alias("y"), F.col("to").alias("fy")), "y")
         edges = scratch.write(ends.where("fx <> fy").select(F.col("fx").alias("x"), F.col("fy").alias("y")).distinct(), f"{name}-edges-{step + 1}")
-        for done in (f"{name}-edges-{step}", f"{name}-near-{step}", f"{name}-once-{step}", f"{name}-twice-{step}", *([f"{name}-labels-{step - 1}"] if step else [])):
-            scratch.drop(done)
-        step += 1
+        for done in ("edges", "near", "once"):
+            scratch.drop(f"{name}-{done}-{step}")
         if edges.isEmpty():
-            return labels
+            break
+    # from the last round, whose pointers are final, back to the first: each round's nodes are looked at once
+    labels = hooks.pop().withColumnRenamed("to", "label")
+    while hooks:
+        further = labels.select(F.col("x").alias("to"), "label")
+        labels = hooks.pop().join(further, "to", "left").select("x", F.coalesce("label", "to").alias("label"))
+        labels = scratch.write(labels, f"{name}-labels-{len(hooks)}")
+        scratch.drop(f"{name}-twice-{len(hooks) + 1}")
+        scratch.drop(f"{name}-labels-{len(hooks) + 1}")
+    return labels

@@ -10,14 +10,14 @@ after the first join.  Where all paths of an anchor have the same content, or a
 more than once, a path stays one unit; elsewhere the repeated windows are units, listed
 once for each different content.
 
-Then across paths, through Spark joins: a unit that is always followed by one other, which
-always follows it, is joined to it; chains of such nonbranching units are contracted by
-following pointers (``components``).  What is left are maximal runs: every occurrence of
-a run has the same units from its first to its last.
+Then across paths, through Spark joins: successors and predecessors of every unit are
+counted, and a unit that always follows one other, which it always follows alone, is joined to
+it.  Chains of such nonbranching units contract to maximal runs, named by their heads: as
+every occurrence of a chain is whole, a run is a head and the joined units after it.
 
 Hashes (two of 64 bits with different bases) only propose.  Each run's words are read again at
 its source coordinates (row key and word numbers), and a run is removed if it
-occurs at least twice and SHA-256 of its words is the same at all its occurrences.
+occurs at least twice and 128 bits of SHA-256 of its words are the same at all its occurrences.
 
 A window counts as repeated if its words start anywhere else too, also in the same
 document and in overlap.  Defined cases: a null text has no words; texts of fewer words
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import BASE, OTHER_BASE, Scratch, WordHashes, by_shuffle, keyed_texts, mix, row_id_a, row_id_b, salted, window_hashes
-from .components import components
 
 WINDOW = 35
 ANCHOR = 8
 OTHER = 0x5BD1E995  # seed of the second hash
 ROW = ["row_a", "row_b"]
 PATH = ["path_a", "path_b"]
-UNIT = "struct<kind:int,a:long,b:long>"
+UNIT = ["kind", "a", "b"]
 Hashes = Callable[[], WordHashes]
 
 
@@ -141,29 +141,30 @@ def _edges(listed: DataFrame, window: int, make: Hashes) -> DataFrame:
 
 
 def _digests(listed: DataFrame, window: int) -> DataFrame:
-    """(label, digest) of every run of the listed rows (``runs``: first and last windows, label): SHA-256 of its words."""
+    """(kind, a, b, digest_a, digest_b) of every run of the listed rows (``runs``: first, last, kind, a, b): 128 bits of SHA-256 of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums = []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs"), strict=True):
+            runs = batch.column("runs")
+            flat, sizes = runs.flatten(), runs.value_lengths().to_pylist()
+            places = zip(flat.field("first").to_pylist(), flat.field("last").to_pylist(), strict=True)
+            for text, n in zip(batch.column("text").to_pylist(), sizes, strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
-                firsts, lasts = (runs.values.field(c).to_pylist() for c in ("first", "last"))
-                sums += [hashlib.sha256(b" ".join(words[a : b + window])).digest() for a, b in zip(firsts, lasts, strict=True)]
-            labels = [runs.values.field("label") for runs in batch.column("runs")]
-            labels = pa.concat_arrays(labels) if labels else pa.array([], batch.schema.field("runs").type.value_type.field("label").type)
-            yield pa.RecordBatch.from_arrays([labels, pa.array(sums, pa.binary())], ["label", "digest"])
+                for a, b in islice(places, n):
+                    sums.append(hashlib.sha256(b" ".join(words[a : b + window])).digest()[:16])
+            halves = np.frombuffer(b"".join(sums), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in UNIT), pa.array(halves[:, 0]), pa.array(halves[:, 1])], [*UNIT, "digest_a", "digest_b"])
 
-    return listed.mapInArrow(run, f"label {UNIT}, digest binary")
+    return listed.mapInArrow(run, "kind int, a long, b long, digest_a long, digest_b long")
 
 
 def _occurrences(keyed: DataFrame, window: int, anchor: int, scratch: Scratch, hashes: Hashes) -> DataFrame:
-    """row_a, row_b, first, last, unit of all units that occur more than once."""
+    """row_a, row_b, first, last, kind, a, b: the occurrences of all units (kind, a, b) that occur more than once."""
     paths = _paths(keyed, window, anchor, hashes)
-    content = F.struct(*PATH)
-    seen = paths.groupBy("anchor").agg(F.count("*").alias("n"), F.min(content).alias("least"), F.max(content).alias("most"))
+    seen = paths.groupBy("anchor").agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for n, f in (("least", F.min), ("most", F.max)) for c in PATH])
     # written first: both sides of the join are plain shuffles, so Spark can split a hot anchor
-    nodes = scratch.write(seen.where("n > 1").select("anchor", (F.col("least") != F.col("most")).alias("branches")), "nodes")
+    nodes = scratch.write(seen.where("n > 1").select("anchor", F.expr("least_path_a <> most_path_a or least_path_b <> most_path_b").alias("branches")), "nodes")
     met = scratch.write(paths.join(nodes, "anchor").drop("anchor"), "met")
     contents = met.where("branches").groupBy(*PATH).agg(F.count("*").alias("n"), F.min(F.struct(*ROW, "first", "last")).alias("source"))
     contents = scratch.write(contents, "contents")
@@ -171,36 +172,36 @@ def _occurrences(keyed: DataFrame, window: int, anchor: int, scratch: Scratch, h
     sources = contents.select("source.*").groupBy(*ROW).agg(F.collect_list(F.struct("first", "last")).alias("paths"))
     edges = scratch.write(_edges(keyed.join(by_shuffle(sources), ROW), window, hashes), "edges")
     twice = scratch.write(edges.groupBy("edge_a", "edge_b").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
-    unit = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b")).alias("unit")
+    unit = lambda kind, a, b: (F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"))
     same = met.where("branches").join(contents.where("n > 1").select(*PATH), PATH)
-    whole = met.where("not branches").drop("branches").unionByName(same.drop("branches")).select(*ROW, "first", "last", unit(0, *PATH))
-    single = edges.join(twice, ["edge_a", "edge_b"]).select(*ROW, "first", F.col("first").alias("last"), unit(1, "edge_a", "edge_b"))
+    whole = met.where("not branches").drop("branches").unionByName(same.drop("branches")).select(*ROW, "first", "last", *unit(0, *PATH))
+    single = edges.join(twice, ["edge_a", "edge_b"]).select(*ROW, "first", F.col("first").alias("last"), *unit(1, "edge_a", "edge_b"))
     found = scratch.write(whole.unionByName(single).distinct(), "occurrences")  # rows that share a key once
     scratch.tidy("met", "contents", "edges", "twice")
     return found
 
 
 def _runs(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """row_a, row_b, first, last, label: occurrences with nonbranching chains of units contracted."""
-    row = Window.partitionBy(*ROW, "unit.kind").orderBy("first")
-    after, before = F.lead(F.struct("first", "unit")).over(row), F.lag(F.struct("last", "unit")).over(row)
-    beside = found.select("unit", F.col("first"), F.col("last"), after.alias("after"), before.alias("before"))
-    beside = beside.select("unit", F.when(F.col("after.first") == F.col("last") + 1, F.col("after.unit")).alias("next"), F.when(F.col("before.last") + 1 == F.col("first"), F.col("before.unit")).alias("previous"))
-    sole = lambda c: F.when((F.min(c) == F.max(c)) & (F.count(c) == F.count("*")), F.min(c)).alias(c)
-    degrees = scratch.write(beside.groupBy("unit").agg(sole("next"), sole("previous")).where("next is not null or previous is not null"), "degrees")
-    back = degrees.where("previous is not null").select(F.col("unit").alias("y"), F.col("previous").alias("x"))
-    links = degrees.where("next is not null").select(F.col("unit").alias("x"), F.col("next").alias("y")).join(back, ["x", "y"])
-    links = scratch.write(links, "links")
-    labels = components(links, scratch, "chains")
-    chained = labels.select(F.col("x").alias("unit"), "label").join(links.select(F.col("y").alias("unit"), F.lit(False).alias("head")), "unit", "left")
-    chained = scratch.write(chained, "chained")
-    placed = found.join(by_shuffle(chained), "unit", "left")
-    placed = placed.select(*ROW, "first", "last", F.col("unit.kind").alias("kind"), F.coalesce("label", "unit").alias("label"), F.coalesce("head", F.lit(True)).alias("head"))
-    # every occurrence of a chain begins with its head and is whole
-    number = F.sum(F.col("head").cast("long")).over(Window.partitionBy(*ROW, "kind").orderBy("first").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    runs = placed.withColumn("number", number).groupBy(*ROW, "kind", "number").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("label").alias("label"))
-    runs = scratch.write(runs.drop("kind", "number"), "runs")
-    scratch.tidy("occurrences", "degrees", "links", "chained")
+    """row_a, row_b, first, last, kind, a, b (the head): occurrences with nonbranching chains of units contracted."""
+    row = Window.partitionBy(*ROW, "kind").orderBy("first")
+    beside = found.select("kind", "a", "b", *[F.when(F.lead("first").over(row) == F.col("last") + 1, F.lead(c).over(row)).alias(f"next_{c}") for c in "ab"], *[F.when(F.lag("last").over(row) == F.col("first") - 1, F.lag(c).over(row)).alias(f"previous_{c}") for c in "ab"])
+    near = ["next_a", "next_b", "previous_a", "previous_b"]
+    degrees = beside.groupBy(*UNIT).agg(F.count("*").alias("n"), *[f(c).alias(f"{name}_{c}") for c in near for name, f in (("least", F.min), ("most", F.max), ("count", F.count))])
+    sole = lambda side: F.expr(" and ".join(f"least_{side}_{c} = most_{side}_{c} and count_{side}_{c} = n" for c in "ab"))
+    degrees = degrees.select(*UNIT, sole("next").alias("onward"), sole("previous").alias("backward"), *[F.col(f"least_{c}").alias(c) for c in near])
+    degrees = scratch.write(degrees.where("onward or backward"), "degrees")
+    ahead = degrees.where("onward").select("kind", "a", "b", "next_a", "next_b")
+    back = degrees.where("backward").select("kind", F.col("previous_a").alias("a"), F.col("previous_b").alias("b"), F.col("a").alias("next_a"), F.col("b").alias("next_b"))
+    links = scratch.write(ahead.join(back, ["kind", "a", "b", "next_a", "next_b"]), "links")
+    inside = links.select("kind", F.col("next_a").alias("a"), F.col("next_b").alias("b"), F.lit(True).alias("inside"))
+    placed = found.join(by_shuffle(inside), UNIT, "left").withColumn("head", F.col("inside").isNull())
+    # every occurrence of a chain begins with its head and is whole, so a run is a head and what follows it
+    ordered = Window.partitionBy(*ROW, "kind").orderBy("first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("number", F.sum(F.col("head").cast("long")).over(ordered))
+    at_head = [F.max(F.when(F.col("head"), F.col(c))).alias(c) for c in "ab"]
+    runs = placed.groupBy(*ROW, "kind", "number").agg(F.min("first").alias("first"), F.max("last").alias("last"), *at_head)
+    runs = scratch.write(runs.select(*ROW, "first", "last", *UNIT), "runs")
+    scratch.tidy("occurrences", "degrees", "links")
     return runs
 
 
@@ -209,11 +210,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     keyed = keyed_texts(docs)
     runs = _runs(_occurrences(keyed, window, anchor, scratch, hashes), scratch)
-    listed = runs.groupBy(*ROW).agg(F.collect_list(F.struct("first", "last", "label")).alias("runs"))
+    listed = runs.groupBy(*ROW).agg(F.collect_list(F.struct("first", "last", *UNIT)).alias("runs"))
     digests = _digests(keyed.join(by_shuffle(listed), ROW).select("text", "runs"), window)
-    proven = digests.groupBy("label").agg(F.count("*").alias("n"), F.min("digest").alias("least"), F.max("digest").alias("most"))
-    proven = scratch.write(proven.where("n > 1 and least = most").select("label"), "proven")
-    spans = runs.join(by_shuffle(proven), "label").groupBy(*ROW).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    proven = digests.groupBy(*UNIT).agg(F.count("*").alias("n"), *[f(f"digest_{c}").alias(f"{name}_{c}") for c in "ab" for name, f in (("least", F.min), ("most", F.max))])
+    proven = scratch.write(proven.where("n > 1 and least_a = most_a and least_b = most_b").select(*UNIT), "proven")
+    spans = runs.join(by_shuffle(proven), UNIT).groupBy(*ROW).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = scratch.write(spans, "spans")
     scratch.tidy("runs", "proven")
     return spans
