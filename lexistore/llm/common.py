@@ -146,16 +146,22 @@ def row_id_b() -> Column:
 
 
 class WordHashes(dict):
-    """64-bit hash of each word (bytes), remembered for up to ``limit`` words."""
+    """64-bit hash of each word (bytes), remembered for up to ``limit`` words of ``LONGEST`` bytes at most."""
+
+    LONGEST = 64
 
     def __init__(self, limit: int = 1 << 19, seed: int = 0):
         super().__init__()
         self.limit, self.seed = limit, seed
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
+        return self._kept(word, xxhash.xxh3_64_intdigest(word, self.seed))
+
+    def _kept(self, word: bytes, value: int) -> int:
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
