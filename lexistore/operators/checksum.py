@@ -42,24 +42,38 @@ def combine(first: int, second: int, length: int) -> int:
     return first ^ second
 
 
+def _bytes(entries: pa.Array) -> memoryview:
+    """All bytes of a binary array, one entry after the other, without a copy."""
+    _, offsets, data = entries.buffers()
+    if data is None or not len(entries):
+        return memoryview(b"")
+    at = memoryview(offsets).cast("q" if pa.types.is_large_binary(entries.type) else "i")
+    return memoryview(data)[at[entries.offset] : at[entries.offset + len(entries)]]
+
+
 def checksum(entries: DataFrame, order: str) -> int:
-    """Sum over ``key`` and ``value`` (binary), entry after entry in the order of a column; 0 if there are none."""
-    rows = entries.repartitionByRange(order).sortWithinPartitions(order)
+    """Sum over ``key`` and ``value`` (binary), entry after entry in the order of a column; 0 if there are none.
+
+    A null key or value counts as empty.  Entries that are equal in the order come by key and value.
+    """
+    none = F.lit(b"")
+    rows = entries.select(F.col(order).alias("at"), F.coalesce("key", none).alias("key"), F.coalesce("value", none).alias("value"))
+    rows = rows.repartitionByRange("at").sortWithinPartitions("at", "key", "value").select("at", F.concat("key", "value").alias("entry"))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crc, length, first = 0, 0, None
         for batch in batches:
             if first is None and len(batch):
                 first = batch.slice(0, 1).column(0)
-            for k, v in zip(batch.column("key").to_pylist(), batch.column("value").to_pylist(), strict=True):
-                crc = zlib.crc32(v, zlib.crc32(k, crc))
-                length += len(k) + len(v)
+            body = _bytes(batch.column("entry"))
+            crc = zlib.crc32(body, crc)
+            length += len(body)
         if first is not None:
             yield pa.RecordBatch.from_arrays([first, pa.array([crc], pa.int64()), pa.array([length], pa.int64())], ["at", "crc", "length"])
 
     kind = entries.schema[order].dataType.simpleString()
-    parts = rows.select(F.col(order).alias("at"), "key", "value").mapInArrow(part, f"at {kind}, crc long, length long")
+    parts = rows.mapInArrow(part, f"at {kind}, crc long, length long")
     total = 0
-    for row in sorted(parts.collect(), key=lambda r: r["at"]):  # one row a partition
+    for row in sorted(parts.collect(), key=lambda r: (r["at"] is not None, r["at"])):  # one row a partition; nulls come first
         total = combine(total, row["crc"], row["length"])
     return total

@@ -25,6 +25,11 @@ class Collection:
     def __repr__(self) -> str:
         return f"Collection(key={self.key}, {self.df})"
 
+    def dump(self, n: int = 20) -> str:
+        """The first n entries in key order as text, for looking at them; the whole collection never reaches the driver."""
+        rows = [", ".join(f"{c}: {v!r}" for c, v in r.asDict().items()) for r in self.take(n + 1).collect()]
+        return "\n".join([*rows[:n], *["..."] * (len(rows) > n)])
+
     def _where(self, start: Bound, end: Bound) -> DataFrame:
         k, df = F.col(self.key), self.df
         if isinstance(start, Included):
@@ -104,9 +109,7 @@ class Collection:
         return df.withColumn(position, (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))  # n rows
 
     def enumerate(self, position: str, buckets: int | None = None) -> DataFrame:
-        """All entries with their place in key order from 0, counted range by range."""
-        if buckets is None:
-            buckets = min(256, int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        """All entries with their place in key order from 0, counted range by range; ranges grow in number with the entries."""
         rows = self.df.withColumn("__range", range_of(F.col(self.key), split_points(self.df, self.key, buckets)))
         below = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
         counts = rows.groupBy("__range").agg(F.count("*").alias("__n"))  # one row a range

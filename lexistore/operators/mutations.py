@@ -8,10 +8,12 @@ slice, so a key with a large part of all rows is spread over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 SLICE = 16_384  # operations in a slice of the order, and so at most in one group
@@ -58,7 +60,7 @@ def running_count(log: DataFrame, key: str, seq: str, new: str = "new", old: str
     return out.withColumn(old, F.when(F.col(new) > 1, F.col(new) - 1)).drop("__slice", "__n", "__carried")
 
 
-def fold(log: DataFrame, key: str, seq: str, step: Callable, state: str, outcome: Callable, width: int = SLICE) -> DataFrame:
+def fold(log: DataFrame, key: str, seq: str, step: Callable, state: str, outcome: Callable) -> DataFrame:
     """General read-modify-write with a Column function over each key's operations in order.
 
     ``step(state, op)`` gives the next state (null: absent); ``outcome(state, op)`` a struct for
@@ -78,6 +80,21 @@ def _outcome_type(rows: DataFrame, step: Callable, outcome: Callable, kind: str)
     return probe.schema["x"].dataType.elementType.simpleString()
 
 
+def _by_group(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Rows of batches sorted by ``names``, group by group; at most one group is held."""
+    at, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = tuple(row[n] for n in names)
+            if key != at:
+                if held:
+                    yield at, held
+                at, held = key, []
+            held.append(row)
+    if held:
+        yield at, held
+
+
 def compare_and_swap(log: DataFrame, key: str, seq: str, expected: str, new: str, width: int = SLICE) -> DataFrame:
     """Outcome of each compare-and-swap: key, seq, ok, previous, proposed, current.
 
@@ -85,35 +102,67 @@ def compare_and_swap(log: DataFrame, key: str, seq: str, expected: str, new: str
     absent for ``expected`` and ``new`` alike.
 
     A slice of operations acts on a register as a small map: a start value that some operation
-    expects leads to one end value, any other start stays.  Maps of the slices are chained for
-    each key to give every slice its start; then all slices fold at the same time.
+    expects leads to one end value, any other start stays.  One pass backwards over a slice
+    gives its map.  The maps of a key's slices are then walked in order, a row at a time, to
+    give every slice its start; then all slices are walked at the same time.
     """
     kind = log.schema[new].dataType.simpleString()
-    rows = log.select(key, F.col(seq).alias("seq"), F.col(expected).cast(kind).alias("e"), F.col(new).alias("n"), _slice(seq, width).alias("__slice"))
-    slices = rows.groupBy(key, "__slice").agg(F.array_sort(F.collect_list(F.struct("seq", "e", "n"))).alias("ops"))  # at most ``width`` operations
-    end = lambda start: F.aggregate("ops", start, lambda s, op: F.when(s.eqNullSafe(op["e"]), op["n"]).otherwise(s))
-    starts = F.array_distinct(F.transform("ops", lambda op: F.struct(op["e"].alias("s"))))
-    maps = slices.select(key, "__slice", F.transform(starts, lambda x: F.struct(x["s"].alias("start"), end(x["s"]).alias("end"))).alias("map"))
-    chain = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__slice", "map"))).alias("maps"))  # one small map a slice
-    zero = F.struct(F.lit(None).cast(kind).alias("cur"), F.array().cast(f"array<struct<slice:bigint,start:{kind}>>").alias("out"))
-
-    def follow(acc: Column, m: Column) -> Column:
-        hit = F.filter(m["map"], lambda x: x["start"].eqNullSafe(acc["cur"]))
-        cur = F.when(F.size(hit) > 0, F.element_at(hit, 1)["end"]).otherwise(acc["cur"])
-        return F.struct(cur.alias("cur"), F.concat(acc["out"], F.array(F.struct(m["__slice"].alias("slice"), acc["cur"].alias("start")))).alias("out"))
-
-    begins = chain.select(key, F.explode(F.aggregate("maps", zero, follow)["out"]).alias("b")).select(key, F.col("b.slice").alias("__slice"), F.col("b.start").alias("start"))
-    each = f"struct<seq:bigint,ok:boolean,previous:{kind},proposed:{kind},current:{kind}>"
-
-    def swap(acc: Column, op: Column) -> Column:
-        ok = acc["cur"].eqNullSafe(op["e"])
-        after = F.when(ok, op["n"]).otherwise(acc["cur"])
-        row = F.struct(op["seq"].cast("bigint").alias("seq"), ok.alias("ok"), acc["cur"].alias("previous"), op["n"].alias("proposed"), after.alias("current"))
-        return F.struct(after.alias("cur"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    first = F.struct(F.col("start").alias("cur"), F.array().cast(f"array<{each}>").alias("out"))
-    done = slices.join(begins, [key, "__slice"]).select(key, F.explode(F.aggregate("ops", first, swap)["out"]).alias("r"))
-    return done.select(key, "r.*")
+    at = log.schema[key].dataType.simpleString()
+    rows = log.select(F.col(key).alias("k"), _slice(seq, width).alias("slice"), F.col(seq).cast("long").alias("seq"), F.col(expected).cast(kind).alias("e"), F.col(new).alias("n"))
+    places = ["k", "slice"]
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (k, part), ops in _by_group(batches, places):  # at most ``width`` operations
+            end: dict = {}  # start value -> end value over the operations from here on
+            for op in reversed(ops):
+                end[op["e"]] = end.get(op["n"], op["n"])
+            yield from _batches([(k, part, e, n) for e, n in end.items()], mapped)
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = part = cur = None
+        first, out = True, []
+        done = False  # whether this slice's step was taken
+        for batch in batches:
+            for row in batch.to_pylist():
+                if first or row["k"] != k:
+                    k, part, cur, first = row["k"], None, None, False
+                if row["slice"] != part:
+                    part, done = row["slice"], False
+                    out.append((k, part, cur))
+                if not done and row["start"] == cur:
+                    cur, done = row["end"], True
+            yield from _batches(out, begun)
+            out = []
+
+    def outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ops in _by_group(batches, places):
+            cur, out = ops[0]["start"], []
+            for op in ops:
+                ok, held = op["e"] == cur, cur
+                cur = op["n"] if ok else cur
+                out.append((op["k"], op["seq"], ok, held, op["n"], cur))
+            yield from _batches(out, told)
+
+    mapped = _arrow(log.sparkSession, f"k {at}, slice long, start {kind}, end {kind}")
+    begun = _arrow(log.sparkSession, f"k {at}, slice long, start {kind}")
+    told = _arrow(log.sparkSession, f"k {at}, seq long, ok boolean, previous {kind}, proposed {kind}, current {kind}")
+    dealt = lambda df, *by: df.repartition(*by).sortWithinPartitions
+    steps = dealt(rows, *places)(*places, "seq").mapInArrow(maps, f"k {at}, slice long, start {kind}, end {kind}")
+    begins = dealt(steps, "k")(*places).mapInArrow(starts, f"k {at}, slice long, start {kind}")
+    begins = begins.withColumnRenamed("k", "kk").withColumnRenamed("slice", "ss")
+    met = rows.join(begins, F.col("k").eqNullSafe(F.col("kk")) & F.col("slice").eqNullSafe(F.col("ss"))).select("k", "slice", "seq", "e", "n", "start")
+    out = dealt(met, *places)(*places, "seq").mapInArrow(outcomes, f"k {at}, seq long, ok boolean, previous {kind}, proposed {kind}, current {kind}")
+    return out.withColumnRenamed("k", key)
+
+
+def _arrow(spark: SparkSession, schema: str) -> pa.Schema:
+    return to_arrow_schema(spark.createDataFrame([], schema).schema)
+
+
+def _batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    if rows:
+        columns = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def cas_state(outcomes: DataFrame, key: str) -> DataFrame:

@@ -20,9 +20,8 @@ def pop_last(c: Collection, n: int = 1, start: Bound = Unbounded, end: Bound = U
 
 def _pop(c: Collection, n: int, start: Bound, end: Bound, reverse: bool) -> tuple[DataFrame, Collection]:
     popped = c.take(n, start, end, reverse)
-    # n keys at most: a bounded list, so the rest is the snapshot without them in one pass
     gone = popped.select(F.col(c.key).alias(c.key))
-    return popped, Collection(c.df.join(F.broadcast(gone) if n <= 100_000 else gone, c.key, "left_anti"), c.key)
+    return popped, Collection(c.df.join(gone, c.key, "left_anti"), c.key)
 
 
 def clear(c: Collection) -> Collection:

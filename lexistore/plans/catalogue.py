@@ -6,17 +6,24 @@ Collections: ``orders`` by o_orderkey, ``customer`` by c_custkey or c_name, ``pa
 
 from __future__ import annotations
 
+import json
 import tempfile
+import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexistore.functions.bounds import Excluded, Included, Unbounded, prefix_range
-from lexistore.functions.codec import long_key, text_key
+from lexistore.functions.codec import long_from_key, long_key, text_key
 from lexistore.operators import mutations, pops
 from lexistore.operators.checksum import checksum
 from lexistore.operators.collection import Collection
+from lexistore.sources.files import Files
+from lexistore.sources.store import Config, Conflict, Database, StoreError
+from lexistore.streaming.ingest import counters, ingest, registers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -84,10 +91,10 @@ def q03_contains_key(spark, sf_dir):
     return held.contained(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c.k, c_name FROM (SELECT c_custkey * 3 AS k, c_name FROM customer) AS c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.k)")
 def q04_not_contained(spark, sf_dir):
     held = Collection(table(spark, sf_dir, "orders").select("o_custkey"), "o_custkey")
-    return held.not_contained(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    return held.not_contained(table(spark, sf_dir, "customer").select((F.col("c_custkey") * 3).alias("k"), "c_name"), "k")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 500 ORDER BY o_orderkey DESC LIMIT 1")
@@ -236,8 +243,12 @@ def q25_remove(spark, sf_dir):
 
 
 def _cas_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cas_of(table(spark, sf_dir, "events"))
+
+
+def _cas_of(events: DataFrame) -> DataFrame:
     floored = lambda c: F.floor(c).cast("long")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "user_id", "event_id",
         F.when(~F.col("event_type").isin("signup", "click"), floored(F.col("value")) % 3).alias("expected"),
         F.when(F.col("event_type") != "error", floored(F.col("value") / 3) % 3).alias("new"),
@@ -348,16 +359,38 @@ def q36_clear(spark, sf_dir):
     return pops.clear(orders(spark, sf_dir)).len()
 
 
-# database
+# database: every query opens a store in the shared folder, writes to it and reads it back
+
+_SOURCES = {"orders": ("o_orderkey", "o_orderstatus"), "customer": ("c_custkey", "c_name"), "events": ("event_id", "event_type")}
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; only a local session may do without the setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='lexistore-')}"
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _database(spark: SparkSession, **config) -> Database:
+    return Config(_place(spark, "db"), **config).open(spark)
+
 
+def _entries(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key, value = _SOURCES[name]
+    return table(spark, sf_dir, name).select(long_key(F.col(key)).alias("key"), text_key(F.col(value)).alias("value"))
 
-def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = None
-    for name, source, key, value in (("orders", "orders", "o_orderkey", "o_orderstatus"), ("customer", "customer", "c_custkey", "c_name"), ("events", "events", "event_id", "event_type")):
-        t = table(spark, sf_dir, source)
-        part = t.select(F.lit("tree").alias("type"), F.lit(name).alias("name"), F.hex(long_key(F.col(key))).alias("key"), F.hex(text_key(F.col(value))).alias("value"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+
+def _filled(spark: SparkSession, sf_dir: str, db: Database, names: list[str]) -> None:
+    for name in names:
+        db.tree(name.encode()).insert(_entries(spark, sf_dir, name))
+    db.flush()
 
 
 def _sql_key(column: str) -> str:
@@ -365,20 +398,49 @@ def _sql_key(column: str) -> str:
     return f"'80000000' || lpad(upper(hex({column})), 8, '0')"
 
 
-@query(" UNION ALL ".join(f"SELECT 'tree' AS type, '{n}' AS name, {_sql_key(k)} AS key, upper(hex(encode({v}))) AS value FROM {n}" for n, k, v in (("orders", "o_orderkey", "o_orderstatus"), ("customer", "c_custkey", "c_name"), ("events", "event_id", "event_type"))))
+@query(" UNION ALL ".join(f"SELECT 'tree' AS type, '{n}' AS name, {_sql_key(k)} AS key, upper(hex(encode({v}))) AS value FROM {n}" for n, (k, v) in _SOURCES.items()))
 def q37_export(spark, sf_dir):
-    return _exported(spark, sf_dir)
+    at = _place(spark, "export")
+    with _database(spark) as db:
+        _filled(spark, sf_dir, db, list(_SOURCES))
+        db.export(at, default=False)
+    return spark.read.parquet(at).select("type", F.decode("name", "UTF-8").alias("name"), F.hex("key").alias("key"), F.hex("value").alias("value"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_orderkey FROM orders)")
+@query("SELECT CAST(c_custkey AS BIGINT) AS key, true AS refused FROM customer WHERE c_custkey IN (SELECT o_orderkey FROM orders)")
 def q38_import_conflict(spark, sf_dir):
-    return orders(spark, sf_dir).contained(customers(spark, sf_dir).keys(), "c_custkey")
+    """An export of customers comes to a store whose collection holds orders: the keys it would overwrite, and that it is refused."""
+    at = _place(spark, "export")
+    with _database(spark) as db:
+        db.tree(b"t").insert(_entries(spark, sf_dir, "customer"))
+        db.export(at)
+    with _database(spark) as db:
+        db.tree(b"t").insert(_entries(spark, sf_dir, "orders"))
+        db.flush()
+        try:
+            db.import_(at)
+            refused = False
+        except StoreError:
+            refused = not db.tree(b"t").pending
+        return db.conflicts(at).select(long_from_key(F.col("key")).alias("key"), F.lit(refused).alias("refused"))
+
+
+@query("SELECT 'tree' AS type, o_orderkey AS key, o_orderstatus AS value FROM orders UNION ALL SELECT 'default', c_custkey, c_name FROM customer")
+def q38b_import(spark, sf_dir):
+    """A collection and the default one, exported from one store and imported by another."""
+    at = _place(spark, "export")
+    with _database(spark) as db:
+        db.tree(b"t").insert(_entries(spark, sf_dir, "orders"))
+        db.tree().insert(_entries(spark, sf_dir, "customer"))
+        db.export(at)
+    with _database(spark) as db:
+        db.import_(at)
+        parts = [db.tree(n).collection().df.select(F.lit(kind).alias("type"), long_from_key(F.col("key")).alias("key"), F.decode("value", "UTF-8").alias("value")) for n, kind in ((b"t", "tree"), (None, "default"))]
+        return parts[0].unionByName(parts[1])
 
 
 def _catalog(spark: SparkSession, drop: bool) -> DataFrame:
-    from lexistore.sources.store import Database
-
-    with tempfile.TemporaryDirectory() as at, Database(spark, f"file://{at}/db") as db:
+    with _database(spark) as db:
         for name in (b"tree 1", b"tree 2", b"tree 3", b"tree 1"):
             db.tree(name)
         dropped = [db.drop_tree(b"tree 2"), db.drop_tree(b"tree 2")] if drop else []
@@ -405,102 +467,226 @@ def q41a_ordered_digest(spark, sf_dir):
     return leaves.select("leaf", F.md5(F.array_join(F.transform("entries", lambda e: e["x"]), "")).alias("digest"))
 
 
-@query()
+# CRC-32 in SQL.  ``bytes``: a table made by rule.  Each entry is summed by itself; appending n bytes is a linear
+# map of the 32 bits, of which ``ops`` holds the powers of two, so an entry's part of the whole is its sum, moved
+# on by all the bytes that follow it.
+_CRC_APPLY = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(32), lambda b: CASE WHEN (({v}) >> b) & 1 = 1 THEN {m}[b + 1] ELSE CAST(0 AS BIGINT) END)), lambda x, y: xor(x, y))"
+_CRC_BIT = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+_CRC = f"""WITH RECURSIVE step(n, i, x) AS (
+        SELECT i, 0, i FROM range(256) AS r(i) UNION ALL SELECT n, i + 1, {_CRC_BIT} FROM step WHERE i < 8
+    ), bytes AS (SELECT list(x ORDER BY n) AS t FROM step WHERE i = 8),
+    basis(b, i, x) AS (SELECT b, 0, CAST(1 AS BIGINT) << b FROM range(32) AS r(b) UNION ALL SELECT b, i + 1, {_CRC_BIT} FROM basis WHERE i < 8),
+    ops(k, m) AS (
+        SELECT 0, (SELECT list(x ORDER BY b) FROM basis WHERE i = 8)
+        UNION ALL SELECT k + 1, list_transform(m, lambda v: {_CRC_APPLY.format(v="v", m="m")}) FROM ops WHERE k < 31
+    ), entries AS (
+        {" UNION ALL ".join(f"SELECT '{n}' AS name, CAST({k} AS BIGINT) AS pos, {_sql_key(k)} || upper(hex(encode({v}))) AS h FROM {n}" for n, (k, v) in _SOURCES.items())}
+    ), summed AS (
+        SELECT name, pos, len(h) // 2 AS n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+            list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]))) AS crc
+        FROM entries, bytes
+    ), after AS (SELECT name, pos, crc, CAST(coalesce(sum(n) OVER (PARTITION BY name ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS BIGINT) AS n FROM summed),
+    moved(name, pos, n, k, crc) AS (
+        SELECT name, pos, n, 0, crc FROM after
+        UNION ALL SELECT w.name, w.pos, w.n, w.k + 1, CASE WHEN (w.n >> w.k) & 1 = 1 THEN {_CRC_APPLY.format(v="w.crc", m="ops.m")} ELSE w.crc END
+        FROM moved AS w JOIN ops ON ops.k = w.k WHERE (w.n >> w.k) > 0
+    )
+    SELECT name, CAST(bit_xor(crc) AS BIGINT) AS crc FROM moved WHERE (n >> k) = 0 GROUP BY name"""
+
+
+@query(_CRC)
 def q41b_checksum(spark, sf_dir):
-    names = {"orders": ("o_orderkey", "o_orderstatus"), "customer": ("c_custkey", "c_name"), "events": ("event_id", "event_type")}
     rows = []
-    for name, (key, value) in names.items():
+    for name, (key, value) in _SOURCES.items():
         t = table(spark, sf_dir, name).select(F.col(key).alias("at"), long_key(F.col(key)).alias("key"), text_key(F.col(value)).alias("value"))
         rows.append((name, checksum(t, "at")))
     return spark.createDataFrame(rows, "name string, crc long")
 
 
-_EPOCH = "event_id // 500"
+_EPOCH = "least(event_id // 500, 4)"
+_EPOCHS = 5
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The events as mutations (seq, key, gone, value, event_type), cut into _EPOCHS batches by time."""
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), long_key(F.col("user_id")).alias("key"), (F.col("event_type") == "error").alias("gone"),
+        text_key(F.col("value").cast("string")).alias("value"), "event_type",
+    )
+    epoch = F.least(F.floor(F.col("seq") / 500), F.lit(_EPOCHS - 1))
+    return [rows.where(epoch == n) for n in range(_EPOCHS)]
 
 
-def _epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
-    return rows.withColumn("epoch", F.floor(F.col("event_id") / 500).cast("long"))
+def _user_value(df: DataFrame) -> DataFrame:
+    return df.select(long_from_key(F.col("key")).alias("user_id"), F.decode("value", "UTF-8").cast("double").alias("value"))
 
 
-@query(f"SELECT user_id, value FROM (SELECT user_id, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS t FROM events WHERE {_EPOCH} <= 3 GROUP BY user_id) AS s WHERE t <> 'error'")
+@query(f"SELECT user_id, value FROM (SELECT user_id, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS t FROM events WHERE {_EPOCH} <= 2 GROUP BY user_id) AS s WHERE t <> 'error'")
 def q42_snapshot_at_epoch(spark, sf_dir):
-    return mutations.replay(_epochs(spark, sf_dir).where("epoch <= 3"), "user_id", "event_id", ["value"], F.col("event_type") == "error")
+    """The store as of its third epoch, read after all of them."""
+    with _database(spark) as db:
+        epochs = []
+        for batch in _batches(spark, sf_dir):
+            db.tree().apply_batch(batch)
+            epochs.append(db.flush().epoch)
+        return _user_value(db.tree().collection(epoch=epochs[2]).df)
 
 
-@query(f"""WITH e AS (SELECT {_EPOCH} AS epoch, count(*) AS ops, count(DISTINCT user_id) AS keys FROM events GROUP BY 1)
-    SELECT 'sum' AS what, CAST(sum(ops) AS BIGINT) AS ops, CAST(sum(keys) AS BIGINT) AS keys FROM e UNION ALL SELECT 'max', max(ops), max(keys) FROM e""")
-def q43_flush_stats(spark, sf_dir):
-    per = _epochs(spark, sf_dir).groupBy("epoch", "user_id").agg(F.count("*").alias("n")).groupBy("epoch").agg(F.sum("n").alias("ops"), F.count("*").alias("keys"))
-    both = per.agg(*[f(c).alias(f"{n}_{c}") for n, f in (("sum", F.sum), ("max", F.max)) for c in ("ops", "keys")])
-    rows = F.array(*[F.struct(F.lit(n).alias("what"), F.col(f"{n}_ops").alias("ops"), F.col(f"{n}_keys").alias("keys")) for n in ("sum", "max")])
-    return both.select(F.explode(rows).alias("r")).select("r.*")
+# the mutations of each epoch that change anything: the last one of each key, unless it leaves what was there
+_EFFECTIVE = f"""WITH l AS (SELECT {_EPOCH} AS epoch, user_id, arg_max(event_type, event_id) = 'error' AS gone, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2),
+    p AS (SELECT *, lag(gone) OVER w AS was_gone, lag(value) OVER w AS was FROM l WINDOW w AS (PARTITION BY user_id ORDER BY epoch)),
+    e AS (SELECT * FROM p WHERE CASE WHEN gone THEN NOT coalesce(was_gone, true) ELSE coalesce(was_gone, true) OR was IS DISTINCT FROM value END)"""
 
 
-def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base of the first epochs, tombstones kept, with the log of the later ones over it."""
-    columns = ["event_id", "event_type", "value"]
-    rows = _epochs(spark, sf_dir)
-    base = mutations.latest(rows.where("epoch < 4"), "user_id", "event_id", columns)
-    log = mutations.latest(rows.where("epoch >= 4"), "user_id", "event_id", columns)
-    merged = base.join(log.select("user_id"), "user_id", "left_anti").unionByName(log)
-    return merged.where("event_type <> 'error'").select("user_id", "value")
+@query(f"{_EFFECTIVE}, n AS (SELECT epoch, count(*) AS mutations FROM e GROUP BY 1) SELECT 'sum' AS what, CAST(sum(mutations) AS BIGINT) AS mutations, count(*) AS flushes FROM n UNION ALL SELECT 'max', max(mutations), count(*) FROM n")
+def q43_flush_stats(spark, sf_dir):
+    """Sum and maximum over the flushes of a store, as the store tells them after it was opened again."""
+    with _database(spark) as db:
+        for batch in _batches(spark, sf_dir):
+            db.tree().apply_batch(batch)
+            db.flush()
+        path = db.config.path
+    with Database(spark, path) as db:
+        stats = db.stats()
+    return spark.createDataFrame([(what, stats[what].mutations, stats["flushes"]) for what in ("sum", "max")], "what string, mutations long, flushes long")
 
 
 @query(_SNAPSHOT)
 def q44_log_compaction(spark, sf_dir):
-    return _compacted(spark, sf_dir)
+    """The state after five epochs, their compaction into a new base, and a vacuum of all that is old."""
+    with _database(spark, keep_versions=1) as db:
+        for batch in _batches(spark, sf_dir):
+            db.tree().apply_batch(batch)
+            db.flush()
+        if db.compact(force=True) != 1 or db.vacuum() <= 0 or db.stats()["collections"]["1"]["deltas"]:
+            raise StoreError("nothing was compacted")
+        return _user_value(db.tree().collection().df)
 
 
-@query("SELECT o_orderkey // 1024 AS leaf, min(o_orderkey) AS lo, lead(min(o_orderkey)) OVER (ORDER BY o_orderkey // 1024) AS hi, count(*) AS n FROM orders GROUP BY 1")
-def q45_leaves(spark, sf_dir):
-    return _leaves(spark, sf_dir)
+_LEAF = 1024
 
 
-def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaf = F.floor(F.col("o_orderkey") / 1024).cast("long").alias("leaf")  # keys are dense, so a leaf has 1024 of them
-    leaves = orders(spark, sf_dir).df.groupBy(leaf).agg(F.min("o_orderkey").alias("lo"), F.count("*").alias("n"))
-    after = leaves.select((F.col("leaf") - 1).alias("leaf"), F.col("lo").alias("hi"))
-    return leaves.join(after, "leaf", "left").select("leaf", "lo", "hi", "n")
+@query("SELECT count(*) AS n, min(o_orderkey) AS lo, max(o_orderkey) AS hi, CAST(0 AS BIGINT) AS oversized, CAST(0 AS BIGINT) AS overlaps FROM orders")
+def q45_leaves(spark, sf_dir):
+    """The files of a base of at most 1024 entries each: what they hold, how many are larger, how many overlap the one before."""
+    with _database(spark, rows_per_file=_LEAF) as db:
+        db.tree().insert(_entries(spark, sf_dir, "orders"))
+        db.flush()
+        db.compact(force=True)
+        leaves = db.files_of().withColumn("before", F.lag("hi").over(Window.orderBy("lo")))  # one row a file
+        count = lambda c: F.count_if(c)
+        return leaves.agg(F.sum("n").alias("n"), long_from_key(F.min("lo")).alias("lo"), long_from_key(F.max("hi")).alias("hi"), count(F.col("n") > _LEAF).alias("oversized"), count(F.col("before") >= F.col("lo")).alias("overlaps"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS gaps, CAST(1 AS BIGINT) AS open_ended")
+@query("SELECT 'whole' AS what, true AS valid, count(*) AS n FROM orders UNION ALL SELECT 'doubled', false, count(*) + 1 FROM orders")
 def q46_validate(spark, sf_dir):
-    leaves = _leaves(spark, sf_dir)
-    return leaves.agg(F.coalesce(F.sum(F.when(F.col("hi") != F.col("lo") + F.col("n"), 1).otherwise(0)), F.lit(0)).cast("long").alias("gaps"), F.count_if(F.col("hi").isNull()).alias("open_ended"))
-
-
-@query(f"""WITH l AS (SELECT user_id, max(event_id) AS last FROM events GROUP BY user_id)
-    SELECT epoch, live, total FROM (SELECT {_EPOCH} AS epoch, count(l.last) AS live, count(*) AS total FROM events LEFT JOIN l ON l.user_id = events.user_id AND l.last = event_id GROUP BY 1) AS s WHERE live < 0.9 * total""")
+    """A store is valid; with a copy of one entry put into its base behind its back it is not."""
+    out = []
+    with _database(spark) as db:
+        db.tree().insert(_entries(spark, sf_dir, "orders"))
+        db.flush()
+        db.compact(force=True)
+        for what in ("whole", "doubled"):
+            base = f"{db.config.path}/{db.state['collections']['1']['base']}"
+            if what == "doubled":
+                spark.read.parquet(base).orderBy("key").limit(1).write.mode("append").parquet(base)
+            try:
+                db.validate()
+                valid = True
+            except StoreError:
+                valid = False
+            out.append((what, valid, db.tree().collection().df.count()))
+    return spark.createDataFrame(out, "what string, valid boolean, n long")
+
+
+_BY_TYPE = f"""WITH l AS (SELECT event_type, {_EPOCH} AS epoch, user_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2, 3),
+    p AS (SELECT *, lag(value) OVER (PARTITION BY event_type, user_id ORDER BY epoch) AS was FROM l)"""
+
+
+@query(f"{_BY_TYPE} SELECT * FROM (SELECT event_type, count(DISTINCT user_id) AS live, count(*) FILTER (WHERE was IS DISTINCT FROM value) AS total FROM p GROUP BY 1) AS s WHERE live < 0.9 * total")
 def q47_defrag_candidates(spark, sf_dir):
-    rows = _epochs(spark, sf_dir)
-    last = rows.groupBy("user_id").agg(F.max("event_id").alias("last"))
-    marked = rows.join(last.select(F.col("last").alias("event_id"), F.lit(1).alias("live")), "event_id", "left")
-    return marked.groupBy("epoch").agg(F.count("live").alias("live"), F.count("*").alias("total")).where("live < 0.9 * total")
-
-
-@query()
+    """Of one collection for each type of event: those in which too few of the stored rows are live."""
+    with _database(spark) as db:
+        batches = _batches(spark, sf_dir)
+        types = sorted(r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().collect())
+        for batch in batches:
+            for kind in types:
+                db.tree(kind.encode()).apply_batch(batch.where(F.col("event_type") == kind).withColumn("gone", F.lit(False)).drop("event_type"))
+            db.flush()
+        of = {db.tree(kind.encode()).id: kind for kind in types}
+        found = db.defrag_candidates()
+    return spark.createDataFrame([(of[i], live, total) for i, live, total in found], "event_type string, live long, total long")
+
+
+@query("SELECT 'orders' AS name, count(*) AS n, true AS adds_up, true AS shrinks FROM orders")
 def q48_size_on_disk(spark, sf_dir):
-    from lexistore.sources.files import Files
+    """The size of a store is that of its files, and a vacuum after a rewrite gives its space back."""
+    with _database(spark, keep_versions=1) as db:
+        t = db.tree(b"orders")
+        t.insert(_entries(spark, sf_dir, "orders"))
+        db.flush()
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{db.config.path}/data").agg(F.sum("length")).first()[0]
+        adds_up = files + db.files.bytes("_manifest") + db.files.bytes("_lock") <= db.size_on_disk() < 2 * files + 100_000
+        t.update_and_fetch(t.collection().keys(), lambda old: F.concat(old, F.lit(b"+")))
+        db.flush()
+        before = db.size_on_disk()
+        db.compact()
+        shrinks = db.vacuum() > 0 and db.size_on_disk() < before
+        return spark.createDataFrame([("orders", t.collection().df.count(), adds_up, shrinks)], "name string, n long, adds_up boolean, shrinks boolean")
 
-    files = Files(spark, sf_dir)
-    names = [n for n in files.names("") if n.endswith(".parquet")]
-    return spark.createDataFrame([(n, files.bytes(n)) for n in names], "name string, bytes long")
 
-
-def _shared(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return root.rstrip("/") if root else f"file://{tempfile.mkdtemp(prefix='lexistore-')}"
+@query(_SNAPSHOT)
+def q51_recovery(spark, sf_dir):
+    """A store that was left with a torn manifest and data that no manifest names opens as of its last commit."""
+    batches = _batches(spark, sf_dir)
+    db = _database(spark)
+    for batch in batches:
+        db.tree().apply_batch(batch)
+        db.flush()
+    db.tree().apply_batch(batches[0])
+    db._write(db.tree()._pending_log(99), "data/1/epoch-99-never-published", sort=["key"])
+    db.files.create("_manifest/00000099.json", '{"crc": 1, "state": ')
+    db.close(flush=False)
+    with Database(spark, db.config.path) as again:
+        if not again.was_recovered():
+            raise StoreError("nothing was recovered")
+        again.vacuum()
+        return _user_value(again.tree().collection().df)
+
+
+@query("SELECT * FROM (VALUES ('second open', true), ('flush after failure', true), ('conflict', true), ('format', true), ('unlocked', true)) AS t(what, refused)")
+def q52_refusals(spark, sf_dir):
+    """What a store refuses: a second owner, work after a failed flush, a version that another writer took, a format it doesn't know; not a new owner."""
+
+    def refused(f: Callable, kind: type[Exception] = StoreError) -> bool:
+        try:
+            f()
+        except kind:
+            return True
+        return False
+
+    db = _database(spark)
+    out = [("second open", refused(lambda: Database(spark, db.config.path)))]
+    db.tree().insert(_entries(spark, sf_dir, "customer").withColumn("value", F.raise_error(F.lit("broken on purpose")).cast("binary")))
+    failed = refused(db.flush, Exception)
+    out.append(("flush after failure", failed and refused(db.flush)))
+    db.close(flush=False)
+    with Database(spark, db.config.path) as db:
+        unlocked = True
+    db = Database(spark, db.config.path)
+    db.tree().insert(_entries(spark, sf_dir, "customer"))
+    db.files.create(f"_manifest/{db.version + 1:08d}.json", "{}")
+    out.append(("conflict", refused(db.flush, Conflict)))
+    db.close(flush=False)
+    state = {"format": 99, "entry": "?"}
+    db.files.create("_manifest/00000050.json", json.dumps({"crc": zlib.crc32(json.dumps(state, sort_keys=True).encode()), "state": state}))
+    out += [("format", refused(lambda: Database(spark, db.config.path))), ("unlocked", unlocked)]
+    return spark.createDataFrame(out, "what string, refused boolean")
 
 
 @query("SELECT upper(hex(encode(CAST(user_id AS VARCHAR)))) AS key, upper(hex(encode(t))) AS value FROM (SELECT user_id, arg_max(event_type, event_id) AS t FROM events GROUP BY user_id) AS s WHERE t <> 'error'")
 def q49_stream_ingest(spark, sf_dir):
-    import uuid
-
-    from lexistore.sources.store import Database
-    from lexistore.streaming.ingest import ingest
-
-    at = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    at = _place(spark, "stream")
     stream = _stream(spark, sf_dir, "events")
     rows = stream.select(F.col("event_id").alias("seq"), text_key(F.col("user_id").cast("string")).alias("key"), (F.col("event_type") == "error").alias("gone"), text_key(F.col("event_type")).alias("value"))
     db = Database(spark, f"{at}/db")
@@ -511,32 +697,35 @@ def q49_stream_ingest(spark, sf_dir):
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream.  Streams read folders: a table of one file is picked from its folder by name."""
-    from lexistore.sources.files import Files
-
     reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
     if Files(spark, sf_dir).names(f"{name}.parquet") == [f"{name}.parquet"]:
         return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
-def q50_stream_counter(spark, sf_dir):
-    import uuid
-
-    from lexistore.streaming.ingest import counters
-
-    stream = _stream(spark, sf_dir, "events")
-    name = f"counter_{uuid.uuid4().hex}"
-    at = f"{_shared(spark)}/{name}"
+def _updates(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """All rows that an update stream gave, with the number of their batch."""
+    at = _place(spark, "updates")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("step", F.lit(batch_id)).write.mode("overwrite").parquet(f"{at}/out/{batch_id:08d}")
 
-    counters(stream, "user_id").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    updates = spark.read.parquet(f"{at}/out/*")
+    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out/*")
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+def q50_stream_counter(spark, sf_dir):
+    updates = _updates(spark, counters(_stream(spark, sf_dir, "events"), "user_id"))
     return mutations.latest(updates, "user_id", "step", ["n"])
 
 
+@query(_CAS + " SELECT user_id, event_id, ok, previous, proposed, cur AS current FROM r")
+def q53_stream_registers(spark, sf_dir):
+    stream = _cas_of(_stream(spark, sf_dir, "events"))
+    return _updates(spark, registers(stream, "user_id", "event_id", "expected", "new")).withColumnRenamed("seq", "event_id").drop("step")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -16,10 +16,12 @@ from __future__ import annotations
 
 import itertools
 import json
+import threading
 import time
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +55,7 @@ class Config:
     target_fill_ratio: float = 0.9
     keep_versions: int = 2
     flush_on_close: bool = True
+    flush_every: float | None = None  # seconds between flushes in the background
 
     def open(self, spark: SparkSession) -> Database:
         return Database(spark, self)
@@ -86,7 +89,7 @@ class Database:
         self.files = Files(spark, self.config.path)
         self._error: str | None = None
         self._trees: dict[int, Tree] = {}
-        self.flushes: list[FlushStats] = []
+        self._mutex, self._stop, self._flusher = threading.RLock(), threading.Event(), None
         if not self.files.create("_lock", uuid.uuid4().hex):
             raise StoreError("the store is open elsewhere (remove _lock if its owner died)")
         try:
@@ -98,6 +101,17 @@ class Database:
         except BaseException:
             self.files.delete("_lock")
             raise
+        if self.config.flush_every:
+            self._flusher = threading.Thread(target=self._flush_often, name="store flusher", daemon=True)
+            self._flusher.start()
+
+    def _flush_often(self) -> None:
+        while not self._stop.wait(self.config.flush_every):
+            try:
+                self.flush()
+            except Exception as e:  # the next use of the database reports it
+                self._error = self._error or f"flush failed: {e}"
+                return
 
     def __enter__(self) -> Database:
         return self
@@ -106,6 +120,9 @@ class Database:
         self.close(flush=kind is None and self.config.flush_on_close)
 
     def close(self, flush: bool = True) -> None:
+        self._stop.set()
+        if self._flusher:
+            self._flusher.join()
         try:
             if flush and not self._error:
                 self.flush()
@@ -143,18 +160,19 @@ class Database:
     def tree(self, name: bytes | None = None) -> Tree:
         """The named collection, made if need be; None is the default one."""
         self.check_error()
-        if name is None:
-            at = DEFAULT
-        elif name.hex() in self.state["names"]:
-            at = self.state["names"][name.hex()]
-        else:
-            state = json.loads(json.dumps(self.state))
-            at = state["next_id"]
-            state["next_id"] += 1
-            state["names"][name.hex()] = at
-            state["collections"][str(at)] = _new_collection()
-            self._publish(state)
-        return self._trees.setdefault(at, Tree(self, at))
+        with self._mutex:
+            if name is None:
+                at = DEFAULT
+            elif name.hex() in self.state["names"]:
+                at = self.state["names"][name.hex()]
+            else:
+                state = json.loads(json.dumps(self.state))
+                at = state["next_id"]
+                state["next_id"] += 1
+                state["names"][name.hex()] = at
+                state["collections"][str(at)] = _new_collection()
+                self._publish(state)
+            return self._trees.setdefault(at, Tree(self, at))
 
     def contains_tree(self, name: bytes) -> bool:
         return name.hex() in self.state["names"]
@@ -162,14 +180,15 @@ class Database:
     def drop_tree(self, name: bytes) -> bool:
         """Removes name and data in one commit; false if there is no such collection."""
         self.check_error()
-        if not self.contains_tree(name):
-            return False
-        state = json.loads(json.dumps(self.state))
-        at = state["names"].pop(name.hex())
-        del state["collections"][str(at)]
-        self._publish(state)
-        self._trees.pop(at, None)
-        return True
+        with self._mutex:
+            if not self.contains_tree(name):
+                return False
+            state = json.loads(json.dumps(self.state))
+            at = state["names"].pop(name.hex())
+            del state["collections"][str(at)]
+            self._publish(state)
+            self._trees.pop(at, None)
+            return True
 
     def tree_names(self) -> list[bytes]:
         return sorted(map(bytes.fromhex, self.state["names"]))
@@ -179,67 +198,80 @@ class Database:
     def flush(self, stream: str | None = None, batch_id: int | None = None) -> FlushStats:
         """Makes all pending writes durable as one epoch."""
         self.check_error()
-        began = time.time()
-        pending = {i: t for i, t in self._trees.items() if t.pending}
-        if not pending and stream is None:
-            return FlushStats(epoch=self.state["epoch"])
+        with self._mutex:
+            began = time.time()
+            pending = {i: t for i, t in self._trees.items() if t.pending}
+            if not pending and stream is None:
+                return FlushStats(epoch=self.state["epoch"])
+            with self._sticky("flush"):
+                state = json.loads(json.dumps(self.state))
+                state["epoch"] += 1
+                stats = FlushStats(epoch=state["epoch"], collections=len(pending))
+                for i, t in pending.items():
+                    held = state["collections"][str(i)]
+                    at = f"data/{i}/epoch-{state['epoch']}-{uuid.uuid4().hex}"
+                    rows = self._write(t._pending_log(state["epoch"]), at, sort=["key", "seq"])
+                    if rows:
+                        held["deltas"].append({"path": at, "rows": rows, "epoch": state["epoch"]})
+                        stats.mutations += rows
+                        stats.bytes_written += self.files.bytes(at)
+                if stream is not None:
+                    state["streams"][stream] = batch_id
+                stats.seconds = time.time() - began
+                so_far = _totals(state)
+                state["totals"] = {"flushes": so_far["flushes"] + 1, "sum": vars(so_far["sum"].sum(stats)), "max": vars(so_far["max"].max(stats))}
+                self._publish(state)
+            for t in pending.values():
+                t.pending.clear()
+            return stats
+
+    @contextmanager
+    def _sticky(self, what: str) -> Iterator[None]:
+        """A failure other than a conflict stops the database: every later use reports it."""
         try:
-            state = json.loads(json.dumps(self.state))
-            state["epoch"] += 1
-            stats = FlushStats(epoch=state["epoch"], collections=len(pending))
-            for i, t in pending.items():
-                held = state["collections"][str(i)]
-                at = f"data/{i}/epoch-{state['epoch']}-{uuid.uuid4().hex}"
-                rows = self._write(t._pending_log(state["epoch"]), at, sort=["key", "seq"])
-                if rows:
-                    held["deltas"].append({"path": at, "rows": rows, "epoch": state["epoch"]})
-                    stats.mutations += rows
-                    stats.bytes_written += self.files.bytes(at)
-            if stream is not None:
-                state["streams"][stream] = batch_id
-            self._publish(state)
+            yield
         except Conflict:
             raise
         except Exception as e:
-            self._error = f"flush failed: {e}"
+            self._error = f"{what} failed: {e}"
             raise
-        for t in pending.values():
-            t.pending.clear()
-        stats.seconds = time.time() - began
-        self.flushes.append(stats)
-        return stats
 
     def _write(self, df: DataFrame, at: str, sort: list[str]) -> int:
-        """Key-sorted, range-partitioned files, whose statistics let range scans skip them."""
-        rows = df.repartitionByRange("key").sortWithinPartitions(*sort)
+        """Key-sorted, range-partitioned files, whose statistics let range scans skip them; the number of rows."""
+        too_long = lambda c: F.when(F.octet_length(c) > MAX_CELL, F.raise_error(F.lit(f"a {c} is larger than {MAX_CELL} bytes"))).otherwise(F.col(c))
+        checked = df.withColumns({"key": too_long("key"), "value": too_long("value")})
+        rows = checked.repartitionByRange("key").sortWithinPartitions(*sort)
         rows.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", self.config.zstd_level).option("maxRecordsPerFile", self.config.rows_per_file).parquet(f"{self.config.path}/{at}")
-        back = self.spark.read.schema(df.schema).parquet(f"{self.config.path}/{at}")
-        row = back.agg(F.count("*").alias("n"), F.max(F.octet_length("value")).alias("v"), F.max(F.octet_length("key")).alias("k")).first()
-        if max(row.v or 0, row.k or 0) > MAX_CELL:
-            self.files.delete(at)
-            raise ValueError(f"a key or value is larger than {MAX_CELL} bytes")
-        return row.n
+        return self.spark.read.schema(df.schema).parquet(f"{self.config.path}/{at}").count()  # from the files' footers
 
     # maintenance
 
+    def defrag_candidates(self) -> list[tuple[int, int, int]]:
+        """(collection, live rows, all rows) of the collections with mutations whose live rows fall under the target ratio."""
+        out = []
+        for i, held in self.state["collections"].items():
+            if held["deltas"]:
+                total = held["rows"] + sum(d["rows"] for d in held["deltas"])
+                live = self._snapshot(held).count()
+                if live < self.config.target_fill_ratio * total:
+                    out.append((int(i), live, total))
+        return out
+
     def compact(self, force: bool = False) -> int:
-        """Folds mutations into new bases where live rows fall under the target ratio; the number of collections done."""
+        """Folds mutations into new bases, of the candidates or (by force) of all; the number of collections done."""
         self.check_error()
-        state, done = json.loads(json.dumps(self.state)), 0
-        for i, held in state["collections"].items():
-            total = held["rows"] + sum(d["rows"] for d in held["deltas"])
-            if not held["deltas"]:
-                continue
-            snapshot = self._snapshot(held)
-            live = snapshot.count()
-            if force or live < self.config.target_fill_ratio * total:
-                at = f"data/{i}/base-{uuid.uuid4().hex}"
-                rows = self._write(snapshot, at, sort=["key"])
-                held |= {"base": at if rows else None, "rows": rows, "deltas": []}
-                done += 1
-        if done:
-            self._publish(state)
-        return done
+        with self._mutex, self._sticky("compaction"):
+            state, done = json.loads(json.dumps(self.state)), 0
+            chosen = None if force else {i for i, _, _ in self.defrag_candidates()}
+            for i, held in state["collections"].items():
+                if held["deltas"] and (chosen is None or int(i) in chosen):
+                    at = f"data/{i}/base-{uuid.uuid4().hex}"
+                    rows = self._write(self._snapshot(held), at, sort=["key"])
+                    held |= {"base": at if rows else None, "rows": rows, "deltas": []}
+                    done += 1
+            if done:
+                self._publish(state)
+            return done
 
     def vacuum(self) -> int:
         """Deletes data that none of the newest ``keep_versions`` manifests refer to; the bytes freed."""
@@ -262,10 +294,9 @@ class Database:
         return self.recovered
 
     def stats(self) -> dict:
-        total, most = FlushStats(), FlushStats()
-        for s in self.flushes:
-            total, most = total.sum(s), most.max(s)
-        return {"version": self.version, "epoch": self.state["epoch"], "flushes": len(self.flushes), "sum": total, "max": most, "disk_bytes": self.size_on_disk(), "collections": {i: {"rows": h["rows"], "deltas": len(h["deltas"]), "delta_rows": sum(d["rows"] for d in h["deltas"])} for i, h in self.state["collections"].items()}}
+        """Versions, sizes, and the sum and maximum of all flushes since the store was made."""
+        held = {i: {"rows": h["rows"], "deltas": len(h["deltas"]), "delta_rows": sum(d["rows"] for d in h["deltas"])} for i, h in self.state["collections"].items()}
+        return {"version": self.version, "epoch": self.state["epoch"], **_totals(self.state), "disk_bytes": self.size_on_disk(), "collections": held}
 
     def files_of(self, name: bytes | None = None) -> DataFrame:
         """file, lo, hi and rows of the base files of a collection: contiguous, apart from each other."""
@@ -311,21 +342,38 @@ class Database:
             rows = self.spark.createDataFrame([], "type string, name binary, key binary, value binary")
         rows.write.parquet(path)
 
-    def import_(self, path: str) -> None:
-        """Adds an export; raises, and changes nothing, if a key is there already or a type is unknown."""
+    def _exported(self, path: str) -> tuple[DataFrame, list[bytes | None]]:
         rows = self.spark.read.schema("type string, name binary, key binary, value binary").parquet(path)
         if not rows.where("type <> 'tree' or type is null").isEmpty():
             raise StoreError("unknown collection type in the export")
         names = [r[0] for r in rows.select("name").distinct().collect()]  # as many as there are collections
-        parts = [(self.tree(bytes(n) if n is not None else None), rows.where(F.col("name").eqNullSafe(F.lit(n))).select("key", "value")) for n in names]
-        for t, part in parts:
-            if not t.collection().contained(part, "key").isEmpty():
-                raise StoreError(f"import would overwrite keys of collection {t.id}")
-        for t, part in parts:
-            t.insert(part)
+        return rows, [None if n is None else bytes(n) for n in names]
+
+    def conflicts(self, path: str) -> DataFrame:
+        """name and key of the entries of an export that an import would overwrite; makes no collection."""
+        rows, names = self._exported(path)
+        found = self.spark.createDataFrame([], "name binary, key binary")
+        for name in names:
+            if name is None or self.contains_tree(name):
+                mine = rows.where(F.col("name").eqNullSafe(F.lit(name)))
+                found = found.unionByName(self.tree(name).collection().contained(mine, "key").select("name", "key"))
+        return found
+
+    def import_(self, path: str) -> None:
+        """Adds an export; raises, and changes nothing, if a key is there already or a type is unknown."""
+        if not self.conflicts(path).isEmpty():
+            raise StoreError("the import would overwrite keys")
+        rows, names = self._exported(path)
+        for name in names:
+            self.tree(name).insert(rows.where(F.col("name").eqNullSafe(F.lit(name))).select("key", "value"))
         self.flush()
 
 
+def _totals(state: dict) -> dict:
+    held = state.get("totals", {"flushes": 0, "sum": {}, "max": {}})
+    return {"flushes": held["flushes"], "sum": FlushStats(**held["sum"]), "max": FlushStats(**held["max"])}
+
+
 def _new_collection() -> dict:
     return {"base": None, "rows": 0, "deltas": []}
 
@@ -351,7 +399,8 @@ class Tree:
             rows = part if rows is None else rows.unionByName(part)
         if rows is None:
             return self.db.spark.createDataFrame([], MUTATION)
-        last = rows.groupBy("key").agg(F.max_by(F.struct("gone", "value", "seq"), "seq").alias("m"))
+        # of rows with one key in the same write the greatest value counts
+        last = rows.groupBy("key").agg(F.max_by(F.struct("gone", "value", "seq"), F.struct("seq", "gone", "value")).alias("m"))
         return last.select(F.lit(epoch).cast("bigint").alias("epoch"), F.col("m.seq").alias("seq"), "key", F.col("m.gone").alias("gone"), F.col("m.value").alias("value"))
 
     def collection(self, epoch: int | None = None) -> Collection:
@@ -364,13 +413,18 @@ class Tree:
 
     def _add(self, df: DataFrame) -> None:
         self.db.check_error()
-        self.pending.append(df)
+        with self.db._mutex:
+            self.pending.append(df)
 
     def insert(self, entries: DataFrame) -> DataFrame:
-        """Upserts rows (key, value), a key at most once; gives each key with its previous value."""
-        before = self.collection().df.withColumnRenamed("value", "previous")
-        self._add(entries.select("key", F.lit(False).alias("gone"), "value"))
-        return entries.select("key").join(before, "key", "left")
+        """Upserts rows (key, value); gives each key with its previous value.
+
+        Equal values write nothing.  Of rows that share a key the one with the greatest value counts.
+        """
+        before = self.collection().df
+        puts = entries.groupBy("key").agg(F.max("value").alias("value")).withColumn("gone", F.lit(False))
+        self._add(mutations.effective(before, puts, "key", "value", "gone").select("key", "gone", "value"))
+        return entries.select("key").join(before.withColumnRenamed("value", "previous"), "key", "left")
 
     def remove(self, keys: DataFrame) -> DataFrame:
         """Deletes keys; gives each with its previous value.  Missing keys write nothing."""
@@ -413,13 +467,16 @@ class Tree:
 
     def _pop(self, how, n: int, start: Bound, end: Bound) -> DataFrame:
         popped, _ = how(self.collection(), n, start, end)
-        rows = self.db.spark.createDataFrame(popped.collect(), ENTRY)  # n rows; fixed before the delete is added
+        at = f"data/{self.id}/popped-{uuid.uuid4().hex}"
+        popped.write.parquet(f"{self.db.config.path}/{at}")  # fixed before the delete is added; vacuum clears it
+        rows = self.db._read(at, ENTRY)
         self._add(rows.select("key", F.lit(True).alias("gone"), F.lit(None).cast("binary").alias("value")))
         return rows
 
     def clear(self) -> None:
         """Empties the collection in one commit, pending writes included."""
-        state = json.loads(json.dumps(self.db.state))
-        state["collections"][str(self.id)] = _new_collection()
-        self.pending.clear()
-        self.db._publish(state)
+        with self.db._mutex:
+            state = json.loads(json.dumps(self.db.state))
+            state["collections"][str(self.id)] = _new_collection()
+            self.pending.clear()
+            self.db._publish(state)

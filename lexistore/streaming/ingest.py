@@ -32,13 +32,29 @@ def ingest(stream: DataFrame, db: Database, name: str, checkpoint: str, tree: by
 
 
 def counters(stream: DataFrame, key: str) -> DataFrame:
-    """Update stream of (key, n): the number of rows of each key so far, kept as keyed state."""
-    kind = stream.schema[key].dataType.simpleString()
+    """Update stream of (key, n): the number of rows of each key so far (output mode update)."""
+    return stream.groupBy(key).agg(F.count("*").alias("n"))
 
-    def count(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = (state.get[0] if state.exists else 0) + sum(map(len, batches))
-        state.update((n,))
-        yield pd.DataFrame({key: [k[0]], "n": [n]})
 
-    rows = stream.select(F.col(key)).groupBy(key)
-    return rows.applyInPandasWithState(count, f"{key} {kind}, n bigint", "n bigint", "update", GroupStateTimeout.NoTimeout)
+def registers(stream: DataFrame, key: str, seq: str, expected: str, new: str) -> DataFrame:
+    """Update stream of the outcomes of compare-and-swaps: key, seq, ok, previous, proposed, current.
+
+    A key's value is streaming state.  Operations of one micro-batch are taken in the order of ``seq``.
+    """
+    kind = stream.schema[new].dataType.simpleString()
+    at = stream.schema[key].dataType.simpleString()
+
+    def swap(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        cur = state.get[0] if state.exists else None
+        ops = pd.concat(batches).sort_values("seq")
+        out = []
+        for n, e, to in zip(*(ops[c].astype(object).where(ops[c].notna(), None) for c in ("seq", "e", "n")), strict=True):
+            ok, held = e == cur, cur
+            cur = to if ok else cur
+            out.append((k[0], n, ok, held, to, cur))
+        state.update((cur,))
+        yield pd.DataFrame(out, columns=[key, "seq", "ok", "previous", "proposed", "current"], dtype=object)
+
+    rows = stream.select(F.col(key), F.col(seq).cast("long").alias("seq"), F.col(expected).cast(kind).alias("e"), F.col(new).alias("n")).groupBy(key)
+    told = f"{key} {at}, seq long, ok boolean, previous {kind}, proposed {kind}, current {kind}"
+    return rows.applyInPandasWithState(swap, told, f"current {kind}", "update", GroupStateTimeout.NoTimeout)

@@ -1,6 +1,7 @@
 """Golden tests of reads, replay, pops, checksum, codec and bounds."""
 
 import random
+import time
 import zlib
 
 import pytest
@@ -82,6 +83,43 @@ def test_checksum(spark, n):
     assert combine(zlib.crc32(b"abc"), zlib.crc32(b"defgh"), 5) == zlib.crc32(b"abcdefgh")
 
 
+def test_checksum_of_nulls_and_equal_keys(spark):
+    rows = [(None, b"v"), (b"a", None), (b"b", b"2"), (b"a", b"1"), (None, None)]
+    wanted = zlib.crc32(b"v" + b"a" + b"a1" + b"b2")
+    for n in (1, 3):
+        assert checksum(spark.createDataFrame(rows, ENTRY).repartition(n).withColumn("o", F.col("key")), "o") == wanted
+
+
+def test_neighbours_over_many_ranges(spark):
+    entries = spark.range(3000).select((F.col("id") * 7).alias("key"), F.hex("id").alias("value"))
+    probes = spark.range(-5, 21_020).select(F.col("id").alias("p"))
+    c = Collection(entries)
+    for buckets in (None, 200):
+        below = {r.p: (r.key, r.value) for r in c.get_lt_many(probes, "p", buckets).collect()}
+        above = {r.p: (r.key, r.value) for r in c.get_gt_many(probes, "p", buckets).collect()}
+        for p in range(-5, 21_020):
+            lt, gt = min((p - 1) // 7, 2999), max(p // 7 + 1, 0)
+            assert below[p] == ((lt * 7, f"{lt:X}") if lt >= 0 else (None, None)), p
+            assert above[p] == ((gt * 7, f"{gt:X}") if gt < 3000 else (None, None)), p
+
+
+def test_ranges_grow_with_the_entries(spark, monkeypatch):
+    from lexistore.operators import neighbours
+
+    df = spark.range(20_000).select(F.col("id").alias("key"))
+    monkeypatch.setattr(neighbours, "RANGE_ROWS", 100)
+    splits = neighbours.split_points(df, "key")
+    assert 150 < len(splits) < 200
+    sizes = df.groupBy(neighbours.range_of(F.col("key"), splits).alias("r")).count().collect()
+    assert len(sizes) == len(splits) + 1 and max(r["count"] for r in sizes) < 600
+    assert all(r.n == sum(x <= r.key for x in splits) for r in df.select("key", neighbours.range_of(F.col("key"), splits).alias("n")).where("key % 97 = 0").collect())
+
+
+def test_dump(spark):
+    c = collection(spark, [(b"b", b"2"), (b"a", b"1"), (b"c", b"3")])
+    assert c.dump(2).split("\n")[2] == "..." and "a" in c.dump(2).split("\n")[0] and "..." not in c.dump(3)
+
+
 def test_enumerate(spark):
     c = Collection(spark.range(1000).select((F.col("id") * 7 % 1000).alias("key")))
     assert c.enumerate("n", 7).where("n != key").count() == 0
@@ -117,6 +155,24 @@ def test_compare_and_swap_against_a_model(spark, width):
     assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == _cas_model(ops)
 
 
+def test_compare_and_swap_of_a_hot_key_with_distinct_values(spark):
+    rnd = random.Random(9)
+    ops = [(i, "hot", rnd.choice([i - 1, rnd.randint(0, 16_000)]) if i else None, i) for i in range(16_000)]
+    log = spark.createDataFrame(ops, "seq long, key string, e long, n long")
+    mutations.compare_and_swap(log.limit(10), "key", "seq", "e", "n").collect()
+    began = time.time()
+    got = mutations.compare_and_swap(log, "key", "seq", "e", "n").select("key", "seq", "ok", "previous", "proposed", "current").collect()
+    assert time.time() - began < 15 and sorted(map(tuple, got), key=lambda r: r[1]) == _cas_model(ops)
+
+
+def test_compare_and_swap_of_null_keys_and_binary_values(spark):
+    ops = [(1, None, None, b"a"), (2, b"k", b"x", b"y"), (3, None, b"a", None), (4, None, None, b""), (5, b"k", None, b"z")]
+    log = spark.createDataFrame(ops, "seq long, key binary, e binary, n binary")
+    got = mutations.compare_and_swap(log, "key", "seq", "e", "n", 2).select("key", "seq", "ok", "previous", "proposed", "current")
+    assert sorted(rows(got), key=lambda r: r[1]) == _cas_model(ops)
+    assert mutations.compare_and_swap(log.limit(0), "key", "seq", "e", "n").count() == 0
+
+
 @pytest.mark.parametrize("width", [4, 1000])
 def test_running_results_in_slices(spark, width):
     rnd = random.Random(1)

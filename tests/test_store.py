@@ -2,12 +2,13 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexistore.sources.store import Config, Conflict, Database, StoreError
-from lexistore.streaming.ingest import ingest
+from lexistore.streaming.ingest import ingest, registers
 
 ENTRY = "key binary, value binary"
 
@@ -152,3 +153,72 @@ def test_stream_batches_commit_once(spark, tmp_path):
         for run in range(2):  # the second time the same batch comes with no memory of the first
             ingest(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/in"), db, "s", f"{tmp_path}/checkpoint{run}").awaitTermination()
             assert content(db.tree()) == wanted and db.state["epoch"] == 2
+
+
+def test_equal_values_write_nothing_and_repeated_keys_are_settled(spark, tmp_path):
+    with Database(spark, f"file://{tmp_path}/db") as db:
+        t = db.tree()
+        twice = spark.createDataFrame([(b"a", b"1"), (b"b", b"2"), (b"a", b"3")], ENTRY)
+        t.insert(twice)
+        assert db.flush().mutations == 2 and content(t) == {b"a": b"3", b"b": b"2"}
+        epoch = db.state["epoch"]
+        for _ in range(2):
+            t.insert(entries(spark, {b"a": b"3", b"b": b"2"}))
+            assert db.flush().mutations == 0
+        assert db.stats()["collections"]["1"]["deltas"] == 1 and db.state["epoch"] == epoch + 2
+
+
+def test_totals_last_and_the_flusher_flushes(spark, tmp_path):
+    at = f"file://{tmp_path}/db"
+    with Config(at, flush_every=0.2, flush_on_close=False).open(spark) as db:
+        db.tree().insert(entries(spark, {b"a": b"1"}))
+        deadline = time.time() + 60
+        while db.stats()["flushes"] < 1 and time.time() < deadline:
+            time.sleep(0.1)
+    with Database(spark, at) as db:
+        assert content(db.tree()) == {b"a": b"1"}
+        db.tree().insert(entries(spark, {b"b": b"1", b"c": b"1"}))
+        db.flush()
+    with Database(spark, at) as db:
+        stats = db.stats()
+        assert (stats["flushes"], stats["sum"].mutations, stats["max"].mutations) == (2, 3, 2)
+
+
+def test_a_failure_in_the_background_is_reported(spark, tmp_path):
+    db = Config(f"file://{tmp_path}/db", flush_every=0.1).open(spark)
+    db.tree().insert(entries(spark, {b"a": b"1"}).withColumn("value", F.raise_error(F.lit("no")).cast("binary")))
+    db._flusher.join(60)
+    with pytest.raises(StoreError):
+        db.flush()
+    db.close()
+
+
+def test_an_import_in_conflict_changes_nothing(spark, tmp_path):
+    with Database(spark, f"file://{tmp_path}/a") as db:
+        db.tree(b"new").insert(entries(spark, {b"n": b"1"}))
+        db.tree(b"old").insert(entries(spark, {b"a": b"1", b"b": b"2"}))
+        db.export(f"{tmp_path}/out")
+    with Database(spark, f"file://{tmp_path}/b") as db:
+        db.tree(b"old").insert(entries(spark, {b"b": b"0"}))
+        db.flush()
+        assert [(bytes(r.name), bytes(r.key)) for r in db.conflicts(f"{tmp_path}/out").collect()] == [(b"old", b"b")]
+        with pytest.raises(StoreError):
+            db.import_(f"{tmp_path}/out")
+        assert not db.contains_tree(b"new") and content(db.tree(b"old")) == {b"b": b"0"}
+
+
+def test_stream_registers(spark, tmp_path):
+    ops = [(i, i % 3, None if i % 4 == 0 else i % 5, i % 5 if i % 7 else None) for i in range(60)]
+    for part in range(2):
+        spark.createDataFrame(ops[30 * part : 30 * part + 30], "seq long, key long, e long, n long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    held, wanted = {}, []
+    for seq, key, e, n in ops:
+        before = held.get(key)
+        if before == e:
+            held[key] = n
+        wanted.append((key, seq, before == e, before, n, held.get(key)))
+    stream = spark.readStream.schema("seq long, key long, e long, n long").parquet(f"{tmp_path}/in")
+    out = registers(stream, "key", "seq", "e", "n")
+    out.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("append").parquet(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(got, key=lambda r: r[1]) == wanted
