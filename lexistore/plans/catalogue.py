@@ -538,7 +538,7 @@ _EFFECTIVE = f"""WITH l AS (SELECT {_EPOCH} AS epoch, user_id, arg_max(event_typ
     e AS (SELECT * FROM p WHERE CASE WHEN gone THEN NOT coalesce(was_gone, true) ELSE coalesce(was_gone, true) OR was IS DISTINCT FROM value END)"""
 
 
-@query(f"{_EFFECTIVE}, n AS (SELECT epoch, count(*) AS mutations FROM e GROUP BY 1) SELECT 'sum' AS what, CAST(sum(mutations) AS BIGINT) AS mutations, count(*) AS flushes FROM n UNION ALL SELECT 'max', max(mutations), count(*) FROM n")
+@query(f"{_EFFECTIVE}, n AS (SELECT epoch, count(*) AS mutations FROM e GROUP BY 1) SELECT 'sum' AS what, CAST(sum(mutations) AS BIGINT) AS mutations, CAST({_EPOCHS} AS BIGINT) AS flushes FROM n UNION ALL SELECT 'max', max(mutations), {_EPOCHS} FROM n")
 def q43_flush_stats(spark, sf_dir):
     """Sum and maximum over the flushes of a store, as the store tells them after it was opened again."""
     with _database(spark) as db:
