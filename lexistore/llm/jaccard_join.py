@@ -330,31 +330,39 @@ def jaccard_components(docs: DataFrame, width: int, percent: int, exact: bool =
     held = filled.select(*ROW, "node", "n", "bits", "slack", "tokens")
     reps = classes.select("at.*", "node").join(held, [*ROW, "node"]).dropDuplicates(["node"])
     reps = scratch.write(reps, "reps")
+    named_rows = scratch.write(sets.select(*ROW, "doc_id", F.col("n").alias("n_shingles"), node.alias("node")), "rows")
+    scratch.tidy("sets")
 
     prefix = reps.select("node", F.explode("tokens").alias("token"))
     met = prefix.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor("node.a").alias("sum_a"), F.bit_xor("node.b").alias("sum_b"))
     # tokens of the same members would make the same pairs again
     groups = scratch.write(met.where("c > 1").groupBy("c", "sum_a", "sum_b").agg(F.min("token").alias("token")).select("token", "c"), "groups")
+    scratch.tidy()
     members = scratch.write(prefix.join(groups, "token"), "members")
+    scratch.tidy("groups")
     rows = members.select("node").distinct().join(reps.select(*ROW, "node"), "node").select(*ROW, "node")
     texts = scratch.write(keyed.join(by_shuffle(rows), ROW).select("node", "text").dropDuplicates(["node"]), "texts")
-    scratch.tidy("groups")
+    scratch.tidy()
 
     about = reps.select("node", "n", "bits", "slack")
     columns = ["token", "i", "j", "own", "node.a", "node.b", "n", "bits", "slack"]
     first = _possible(_chained(members).join(about, "node").select(*columns, F.col("node.a").alias("component_a"), F.col("node.b").alias("component_b")), percent, True)
     first = scratch.write(first, "pairs-1")
+    scratch.tidy()
     links = scratch.write(_verified(first, texts, width, percent), "links-1")
+    scratch.tidy()
     labels = components(links, scratch, "labels-1")
 
     placed = members.join(labels.withColumnRenamed("x", "node"), "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
     placed = scratch.write(placed, "placed")
+    scratch.tidy("members")
     open_groups = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
     placed = placed.join(open_groups, "token", "left_semi").join(reps.select("node", "n"), "node")
     placed = scratch.write(_paired(placed, percent).drop("n", "c"), "paired")
+    scratch.tidy("placed")
     second = _possible(placed.join(about, "node").select(*columns, F.col("component.a").alias("component_a"), F.col("component.b").alias("component_b")), percent, False)
     second = scratch.write(second.join(first, ["x", "y"], "left_anti"), "pairs-2")
-    scratch.tidy("members", "placed", "paired", "reps")
+    scratch.tidy("paired", "reps")
     links = scratch.write(links.unionByName(_verified(second, texts, width, percent)), "links-2")
     labels = components(links, scratch, "labels-2")
 
@@ -363,8 +371,7 @@ def jaccard_components(docs: DataFrame, width: int, percent: int, exact: bool =
     roots = scratch.write(named.groupBy("root").agg(F.min("label").alias("component_id")), "roots")
     named = scratch.write(named.join(roots, "root").select("node", "component_id", "root"), "components")
     scratch.tidy("classes", "texts", "pairs-1", "links-1", "pairs-2", "links-2", "named", "roots")
-    rows = sets.select(*ROW, "doc_id", F.col("n").alias("n_shingles"), node.alias("node"))
-    out = rows.join(named, "node", "left")
+    out = named_rows.join(named, "node", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(*ROW, "doc_id", "n_shingles", own.alias("component_id"), "root")
 
