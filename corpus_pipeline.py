@@ -5,8 +5,8 @@ returns as Parquet and reads it again for the next one.  All stages but the last
 columns of ``documents``.
 
 1. quality classifier: documents scored under 0.3 go;
-2. line dedup: later occurrences of repeated line chunks go from the texts; a text of which
-   nothing is left stays as a row with an empty text;
+2. line dedup: later occurrences of repeated line chunks go from the texts, and a document
+   that loses all its lines goes (texts that were null or empty before stay);
 3. n-gram Jaccard join: of each group of near duplicates (five-word shingles, similarity of
    0.8 or more) one row stays, that with the smallest id (null last), then the smallest text key;
    of rows equal in id and text one stays, and all rows without words;
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexistore.llm import decontaminate, jaccard_join, line_dedup, quality, sentencepiece_codec
-from lexistore.llm.common import Scratch, by_shuffle, row_id_a, row_id_b, table
+from lexistore.llm.common import Scratch, by_shuffle, row_id_a, row_id_b, scratch_freed, table
 from lexistore.llm.queries import KEEP_FROM, PIECE_MODEL
 
 WIDTH, PERCENT = 5, 80
@@ -35,7 +35,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs).where("removed is null or text <> ''")
     new = {"text": F.col("text"), "n_chars": F.when(F.col("removed").isNull(), F.col("row.n_chars")).otherwise(F.length("text")).cast("long")} if "n_chars" in docs.columns else {"text": F.col("text")}
     return out.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
@@ -80,7 +80,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "corpus-pipeline")
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{number}")
+        with scratch_freed():  # what a stage wrote on its way isn't needed once its result is written
+            docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{number}")
         if number:
             scratch.drop(f"stage-{number - 1}")
     return docs
