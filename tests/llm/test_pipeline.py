@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from lexistore.llm import line_dedup
+from lexistore.llm import common, line_dedup
 from lexistore.llm.quality import held_out
 
 from .test_operators import brute_components, frame, prose
@@ -66,6 +66,21 @@ def test_each_stage(spark, corpus, tmp_path):
     assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, at).collect()} == {i: r.ids_sha256 for i, r in tokens.items()}
 
 
+def test_a_document_that_loses_all_its_lines_goes(spark):
+    rnd = random.Random(6)
+    lines = [prose(rnd, 6) for _ in range(6)]
+    texts = ["\n".join(lines), "\n".join(lines), "\n".join(lines[:3]), "\n".join([*lines[3:], "own"]), "one line", "one line", "", None, ""]
+    out = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, frame(spark, texts), "").collect()}
+    assert out == {0: texts[0], 3: "own", 4: "one line", 5: "one line", 6: "", 7: None, 8: ""}
+
+
+def test_a_run_leaves_only_its_last_table(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_root", lambda spark: f"file://{tmp_path}")
+    corpus_pipeline.run(spark, corpus[1]).count()
+    (left,) = [x for x in tmp_path.iterdir() if any(x.iterdir())]
+    assert left.name.startswith("corpus-pipeline") and [x.name for x in left.iterdir()] == ["stage-4"]
+
+
 def test_one_row_of_a_component_stays(spark):
     rnd = random.Random(5)
     near, ids_null, same, lone, other = [prose(rnd, 80, 5000) for _ in range(5)]
