@@ -9,6 +9,7 @@ slice, so a key with a large part of all rows is spread over many tasks.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,7 +66,7 @@ def fold(log: DataFrame, key: str, seq: str, step: Callable, state: str, outcome
 
     ``step(state, op)`` gives the next state (null: absent); ``outcome(state, op)`` a struct for
     the result.  The fold is serial by nature; a key's operations come in one list, so this
-    is for keys of bounded length.  ``compare_and_swap`` and the counters above have no such limit.
+    is for keys of bounded length.  ``fold_rows``, ``compare_and_swap`` and the counters above have no such limit.
     """
     ops = F.array_sort(F.collect_list(F.struct(seq, *[c for c in log.columns if c not in (key, seq)])))
     rows = log.groupBy(key).agg(ops.alias("ops"))
@@ -75,6 +76,31 @@ def fold(log: DataFrame, key: str, seq: str, step: Callable, state: str, outcome
     return rows.select(key, done.alias("done")).select(key, F.explode("done.out").alias("r")).select(key, "r.*")
 
 
+def fold_rows(log: DataFrame, key: str, seq: str, step: Callable[[Any, dict], tuple[Any, tuple]], outcome: str) -> DataFrame:
+    """General read-modify-write with a Python function: key and the columns of ``outcome`` (a schema) for each operation.
+
+    ``step(state, row)`` gives the next state and the outcome; a key starts with None.  A
+    key's operations stream through one task in order, a batch at a time, so its history may
+    have any length; keys are spread over tasks.
+    """
+    schema = f"{key} {log.schema[key].dataType.simpleString()}, {outcome}"
+    arrow = _arrow(log.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = state = None
+        first = True
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if first or row[key] != at:
+                    at, state, first = row[key], None, False
+                state, told = step(state, row)
+                out.append((at, *told))
+            yield from _batches(out, arrow)
+
+    return log.repartition(key).sortWithinPartitions(key, seq).mapInArrow(run, schema)
+
+
 def _outcome_type(rows: DataFrame, step: Callable, outcome: Callable, kind: str) -> str:
     probe = rows.select(F.transform("ops", lambda op: outcome(F.lit(None).cast(kind), op)).alias("x"))
     return probe.schema["x"].dataType.elementType.simpleString()

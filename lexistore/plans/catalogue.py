@@ -291,11 +291,26 @@ def q29_fetch_and_update(spark, sf_dir):
     return _counter(spark, sf_dir).select("user_id", "event_id", "old")
 
 
-@query("SELECT user_id, event_id, CAST(sum(step) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS total FROM (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) % 10 AS step FROM events) AS s")
+_TOTALS = "SELECT user_id, event_id, CAST(sum(step) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS total FROM (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) % 10 AS step FROM events) AS s"
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("user_id", "event_id", (F.floor("value").cast("long") % 10).alias("step"))
+
+
+@query(_TOTALS)
 def q29b_read_modify_write(spark, sf_dir):
-    log = table(spark, sf_dir, "events").select("user_id", "event_id", (F.floor("value").cast("long") % 10).alias("step"))
     add = lambda s, op: F.coalesce(s, F.lit(0).cast("long")) + op["step"]
-    return mutations.fold(log, "user_id", "event_id", add, "bigint", lambda s, op: F.struct(op["event_id"].alias("event_id"), add(s, op).alias("total")))
+    return mutations.fold(_steps(spark, sf_dir), "user_id", "event_id", add, "bigint", lambda s, op: F.struct(op["event_id"].alias("event_id"), add(s, op).alias("total")))
+
+
+@query(_TOTALS)
+def q29c_read_modify_write_by_rows(spark, sf_dir):
+    def add(total, row):
+        total = (total or 0) + row["step"]
+        return total, (row["event_id"], total)
+
+    return mutations.fold_rows(_steps(spark, sf_dir), "user_id", "event_id", add, "event_id long, total long")
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,18 @@ def test_running_results_in_slices(spark, width):
     assert sorted((r.seq, r.new, r.old) for r in counted.collect()) == [(i, n, o) for i, _, n, o in wanted]
 
 
+def test_fold_by_rows_against_a_model(spark):
+    rnd = random.Random(4)
+    ops = [(i, rnd.choice([None, "a", "b"]), rnd.randint(0, 9)) for i in range(300)]
+    log = spark.createDataFrame(ops, "seq long, key string, v long").repartition(3)
+    step = lambda held, row: ((held or 1) * 3 % 101 + row["v"], (row["seq"], held))
+    held, wanted = {}, []
+    for i, k, v in ops:
+        wanted.append((k, i, held.get(k)))
+        held[k] = (held.get(k) or 1) * 3 % 101 + v
+    assert sorted(map(tuple, mutations.fold_rows(log, "key", "seq", step, "seq long, before long").collect()), key=lambda r: r[1]) == wanted
+
+
 def test_replay_and_overlay_against_a_model(spark):
     rnd = random.Random(5)
     ops = [(i, rnd.randint(0, 20), rnd.random() < 0.3, rnd.randint(0, 3)) for i in range(400)]
