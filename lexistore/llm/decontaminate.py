@@ -49,12 +49,7 @@ class TokenHashes(WordHashes):
 
     def __missing__(self, word: bytes) -> int:
         text = word.decode("utf-8", "surrogatepass").lower()
-        value = super().__missing__(word)
-        plain = (_ENDS.sub("", text) or text).encode("utf-8", "surrogatepass")
-        if plain != word:
-            value = self[plain]
-            self[word] = value
-        return value
+        return self._kept(word, super().__missing__((_ENDS.sub("", text) or text).encode("utf-8", "surrogatepass")))
 
     def tokens(self, text: str | None) -> np.ndarray:
         return self.of((text or "").encode("utf-8", "surrogatepass").split())
@@ -334,8 +329,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
     best = scratch.write(best, "found")
     for name in ("items", "item-seeds", "near", "seeds", "known", "asked", "pairs", "hits"):
         scratch.drop(name)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_id_a(), row_id_b())
-    return rows.join(by_shuffle(best), ROW, "left").select("row", F.coalesce("hits", F.array().cast(HITS)).alias("hits"))
+    # the struct is made after the join, so a caller that uses some columns only has only those shuffled
+    keys = {f"{c} of decontaminate": key for c, key in zip(ROW, (row_id_a(), row_id_b()), strict=True)}
+    best = best.select(*[F.col(c).alias(k) for c, k in zip(ROW, keys, strict=True)], F.col("hits").alias("hits of decontaminate"))
+    out = docs.withColumns(keys).join(by_shuffle(best), list(keys), "left")
+    return out.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce("hits of decontaminate", F.array().cast(HITS)).alias("hits"))
 
 
 def _null_last(item_id: int | None) -> tuple[bool, int]:

@@ -48,7 +48,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     by_id = lambda a, b: F.when(a.isNull(), 1).when(b.isNull(), -1).otherwise(F.signum(a - b))  # noqa: E731  ids differ
     best = F.element_at(F.array_sort("hits", lambda a, b: F.when(a["coverage"] != b["coverage"], F.signum(b["coverage"] - a["coverage"])).otherwise(by_id(a["item_id"], b["item_id"])).cast("int")), 1)
-    found = found.select(F.col("row.doc_id").alias("doc_id"), "hits", F.when(F.size("hits") > 0, best).alias("best"))
+    found = found.select(F.col("row.doc_id").alias("doc_id"), "hits")  # by itself, so that no other column of the row is shuffled
+    found = found.select("doc_id", "hits", F.when(F.size("hits") > 0, best).alias("best"))
     return found.select(
         "doc_id",
         (F.size("hits") > 0).cast("int").alias("contaminated"),
