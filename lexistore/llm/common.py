@@ -167,6 +167,62 @@ class WordHashes(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+    def of_text(self, raw: bytes) -> np.ndarray:
+        return self.of(raw.split())
+
+
+class Powers:
+    """base**i and base**-i (mod 2**64), grown as needed."""
+
+    def __init__(self, base: np.uint64 = BASE) -> None:
+        self.base = base
+        self.up = self.down = np.ones(1, np.uint64)
+        self.inverse = np.uint64(pow(int(base), -1, 2**64))
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            with np.errstate(over="ignore"):
+                self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, self.base, np.uint64))])
+                self.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, self.inverse, np.uint64))])
+        return self.up, self.down
+
+
+def range_hashes(h: np.ndarray, first: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
+    """Hash of h[first:end] for arrays of coordinates."""
+    up, down = powers.upto(len(h) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)])])
+        return mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
+
+
+class TextHashes:
+    """64-bit hashes of a text's words (as ``bytes.split`` cuts them), a piece of the text at a time.
+
+    Polynomials over the words' bytes, each byte first turned into 64 mixed bits; nothing is remembered.
+    """
+
+    PIECE = 1 << 20
+    SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+
+    def __init__(self) -> None:
+        self.powers = Powers()
+        self.values = salted(np.arange(256, dtype=np.uint64), 256)
+
+    def of_text(self, raw: bytes) -> np.ndarray:
+        data, parts, first = np.frombuffer(raw, np.uint8), [], 0
+        while first < len(data):
+            end = min(first + self.PIECE, len(data))
+            while end < len(data) and not self.SPACE[data[end - 1]]:  # a piece ends behind a space
+                spaces = np.flatnonzero(self.SPACE[data[end : end + self.PIECE]])
+                end = end + int(spaces[0]) + 1 if len(spaces) else min(end + self.PIECE, len(data))
+            piece = data[first:end]
+            change = np.diff(np.concatenate([[True], self.SPACE[piece], [True]]).astype(np.int8))
+            starts, ends = np.flatnonzero(change == -1), np.flatnonzero(change == 1)
+            parts.append(range_hashes(self.values[piece], starts, ends, self.powers))
+            first = end
+        return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
 
 def window_hashes(values: np.ndarray, width: int, base: np.uint64 = BASE) -> np.ndarray:
     """Polynomial hash of every ``width`` consecutive values, mixed; empty if there are fewer."""

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BASE, OTHER_BASE, Scratch, WordHashes, by_shuffle, keyed_texts, mix, row_id_a, row_id_b, salted, window_hashes
+from .common import BASE, OTHER_BASE, Powers, Scratch, TextHashes, WordHashes, by_shuffle, keyed_texts, range_hashes, row_id_a, row_id_b, salted, window_hashes
 
 WINDOW = 35
 ANCHOR = 8
@@ -45,7 +45,7 @@ OTHER = 0x5BD1E995  # seed of the second hash
 ROW = ["row_a", "row_b"]
 PATH = ["path_a", "path_b"]
 UNIT = ["kind", "a", "b"]
-Hashes = Callable[[], WordHashes]
+Hashes = Callable[[], TextHashes | WordHashes]
 
 
 def anchors(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,29 +69,12 @@ def anchors(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.nda
     return pieces[place[first]], first, last
 
 
-class Powers:
-    """base**i and base**-i, grown as needed."""
-
-    def __init__(self, base: np.uint64) -> None:
-        self.base = base
-        self.up = self.down = np.ones(1, np.uint64)
-        self.inverse = np.uint64(pow(int(base), -1, 2**64))
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            with np.errstate(over="ignore"):
-                self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, self.base, np.uint64))])
-                self.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, self.inverse, np.uint64))])
-        return self.up, self.down
-
-
-def range_hashes(h: np.ndarray, first: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
-    """Hash of h[first:end] for arrays of coordinates."""
-    up, down = powers.upto(len(h) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)])])
-        return mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
+def covered(first: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in any range first..end."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, first, 1)
+    np.add.at(change, end, -1)
+    return np.cumsum(change)[:-1] > 0
 
 
 def _paths(keyed: DataFrame, window: int, anchor: int, make: Hashes) -> DataFrame:
@@ -102,7 +85,7 @@ def _paths(keyed: DataFrame, window: int, anchor: int, make: Hashes) -> DataFram
         for batch in batches:
             parts: list[list[np.ndarray]] = [[] for _ in range(6)]
             for i, text in enumerate(batch.column("text").to_pylist()):
-                h = hashes.of(text.encode("utf-8", "surrogatepass").split())
+                h = hashes.of_text(text.encode("utf-8", "surrogatepass"))
                 a, first, last = anchors(h, window, anchor)
                 if len(a):
                     own = (np.full(len(a), i), a, range_hashes(h, first, last + window, powers), range_hashes(salted(h, OTHER), first, last + window, others), first, last)
@@ -124,10 +107,14 @@ def _edges(listed: DataFrame, window: int, make: Hashes) -> DataFrame:
         hashes = make()
         for batch in batches:
             at, x, y, places = [], [], [], []
-            for i, (text, paths) in enumerate(zip(batch.column("text").to_pylist(), batch.column("paths").to_pylist(), strict=True)):
-                h = hashes.of(text.encode("utf-8", "surrogatepass").split())
+            paths = batch.column("paths")
+            flat, cuts = paths.flatten(), np.concatenate([[0], np.cumsum(paths.value_lengths().to_numpy())])
+            firsts, lasts = (flat.field(c).to_numpy() for c in ("first", "last"))
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                h = hashes.of_text(text.encode("utf-8", "surrogatepass"))
+                mine = slice(cuts[i], cuts[i + 1])
+                place = np.flatnonzero(covered(firsts[mine], lasts[mine] + 1, len(h)))
                 a, b = window_hashes(h, window), window_hashes(salted(h, OTHER), window, OTHER_BASE)
-                place = np.unique(np.concatenate([np.arange(p["first"], p["last"] + 1) for p in paths]))
                 at.append(np.full(len(place), i))
                 x.append(a[place])
                 y.append(b[place])
@@ -161,14 +148,14 @@ def _digests(listed: DataFrame, window: int) -> DataFrame:
 
 def _occurrences(keyed: DataFrame, window: int, anchor: int, scratch: Scratch, hashes: Hashes) -> DataFrame:
     """row_a, row_b, first, last, kind, a, b: the occurrences of all units (kind, a, b) that occur more than once."""
-    paths = _paths(keyed, window, anchor, hashes)
+    paths = scratch.write(_paths(keyed, window, anchor, hashes), "paths")
     seen = paths.groupBy("anchor").agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for n, f in (("least", F.min), ("most", F.max)) for c in PATH])
-    # written first: both sides of the join are plain shuffles, so Spark can split a hot anchor
+    # written tables: both sides of the join are plain shuffles, so Spark can split a hot anchor
     nodes = scratch.write(seen.where("n > 1").select("anchor", F.expr("least_path_a <> most_path_a or least_path_b <> most_path_b").alias("branches")), "nodes")
     met = scratch.write(paths.join(nodes, "anchor").drop("anchor"), "met")
+    scratch.tidy("paths", "nodes")
     contents = met.where("branches").groupBy(*PATH).agg(F.count("*").alias("n"), F.min(F.struct(*ROW, "first", "last")).alias("source"))
     contents = scratch.write(contents, "contents")
-    scratch.tidy("nodes")
     sources = contents.select("source.*").groupBy(*ROW).agg(F.collect_list(F.struct("first", "last")).alias("paths"))
     edges = scratch.write(_edges(keyed.join(by_shuffle(sources), ROW), window, hashes), "edges")
     twice = scratch.write(edges.groupBy("edge_a", "edge_b").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
@@ -176,7 +163,8 @@ def _occurrences(keyed: DataFrame, window: int, anchor: int, scratch: Scratch, h
     same = met.where("branches").join(contents.where("n > 1").select(*PATH), PATH)
     whole = met.where("not branches").drop("branches").unionByName(same.drop("branches")).select(*ROW, "first", "last", *unit(0, *PATH))
     single = edges.join(twice, ["edge_a", "edge_b"]).select(*ROW, "first", F.col("first").alias("last"), *unit(1, "edge_a", "edge_b"))
-    found = scratch.write(whole.unionByName(single).distinct(), "occurrences")  # rows that share a key once
+    found = whole.unionByName(single).repartition(*ROW, "kind").distinct()  # rows that share a key once, dealt as the next window is
+    found = scratch.write(found, "occurrences")
     scratch.tidy("met", "contents", "edges", "twice")
     return found
 
@@ -205,7 +193,7 @@ def _runs(found: DataFrame, scratch: Scratch) -> DataFrame:
     return runs
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hashes: Hashes = WordHashes) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hashes: Hashes = TextHashes) -> DataFrame:
     """row_a, row_b, spans: array of (first, last) ranges of repeated windows.  ``hashes`` makes the word hashes of a task."""
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     keyed = keyed_texts(docs)
@@ -213,10 +201,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     listed = runs.groupBy(*ROW).agg(F.collect_list(F.struct("first", "last", *UNIT)).alias("runs"))
     digests = _digests(keyed.join(by_shuffle(listed), ROW).select("text", "runs"), window)
     proven = digests.groupBy(*UNIT).agg(F.count("*").alias("n"), *[f(f"digest_{c}").alias(f"{name}_{c}") for c in "ab" for name, f in (("least", F.min), ("most", F.max))])
-    proven = scratch.write(proven.where("n > 1 and least_a = most_a and least_b = most_b").select(*UNIT), "proven")
-    spans = runs.join(by_shuffle(proven), UNIT).groupBy(*ROW).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    # only clashes of hashes fail, so this table is all but empty; Spark looks at its size before it chooses a join
+    failed = scratch.write(proven.where("not (n > 1 and least_a = most_a and least_b = most_b)").select(*UNIT), "failed")
+    spans = runs.join(failed, UNIT, "left_anti").groupBy(*ROW).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = scratch.write(spans, "spans")
-    scratch.tidy("runs", "proven")
+    scratch.tidy("runs", "failed")
     return spans
 
 
@@ -235,10 +224,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 words = text.encode("utf-8", "surrogatepass").split()
                 words_in.append(len(words))
                 if found:
-                    change = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(change, [s["first"] for s in found], 1)
-                    np.add.at(change, [s["last"] + window for s in found], -1)
-                    kept = [words[i] for i in np.flatnonzero(np.cumsum(change)[:-1] == 0).tolist()]
+                    first, last = (np.array([s[c] for s in found]) for c in ("first", "last"))
+                    kept = [words[i] for i in np.flatnonzero(~covered(first, last + window, len(words))).tolist()]
                 else:
                     kept = words
                 removed.append(len(words) - len(kept))

@@ -17,7 +17,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from lexistore.llm import decontaminate, jaccard_join, line_dedup, pii, quality, secrets, sentencepiece_codec, sharding, substring_dedup, topk
+from lexistore.llm import common, decontaminate, jaccard_join, line_dedup, pii, quality, secrets, sentencepiece_codec, sharding, substring_dedup, topk
 from lexistore.llm import queries as Q
 from lexistore.llm.common import Scratch, window_hashes
 from lexistore.llm.components import components
@@ -74,6 +74,19 @@ def test_window_hashes_follow_the_content():
     assert len(window_hashes(h, 51)) == 0
 
 
+@pytest.mark.parametrize("piece", [1, 7, 1 << 20])
+def test_text_hashes_follow_the_words(piece, monkeypatch):
+    monkeypatch.setattr(common.TextHashes, "PIECE", piece)
+    rnd, hashes, word_of = random.Random(3), common.TextHashes(), {}
+    for _ in range(400):
+        raw = "".join(rnd.choice(["a", "b", "ab", "é", "中", " ", "  ", "\t", "\n", "\x0b", "\x0c", "\r", "\x00", "\u00a0"]) for _ in range(rnd.randint(0, 40))).encode()
+        words, got = raw.split(), hashes.of_text(raw).tolist()
+        assert len(words) == len(got)
+        for w, h in zip(words, got, strict=True):
+            assert word_of.setdefault(h, w) == w
+    assert len(set(word_of.values())) == len(word_of) > 300
+
+
 # 1
 
 
@@ -475,10 +488,10 @@ def test_substring_dedup_contracts_chains(spark):
     passage = prose(rnd, 400, 5000)
     docs = substring_dedup.keyed_texts(frame(spark, [f"{prose(rnd, 30, 5000)} {passage} {prose(rnd, 30, 5000)}" for _ in range(5)] + [passage]))
     scratch = Scratch(spark, "chains")
-    found = substring_dedup._occurrences(docs, 35, 8, scratch, substring_dedup.WordHashes)
+    found = substring_dedup._occurrences(docs, 35, 8, scratch, substring_dedup.TextHashes)
     units = found.count()
     runs = substring_dedup._runs(found, scratch).collect()
-    assert units > 120 and len(runs) <= 6 * 3
+    assert len(runs) * 10 < units  # 400 words make some 55 units at each of six places
     assert all(max(r["last"] - r["first"] for r in runs if r.row_a == i) > 300 for i in range(6))
 
 
