@@ -893,6 +893,55 @@ def test_hot_group_of_boilerplate_and_near_copies(spark, monkeypatch):
     assert got == brute_components(texts, list(range(240)), 4, 85)
 
 
+@pytest.mark.parametrize(("block", "chunk"), [(2048, 1 << 22), (16, 1 << 22), (2048, 3000), (16, 3000)])
+def test_no_step_makes_pairs_by_the_square_of_a_group(spark, block, chunk, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "PART_TOKENS", chunk)
+    monkeypatch.setattr(jaccard_join, "LEAF", 4)
+    rnd = random.Random(21)
+    base = prose(rnd, 503, 50000).split()
+    other, third = (base[:463] + prose(rnd, 40, 50000).split() for _ in range(2))  # too far from each other, though not by their bitmaps
+    texts = [" ".join(third[:483] + base[483:])]  # links the third kind with the first
+    for words in (base, other, third):
+        for i in range(60):
+            copy = list(words)
+            copy[rnd.randrange(440)] = f"e{i}"
+            texts.append(" ".join(copy))
+    for n in range(0, 400, 20):  # each links with few of the others, though most may link by their bitmaps
+        copy = list(base)
+        for at in range(20):
+            copy[(n + at * 19) % 400] = f"f{n + at}"
+        texts.append(" ".join(copy))
+    made = {}
+    write = Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    out = jaccard_join.jaccard_components(frame(spark, texts), 4, 85)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=repr)
+    assert got == brute_components(texts, list(range(len(texts))), 4, 85)
+    if chunk == 1 << 22:
+        later = {name: rows for name, rows in list(made.items())[list(made).index("paired") + 1 :] if not name.startswith("labels")}
+        assert all(rows <= made["links-1"] + 4 * len(texts) for rows in later.values()), later
+
+
+def test_chunks_hold_every_pair_that_may_link(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PART_TOKENS", 100)
+    rnd = random.Random(4)
+    for sides in (1, 2):
+        n, part, side = (np.array([rnd.choice(of) for _ in range(80)]) for of in ([20, 22, 25, 60, 150], [3, 5], range(sides)))
+        held = defaultdict(dict)
+        for p, q, own, at in jaccard_join.chunks(part, n, side, 85):
+            held[p, q].update(dict.fromkeys(at.tolist(), own))
+        met = Counter((x, y) for rows in held.values() for x in rows for y in rows if x < y and (rows[x] != rows[y] or len(set(rows.values())) == 1))
+        may = {(x, y) for x in range(80) for y in range(x + 1, 80) if part[x] == part[y] and (sides == 1 or side[x] != side[y]) and 100 * min(n[x], n[y]) >= 85 * max(n[x], n[y])}
+        assert may <= met.keys() and set(met.values()) == {1}
+
+
 def test_blocks_of_a_hot_group_meet_as_they_should(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
     sizes = [10, 11, 12, 13, 20, 40, 41, 47, 100] * 4
