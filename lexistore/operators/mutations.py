@@ -24,6 +24,15 @@ def _slice(seq: str, width: int) -> Column:
     return F.floor(F.col(seq) / width).cast("long")
 
 
+def by_shuffle(side: DataFrame) -> DataFrame:
+    """Marks a side of a join that grows with a collection to meet the other one by a shuffle at every size.
+
+    Files of sorted keys are many times smaller than their rows, so an estimate by their size would
+    send a whole collection through the driver to every executor.
+    """
+    return side.hint("merge")
+
+
 def latest(log: DataFrame, key: str, seq: str, columns: list[str]) -> DataFrame:
     """Last write wins: key and the columns of its last operation (partial aggregation first)."""
     last = F.max_by(F.struct(*columns), F.col(seq)).alias("__last")
@@ -201,10 +210,14 @@ def dedupe_batch(batch: DataFrame, key: str, seq: str, columns: list[str]) -> Da
     return latest(batch, key, seq, columns)
 
 
-def overlay(snapshot: DataFrame, batch: DataFrame, key: str, deletes: str) -> DataFrame:
-    """Atomic batch: a snapshot with a deduplicated batch put over it; ``deletes`` is a boolean column."""
+def overlay(snapshot: DataFrame, batch: DataFrame, key: str, deletes: str, shuffled: bool = False) -> DataFrame:
+    """Atomic batch: a snapshot with a deduplicated batch put over it; ``deletes`` is a boolean column.
+
+    ``shuffled``: the batch may be as large as the snapshot, whatever its estimate.
+    """
     puts = batch.where(~F.col(deletes)).select(*snapshot.columns)
-    return snapshot.join(batch.select(key), key, "left_anti").unionByName(puts)
+    keys = by_shuffle(batch.select(key)) if shuffled else batch.select(key)
+    return snapshot.join(keys, key, "left_anti").unionByName(puts)
 
 
 def batch_get(probes: DataFrame, batch: DataFrame, key: str, deletes: str, status: str = "status") -> DataFrame:
@@ -217,6 +230,6 @@ def batch_get(probes: DataFrame, batch: DataFrame, key: str, deletes: str, statu
 def effective(snapshot: DataFrame, batch: DataFrame, key: str, value: str, deletes: str) -> DataFrame:
     """The operations that change anything: no rewrite of an equal value, no delete of a missing key."""
     held = snapshot.select(key, F.col(value).alias("__held"), F.lit(True).alias("__in"))
-    rows = batch.join(held, key, "left")
+    rows = batch.join(by_shuffle(held), key, "left")
     idle = F.when(F.col(deletes), F.col("__in").isNull()).otherwise(F.col("__in").isNotNull() & F.col(value).eqNullSafe(F.col("__held")))
     return rows.where(~idle).drop("__held", "__in")

@@ -37,6 +37,7 @@ ENTRY = "key binary, value binary"
 MUTATION = "epoch bigint, seq bigint, key binary, gone boolean, value binary"
 MAX_CELL = 1 << 30
 DEFAULT = 1  # id of the default collection
+FEW = 1 << 16  # stored mutations whose keys may be broadcast
 
 
 class StoreError(Exception):
@@ -327,7 +328,7 @@ class Database:
         if not deltas:
             return base
         log = self.spark.read.schema(MUTATION).parquet(*[f"{self.config.path}/{d['path']}" for d in deltas])
-        return _over(base, log)
+        return _over(base, log, unique=len(deltas) == 1, few=sum(d["rows"] for d in deltas) <= FEW)
 
     # export and import
 
@@ -378,10 +379,10 @@ def _new_collection() -> dict:
     return {"base": None, "rows": 0, "deltas": []}
 
 
-def _over(base: DataFrame, log: DataFrame) -> DataFrame:
-    """A base with a log of mutations put over it."""
-    last = log.groupBy("key").agg(F.max_by(F.struct("gone", "value"), F.struct("epoch", "seq")).alias("m")).select("key", "m.*")
-    return mutations.overlay(base, last, "key", "gone")
+def _over(base: DataFrame, log: DataFrame, unique: bool = False, few: bool = False) -> DataFrame:
+    """A base with a log of mutations put over it.  ``unique``: no key is in the log twice, as in the one of a single flush."""
+    last = log.select("key", "gone", "value") if unique else log.groupBy("key").agg(F.max_by(F.struct("gone", "value"), F.struct("epoch", "seq")).alias("m")).select("key", "m.*")
+    return mutations.overlay(base, last, "key", "gone", shuffled=not few)
 
 
 @dataclass
@@ -408,7 +409,7 @@ class Tree:
         self.db.check_error()
         df = self.db._snapshot(self.db.state["collections"][str(self.id)], epoch)
         if epoch is None and self.pending:
-            df = _over(df, self._pending_log(self.db.state["epoch"] + 1))
+            df = _over(df, self._pending_log(self.db.state["epoch"] + 1), unique=True)
         return Collection(df)
 
     def _add(self, df: DataFrame) -> None:

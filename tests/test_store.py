@@ -222,3 +222,29 @@ def test_stream_registers(spark, tmp_path):
     out.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("append").parquet(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
     assert sorted(got, key=lambda r: r[1]) == wanted
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def many(spark, n):
+    """Entries with keys in sequence, of which many rows make a small file."""
+    return spark.range(n).select(F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("key"), F.lit(b"v").alias("value"))
+
+
+def test_a_collection_is_never_broadcast(spark, tmp_path):
+    n = 70_000
+    with Database(spark, f"file://{tmp_path}/db") as db:
+        t = db.tree(b"t")
+        t.insert(many(spark, n))
+        db.flush()
+        assert db.files.bytes("data") < 10 << 20  # small enough for Spark to broadcast the keys by the files' size
+        held = t.collection().df
+        assert "Broadcast" not in plan(held) and held.count() == n
+        t.insert(many(spark, 2 * n).withColumn("value", F.lit(b"w")))
+        assert "Broadcast" not in plan(t.pending[0])
+        both = t.collection().df
+        assert "Broadcast" not in plan(both) and both.where("value = X'77'").count() == both.count() == 2 * n
+        db.export(f"file://{tmp_path}/out", default=False)
+        assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2 * n
