@@ -8,7 +8,7 @@ slice, so a key with a large part of all rows is spread over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -115,21 +115,6 @@ def _outcome_type(rows: DataFrame, step: Callable, outcome: Callable, kind: str)
     return probe.schema["x"].dataType.elementType.simpleString()
 
 
-def _by_group(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
-    """Rows of batches sorted by ``names``, group by group; at most one group is held."""
-    at, held = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            key = tuple(row[n] for n in names)
-            if key != at:
-                if held:
-                    yield at, held
-                at, held = key, []
-            held.append(row)
-    if held:
-        yield at, held
-
-
 def compare_and_swap(log: DataFrame, key: str, seq: str, expected: str, new: str, width: int = SLICE) -> DataFrame:
     """Outcome of each compare-and-swap: key, seq, ok, previous, proposed, current.
 
@@ -139,7 +124,8 @@ def compare_and_swap(log: DataFrame, key: str, seq: str, expected: str, new: str
     A slice of operations acts on a register as a small map: a start value that some operation
     expects leads to one end value, any other start stays.  One pass backwards over a slice
     gives its map.  The maps of a key's slices are then walked in order, a row at a time, to
-    give every slice its start; then all slices are walked at the same time.
+    give every slice its start; then all slices are walked at the same time, each from a row
+    with its start that sorts before its operations.
     """
     kind = log.schema[new].dataType.simpleString()
     at = log.schema[key].dataType.simpleString()
@@ -147,46 +133,58 @@ def compare_and_swap(log: DataFrame, key: str, seq: str, expected: str, new: str
     places = ["k", "slice"]
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (k, part), ops in _by_group(batches, places):  # at most ``width`` operations
-            end: dict = {}  # start value -> end value over the operations from here on
-            for op in reversed(ops):
-                end[op["e"]] = end.get(op["n"], op["n"])
-            yield from _batches([(k, part, e, n) for e, n in end.items()], mapped)
+        k = part = None
+        end: dict = {}  # start value -> end value over the operations from here on; a slice comes from its last one to its first
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for xk, xpart, e, n in _rows(batch, "k", "slice", "e", "n"):
+                if xpart != part or xk != k:
+                    _extend(out, [k] * len(end), [part] * len(end), end.keys(), end.values())
+                    k, part, end = xk, xpart, {}
+                end[e] = end.get(n, n)
+            yield from _columns(out, mapped)
+        yield from _columns([[k] * len(end), [part] * len(end), list(end.keys()), list(end.values())], mapped)
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = part = cur = None
-        first, out = True, []
+        first = True
         done = False  # whether this slice's step was taken
         for batch in batches:
-            for row in batch.to_pylist():
-                if first or row["k"] != k:
-                    k, part, cur, first = row["k"], None, None, False
-                if row["slice"] != part:
-                    part, done = row["slice"], False
-                    out.append((k, part, cur))
-                if not done and row["start"] == cur:
-                    cur, done = row["end"], True
-            yield from _batches(out, begun)
-            out = []
+            out: list[list] = [[], [], []]
+            for xk, xpart, start, end in _rows(batch, "k", "slice", "start", "end"):
+                if first or xk != k or xpart != part:
+                    cur = cur if not first and xk == k else None
+                    k, part, first, done = xk, xpart, False, False
+                    _extend(out, (k,), (part,), (cur,))
+                if not done and start == cur:
+                    cur, done = end, True
+            yield from _columns(out, begun)
 
     def outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ops in _by_group(batches, places):
-            cur, out = ops[0]["start"], []
-            for op in ops:
-                ok, held = op["e"] == cur, cur
-                cur = op["n"] if ok else cur
-                out.append((op["k"], op["seq"], ok, held, op["n"], cur))
-            yield from _batches(out, told)
+        cur = None
+        for batch in batches:
+            ok, before, after = [], [], []
+            for op, e, n in _rows(batch, "op", "e", "n"):
+                before.append(cur)
+                ok.append(hit := e == cur)
+                if not op:
+                    cur = e  # the start of a slice
+                elif hit:
+                    cur = n
+                after.append(cur)
+            ops = batch.column("op")
+            out = [batch.column("k"), batch.column("seq"), ok, before, batch.column("n"), after]
+            yield from _columns([(c if isinstance(c, pa.Array) else pa.array(c, f.type)).filter(ops) for c, f in zip(out, told, strict=True)], told)
 
     mapped = _arrow(log.sparkSession, f"k {at}, slice long, start {kind}, end {kind}")
     begun = _arrow(log.sparkSession, f"k {at}, slice long, start {kind}")
     told = _arrow(log.sparkSession, f"k {at}, seq long, ok boolean, previous {kind}, proposed {kind}, current {kind}")
     dealt = lambda df, *by: df.repartition(*by).sortWithinPartitions
-    steps = dealt(rows, *places)(*places, "seq").mapInArrow(maps, f"k {at}, slice long, start {kind}, end {kind}")
+    steps = dealt(rows, *places)(*places, F.desc("seq")).mapInArrow(maps, f"k {at}, slice long, start {kind}, end {kind}")
     begins = dealt(steps, "k")(*places).mapInArrow(starts, f"k {at}, slice long, start {kind}")
-    begins = begins.withColumnRenamed("k", "kk").withColumnRenamed("slice", "ss")
-    met = rows.join(begins, F.col("k").eqNullSafe(F.col("kk")) & F.col("slice").eqNullSafe(F.col("ss"))).select("k", "slice", "seq", "e", "n", "start")
-    out = dealt(met, *places)(*places, "seq").mapInArrow(outcomes, f"k {at}, seq long, ok boolean, previous {kind}, proposed {kind}, current {kind}")
+    begins = begins.select("k", "slice", F.lit(False).alias("op"), F.lit(None).cast("long").alias("seq"), F.col("start").alias("e"), F.lit(None).cast(kind).alias("n"))
+    both = rows.select("k", "slice", F.lit(True).alias("op"), "seq", "e", "n").unionByName(begins)  # a slice's start comes before its operations
+    out = dealt(both, *places)(*places, "op", "seq").mapInArrow(outcomes, f"k {at}, seq long, ok boolean, previous {kind}, proposed {kind}, current {kind}")
     return out.withColumnRenamed("k", key)
 
 
@@ -194,6 +192,21 @@ def _arrow(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(spark.createDataFrame([], schema).schema)
 
 
+def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Rows of some columns as plain tuples: a column is turned at once, and no row is a dict."""
+    return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+
+
+def _extend(columns: list[list], *more: Iterable) -> None:
+    for held, x in zip(columns, more, strict=True):
+        held.extend(x)
+
+
+def _columns(columns: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    if len(columns[0]):
+        yield pa.RecordBatch.from_arrays([(pa.array(c, f.type) if isinstance(c, list) else c.cast(f.type)) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def _batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     if rows:
         columns = zip(*rows, strict=True)

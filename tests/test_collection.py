@@ -230,3 +230,19 @@ def test_effective_drops_idle_operations(spark):
     batch = spark.createDataFrame([(1, "a", False), (2, "c", False), (3, None, True), (1, None, True)], "key long, value string, gone boolean")
     kept = mutations.effective(snapshot, batch, "key", "value", "gone").collect()
     assert sorted((r.key, r.gone) for r in kept) == [(1, True), (2, False)]
+
+
+def test_compare_and_swap_deals_its_log_twice_and_carries_slices_over_batches(spark):
+    rnd = random.Random(12)
+    ops = [(i, rnd.choice(["a", "a", "a", None, "b"]), rnd.choice([None, "x", "y"]), rnd.choice([None, "x", "y"])) for i in range(500)]
+    log = spark.createDataFrame(ops, "seq long, key string, e string, n string").repartition(5)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        done = mutations.compare_and_swap(log, "key", "seq", "e", "n", 60)
+        got = done.select("key", "seq", "ok", "previous", "proposed", "current").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == _cas_model(ops)
+    plan = mutations.compare_and_swap(spark.range(9).selectExpr("id as seq", "id as key", "id as e", "id as n"), "key", "seq", "e", "n")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 3  # the log for its maps and for its outcomes, and the maps
