@@ -246,3 +246,12 @@ def test_compare_and_swap_deals_its_log_twice_and_carries_slices_over_batches(sp
     assert sorted(map(tuple, got), key=lambda r: r[1]) == _cas_model(ops)
     plan = mutations.compare_and_swap(spark.range(9).selectExpr("id as seq", "id as key", "id as e", "id as n"), "key", "seq", "e", "n")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 3  # the log for its maps and for its outcomes, and the maps
+
+
+def test_cas_state_needs_no_join_and_agrees_with_a_model(spark):
+    rnd = random.Random(13)
+    ops = [(i, rnd.choice("aab"), rnd.choice([None, 1, 2]), rnd.choice([None, 1, 2])) for i in range(200)]
+    state = mutations.cas_state(mutations.compare_and_swap(spark.createDataFrame(ops, "seq long, key string, e long, n long"), "key", "seq", "e", "n", 30), "key")
+    last = {key: current for key, _, _, _, _, current in _cas_model(ops)}
+    assert "Join" not in state._jdf.queryExecution().executedPlan().toString()
+    assert dict(map(tuple, state.collect())) == {k: v for k, v in last.items() if v is not None}
