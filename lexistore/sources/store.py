@@ -357,7 +357,7 @@ class Database:
         for name in names:
             if name is None or self.contains_tree(name):
                 mine = rows.where(F.col("name").eqNullSafe(F.lit(name)))
-                found = found.unionByName(self.tree(name).collection().contained(mine, "key").select("name", "key"))
+                found = found.unionByName(mine.join(mutations.by_shuffle(self.tree(name).collection().keys()), "key", "left_semi").select("name", "key"))
         return found
 
     def import_(self, path: str) -> None:

@@ -248,3 +248,16 @@ def test_a_collection_is_never_broadcast(spark, tmp_path):
         assert "Broadcast" not in plan(both) and both.where("value = X'77'").count() == both.count() == 2 * n
         db.export(f"file://{tmp_path}/out", default=False)
         assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2 * n
+
+
+def test_an_import_broadcasts_no_collection(spark, tmp_path):
+    n, out = 70_000, f"file://{tmp_path}/out"
+    with Database(spark, f"file://{tmp_path}/a") as a:
+        a.tree(b"t").insert(many(spark, n))
+        a.export(out, default=False)
+    with Database(spark, f"file://{tmp_path}/b") as b:
+        b.import_(out)
+        found = b.conflicts(out)
+        assert "Broadcast" not in plan(found) and found.count() == n
+        b.compact(force=True)
+        assert "Broadcast" not in plan(b.conflicts(out)) and b.tree(b"t").collection().df.count() == n
