@@ -425,13 +425,13 @@ class Tree:
         before = self.collection().df
         puts = entries.groupBy("key").agg(F.max("value").alias("value")).withColumn("gone", F.lit(False))
         self._add(mutations.effective(before, puts, "key", "value", "gone").select("key", "gone", "value"))
-        return entries.select("key").join(before.withColumnRenamed("value", "previous"), "key", "left")
+        return entries.select("key").join(mutations.by_shuffle(before.withColumnRenamed("value", "previous")), "key", "left")
 
     def remove(self, keys: DataFrame) -> DataFrame:
         """Deletes keys; gives each with its previous value.  Missing keys write nothing."""
         before = self.collection().df
-        self._add(keys.select("key").join(before.select("key"), "key", "left_semi").select("key", F.lit(True).alias("gone"), F.lit(None).cast("binary").alias("value")))
-        return keys.select("key").join(before.withColumnRenamed("value", "previous"), "key", "left")
+        self._add(keys.select("key").join(mutations.by_shuffle(before.select("key")), "key", "left_semi").select("key", F.lit(True).alias("gone"), F.lit(None).cast("binary").alias("value")))
+        return keys.select("key").join(mutations.by_shuffle(before.withColumnRenamed("value", "previous")), "key", "left")
 
     def apply_batch(self, batch: DataFrame) -> None:
         """Atomic batch: rows (seq, key, gone, value); the last operation on a key counts."""
@@ -440,7 +440,7 @@ class Tree:
 
     def compare_and_swap(self, ops: DataFrame) -> DataFrame:
         """Ordered operations (seq, key, expected, new); their outcomes, applied to the collection."""
-        held = self.collection().df.join(ops.select("key").distinct(), "key", "left_semi")
+        held = self.collection().df.join(mutations.by_shuffle(ops.select("key").distinct()), "key", "left_semi")
         start = held.select("key", F.lit(-1).cast("bigint").alias("seq"), F.lit(None).cast("binary").alias("expected"), F.col("value").alias("new"))
         log = start.unionByName(ops.select("key", F.col("seq").cast("bigint").alias("seq"), "expected", "new"))
         done = mutations.compare_and_swap(log, "key", "seq", "expected", "new").where("seq >= 0")
@@ -450,13 +450,13 @@ class Tree:
 
     def update_and_fetch(self, keys: DataFrame, f) -> DataFrame:
         """Applies a Column function (previous value or null -> new value or null) once to each key; gives the new values."""
-        rows = keys.select("key").distinct().join(self.collection().df, "key", "left").select("key", f(F.col("value")).alias("value"))
+        rows = keys.select("key").distinct().join(mutations.by_shuffle(self.collection().df), "key", "left").select("key", f(F.col("value")).alias("value"))
         self._add(rows.select("key", F.col("value").isNull().alias("gone"), "value"))
         return rows
 
     def fetch_and_update(self, keys: DataFrame, f) -> DataFrame:
         """The same, giving the previous values."""
-        before = keys.select("key").distinct().join(self.collection().df, "key", "left")
+        before = keys.select("key").distinct().join(mutations.by_shuffle(self.collection().df), "key", "left")
         self.update_and_fetch(keys, f)
         return before
 

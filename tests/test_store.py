@@ -261,3 +261,15 @@ def test_an_import_broadcasts_no_collection(spark, tmp_path):
         assert "Broadcast" not in plan(found) and found.count() == n
         b.compact(force=True)
         assert "Broadcast" not in plan(b.conflicts(out)) and b.tree(b"t").collection().df.count() == n
+
+
+def test_rewrites_of_a_whole_collection_broadcast_none(spark, tmp_path):
+    with Database(spark, f"file://{tmp_path}/db") as db:
+        t = db.tree()
+        t.insert(many(spark, 70_000))
+        db.flush()
+        held = t.collection().keys()
+        given = [t.update_and_fetch(held, lambda v: F.concat(v, F.lit(b"+"))), t.fetch_and_update(held, lambda v: v), t.remove(held), t.insert(many(spark, 70_000))]
+        swaps = t.compare_and_swap(held.select(F.lit(1).alias("seq"), "key", F.lit(b"v").alias("expected"), F.lit(b"w").alias("new")))
+        assert not [x for x in (*given, *t.pending, swaps) if "Broadcast" in plan(x)]
+        t.pending.clear()
