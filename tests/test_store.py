@@ -273,3 +273,12 @@ def test_rewrites_of_a_whole_collection_broadcast_none(spark, tmp_path):
         swaps = t.compare_and_swap(held.select(F.lit(1).alias("seq"), "key", F.lit(b"v").alias("expected"), F.lit(b"w").alias("new")))
         assert not [x for x in (*given, *t.pending, swaps) if "Broadcast" in plan(x)]
         t.pending.clear()
+
+
+def test_a_check_of_a_store_broadcasts_no_collection(spark, tmp_path):
+    with Database(spark, f"file://{tmp_path}/db") as db:
+        t = db.tree()
+        t.insert(many(spark, 70_000))
+        db.flush()
+        assert "Broadcast" not in plan(t.collection().duplicates())
+        db.validate()
